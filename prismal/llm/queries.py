@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import bpe, decontaminate, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 SQL = {
