@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, secrets
+from . import bpe, decontaminate, neardup, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op6_near_duplicates": neardup.op6_near_duplicates,
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
 }
 
 SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op6_near_duplicates": neardup.OP6_SQL,
 }
