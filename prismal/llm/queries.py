@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, neardup, secrets
+from . import bpe, decontaminate, langid, neardup, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language_id": langid.op2_language_id,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
 }
