@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, neardup, secrets, toxicity
+from . import bpe, decontaminate, langid, linededup, neardup, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language_id": langid.op2_language_id,
+    "op5_line_dedup": linededup.op5_line_dedup,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_secrets": secrets.op9_secrets,
@@ -15,5 +16,6 @@ QUERIES = {
 
 SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op5_line_dedup": linededup.OP5_SQL,
     "op6_near_duplicates": neardup.OP6_SQL,
 }
