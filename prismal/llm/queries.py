@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontaminate, langid, linededup, neardup, secrets, toxicity
+from . import ann, bpe, decontaminate, langid, linededup, lmscore, neardup, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_lm_score": lmscore.op8_lm_score,
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
 }
