@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontaminate, langid, linededup, lmscore, neardup, secrets, toxicity
+from . import ann, bpe, decontaminate, langid, licenses, linededup, lmscore, neardup, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language_id": langid.op2_language_id,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_nearest": ann.op4_nearest,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_near_duplicates": neardup.op6_near_duplicates,
