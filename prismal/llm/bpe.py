@@ -25,7 +25,6 @@ import hashlib
 import json
 import re
 import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import _text
 
 #: Bytes of text in a block (a longer document is a block of its own).
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
+#: Rows that one task encodes before it passes their ids on.
+ENCODE_ROWS = 300_000
+_ZSTD = pa.Codec("zstd", 6)
 OUTPUTS = ("ids", "n_tokens", "decoded", "ids_sha256", "decoded_sha256")
 
 _LATIN = 0x17F
@@ -140,8 +142,9 @@ def _blocks(batches, path: str, text_col: str):
         yield done()
 
 
-def _key(seal: int, partition: int, k: int) -> str:
-    return f"{partition}-{k}-{seal & (2**64 - 1):x}"
+def _key(seal: int, partition: int, k: int) -> int:
+    """A block's key: its content and its place, so that equal blocks stay apart."""
+    return int.from_bytes(hashlib.blake2b(f"{partition} {k} {seal}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _partition() -> int:
@@ -150,8 +153,27 @@ def _partition() -> int:
     return TaskContext.get().partitionId()
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Non-negative integers as compressed byte planes: the high bytes are nearly constant and vanish."""
+    return _ZSTD.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(raw, decompressed_size=4 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+def _ranks(words: list[str]) -> np.ndarray:
+    """Each word's place among the sorted words."""
+    rank = np.empty(len(words), np.int64)
+    rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    return rank
+
+
 def _block_words(batches, path, text_col):
+    """The distinct words of each block with their places in sorted order."""
     for k, (_, _, words, seal) in enumerate(_blocks(batches, path, text_col)):
+        words.sort()
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
             yield pa.RecordBatch.from_arrays(
@@ -161,96 +183,131 @@ def _block_words(batches, path, text_col):
 
 
 def _block_positions(batches, path, text_col, keep):
-    """One row a block: its other columns as an Arrow stream and its positions, both compressed."""
+    """One row a block: its other columns as an Arrow stream and its words' positions, both compressed.
+
+    A position is a word's place by falling frequency; `places` leads from there to the sorted order.
+    """
     for k, (rows, docs, words, seal) in enumerate(_blocks(batches, path, text_col)):
         table = pa.Table.from_batches([r.select(keep) for r in rows])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
         flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-        # byte planes: the high bytes are nearly constant and vanish under compression
-        planes = flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        lengths = np.array([len(d) for d in docs], dtype="<i8").tobytes()
+        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        lengths = np.array([len(d) for d in docs], dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([_key(seal, _partition(), k)]),
-                pa.array([len(words)], pa.int32()),
+                pa.array([[len(words), len(docs), len(flat)]], pa.list_(pa.int64())),
                 pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                pa.array([zlib.compress(lengths, 1)], pa.binary()),
-                pa.array([zlib.compress(planes, 1)], pa.binary()),
+                pa.array([_pack(lengths)], pa.binary()),
+                pa.array([_pack(_ranks(words)[order])], pa.binary()),
+                pa.array([_pack(place[flat])], pa.binary()),
             ],
-            ["block", "n_words", "rows", "lengths", "positions"],
+            ["block", "sizes", "rows", "lengths", "places", "positions"],
         )
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of flat, one after the other."""
+    return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
 def _encode(batches, path):
-    """Each word's ids; rows of one word follow one another, so each distinct word is encoded once."""
-    cut, last, ids = splitter(path), None, []
+    """Each distinct word's ids, once: equal words follow one another. One row for each block and run of rows."""
+    cut, last = splitter(path), None
+    which, block, at, ids, size, done = [], [], [], [], [], 0
+
+    def packed():
+        flat, sizes = np.array(ids, np.int64), np.array(size, np.int64)
+        start = np.cumsum(sizes) - sizes
+        w, b, a = np.array(which), np.concatenate(block), np.concatenate(at).astype(np.int64)
+        order = np.lexsort((a, b))
+        w, b, a = w[order], b[order], a[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]])
+        out = []
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            n = sizes[w[x:y]]
+            got = _gather(flat, start[w[x:y]], n)
+            out.append((int(b[x]), [y - x, len(got)], _pack(np.diff(a[x:y], prepend=0)), _pack(n), _pack(got)))
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["block", "counts", "steps", "lens", "ids"])
+
     for batch in batches:
-        flat, bound = [], [0]
         for word in batch.column("word").to_pylist():
-            if word != last:
-                last, ids = word, cut.encode(word)
-            flat += ids
-            bound.append(len(flat))
-        ids_col = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(flat, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), ids_col], ["block", "at", "ids"])
+            if word != last or not size:
+                last, got = word, cut.encode(word)
+                ids += got
+                size.append(len(got))
+            which.append(len(size) - 1)
+        block.append(batch.column("block").to_numpy())
+        at.append(batch.column("at").to_numpy())
+        done += len(batch)
+        if done >= ENCODE_ROWS:
+            yield packed()
+            which, block, at, ids, size, done, last = [], [], [], [], [], 0, None
+    if done:
+        yield packed()
 
 
 def _join_back(positions: pa.Table, encoded: pa.Table, pieces: list[str], keep: list[str], digests: bool) -> pa.Table:
     """One block: ids joined to its positions, and pieces to the ids."""
-    if positions.num_rows != 1 or positions.column("n_words")[0].as_py() != encoded.num_rows:
+    n_words, n_docs, n_flat = positions.column("sizes")[0].as_py() if positions.num_rows == 1 else (-1, 0, 0)
+    parts = list(zip(*(encoded.column(c).to_pylist() for c in ("counts", "steps", "lens", "ids"))))
+    if n_words != sum(c[0] for c, *_ in parts):
         raise RuntimeError("a block was read differently the second time: checkpoint the documents first")
-    order = np.argsort(encoded.column("at").to_numpy())
-    column = encoded.column("ids").combine_chunks() if encoded.num_rows else pa.array([], pa.list_(pa.int32()))
-    column = column.take(pa.array(order)) if encoded.num_rows else column
-    starts = np.asarray(column.offsets) if encoded.num_rows else np.zeros(1, np.int32)
-    flat = column.values.to_numpy()
-    words_ids = [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
+    rank = np.concatenate([np.cumsum(_unpack(s, c[0])) for c, s, _, _ in parts] or [np.zeros(0, np.int64)])
+    size = np.concatenate([_unpack(x, c[0]) for c, _, x, _ in parts] or [np.zeros(0, np.int64)])
+    flat = np.concatenate([_unpack(x, c[1]) for c, _, _, x in parts] or [np.zeros(0, np.int64)])
+    start = np.cumsum(size) - size
+    order = np.argsort(rank)[_unpack(positions.column("places")[0].as_py(), n_words)]  # by falling frequency
+    start, size = start[order], size[order]
+    words_ids = [flat[a : a + n].tolist() for a, n in zip(start.tolist(), size.tolist())]
     id_text = [" ".join(map(str, w)) for w in words_ids]
     decoded = [" ".join([pieces[i] for i in w]) for w in words_ids]
-    count = np.diff(starts)
     with pa.ipc.open_stream(positions.column("rows")[0].as_buffer()) as stream:
         rows = stream.read_all()
-    lengths = np.frombuffer(zlib.decompress(positions.column("lengths")[0].as_py()), dtype="<i8")
-    planes = zlib.decompress(positions.column("positions")[0].as_py())
-    at = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    at = _unpack(positions.column("positions")[0].as_py(), n_flat)
     out = {n: [] for n in OUTPUTS}
     left = 0
-    for n in lengths.tolist():
-        mine = at[left : left + n].tolist()
+    for n in _unpack(positions.column("lengths")[0].as_py(), n_docs).tolist():
+        own = at[left : left + n]
+        mine = own.tolist()
         left += n
         text = " ".join([decoded[k] for k in mine])
-        out["n_tokens"].append(int(count[mine].sum()) if mine else 0)
+        out["n_tokens"].append(int(size[own].sum()))
         if digests:
             out["ids_sha256"].append(hashlib.sha256(" ".join([id_text[k] for k in mine]).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
         else:
             out["ids"].append([i for k in mine for i in words_ids[k]])
             out["decoded"].append(text)
-    names = [*keep, *([*OUTPUTS[1:2], *OUTPUTS[3:]] if digests else OUTPUTS[:3])]
+    names = _outputs(digests)
     kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-    return pa.Table.from_arrays([rows.column(c) for c in keep] + [pa.array(out[n], kinds.get(n, pa.string())) for n in names[len(keep) :]], names)
+    return pa.Table.from_arrays([rows.column(c) for c in keep] + [pa.array(out[n], kinds.get(n, pa.string())) for n in names], [*keep, *names])
 
 
-def tokenize(docs: DataFrame, path: str, text_col: str = "text", digests: bool = False) -> DataFrame:
+def _outputs(digests: bool) -> list[str]:
+    return ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "n_tokens", "decoded"]
+
+
+def tokenize(docs: DataFrame, path: str, text_col: str = "text", digests: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with ids, n_tokens and decoded, or with SHA-256 digests of both instead of the arrays and texts.
 
     The digests are of the ids in decimal, joined by one space, and of the decoded text in UTF-8.
+    keep_text=False leaves the text column out, which then need not travel with the positions.
     """
-    keep = [c for c in docs.columns if c not in OUTPUTS]
-    docs = docs.select(*keep).withColumn(text_col, F.col(text_col).cast("string"))
+    keep = [c for c in docs.columns if c not in OUTPUTS and (keep_text or c != text_col)]
     kinds = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType()}
-    names = [*OUTPUTS[1:2], *OUTPUTS[3:]] if digests else OUTPUTS[:3]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, kinds.get(n, T.StringType())) for n in names])
-    return _tokenize(docs, path, text_col, keep, schema, digests)
-
-
-def _tokenize(docs, path, text_col, keep, schema, digests):
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, kinds.get(n, T.StringType())) for n in _outputs(digests)])
     pieces = docs.sparkSession.sparkContext.broadcast(pieces_of(path))  # as large as the vocabulary
-    words = docs.select(text_col).mapInArrow(lambda b: _block_words(b, path, text_col), "word string, block string, at int")
-    positions = docs.mapInArrow(lambda b: _block_positions(b, path, text_col, keep), "block string, n_words int, rows binary, lengths binary, positions binary")
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(lambda b: _encode(b, path), "block string, at int, ids array<int>")
+    words = docs.select(text_col).mapInArrow(lambda b: _block_words(b, path, text_col), "word string, block long, at int")
+    positions = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(
+        lambda b: _block_positions(b, path, text_col, keep), "block long, sizes array<long>, rows binary, lengths binary, places binary, positions binary"
+    )
+    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(lambda b: _encode(b, path), "block long, counts array<long>, steps binary, lens binary, ids binary")
 
     def join_back(a: pa.Table, b: pa.Table) -> pa.Table:
         return _join_back(a, b, pieces.value, keep, digests)
@@ -284,4 +341,4 @@ def default_path() -> str:
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
     """Contract query: token count and digests of ids and decoded text of every whole document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return tokenize(docs, default_path(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return tokenize(docs, default_path(), digests=True, keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
