@@ -381,3 +381,10 @@ def set_overlap(spark, d):
     both = F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0))
     only = F.sum(F.when(F.col("b").isNull(), 1).otherwise(0))
     return marks.agg(both.alias("n_both"), F.count("*").alias("n_any"), only.alias("only_a"), F.round(F.coalesce(F.try_divide(both, F.count("*")), F.lit(0.0)), 6).alias("jaccard"))
+
+
+@register("windowed_events", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def windowed_events(spark, d):
+    from ..streaming.scores import windowed_means
+
+    return windowed_means(table(spark, d, "events")).withColumn("mean", F.round("mean", 6))

@@ -257,3 +257,20 @@ def utility_by_noise(spark, d):
     a = K.agreement(p, "pearson")
     levels = [D.attenuated(a, p, x).groupBy().agg(F.avg("r").alias("m")).select(F.lit(float(x)).alias("noise"), F.round("m", 6).alias("mean_r")) for x in (0.0, 0.01, 0.1)]
     return O.union_all(levels)
+
+
+@register("noisy_recovery")
+def noisy_recovery(spark, d):
+    """d' and errors of noisy profiles against all clean ones, by group of images (seeded draws; no SQL counterpart)."""
+    from ..operators.simulation import noisy_agreement
+
+    cube = noisy_agreement(_profile(spark, d), 0.05, 20, seed=3).withColumn("sim", F.col("grp") * 1000 + F.col("draw"))
+    return I.discriminability(I.margins(cube))
+
+
+@register("bootstrap_means")
+def bootstrap_means(spark, d):
+    """Means over resampled subjects for each model and draw, by a join with an index table."""
+    p = scores(spark, d).groupBy("subject", "model").agg(F.avg("score").alias("x"))
+    draw = I.index_table(spark, 5, 5, 50, seed=2).select("draw", F.col("idx").cast("long").alias("subject"))
+    return p.join(F.broadcast(draw), "subject").groupBy("model", "draw").agg(F.avg("x").alias("mean"))
