@@ -318,12 +318,12 @@ def tokenize(docs: DataFrame, path: str, text_col: str = "text", digests: bool =
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """tokens plus the text of their ids (null for null): a join of each id with its piece, by the vocabulary's table.
 
-    An id out of the vocabulary decodes to nothing, as in the library. Rows are told apart by their
-    ids, so equal lists are decoded once.
+    An id out of the vocabulary decodes to nothing, as in the library. Rows are told apart by a
+    digest of their ids, so equal lists are decoded once.
     """
     spark = tokens.sparkSession
     pieces = spark.createDataFrame([(i, p) for i, p in enumerate(pieces_of(path))], "_id int, _piece string")
-    keyed = tokens.drop(out_col).withColumn("_key", F.col(ids_col).cast("string"))
+    keyed = tokens.drop(out_col).withColumn("_key", F.sha2(F.col(ids_col).cast("string"), 256))
     distinct = keyed.select("_key", F.col(ids_col).alias("_ids")).where(F.col("_key").isNotNull()).dropDuplicates(["_key"])
     each = distinct.select("_key", F.posexplode("_ids").alias("_pos", "_id")).join(F.broadcast(pieces), "_id")
     texts = each.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_pos", "_piece"))).alias("_each"))

@@ -6,7 +6,9 @@
 2. In each bucket (classes with an equal band key) every member is paired with the least one only.
    A sketch that disagrees too much rules a pair out, full sets decide, and components follow.
 3. Buckets that now lie in one component are settled. In the others every pair across components
-   is compared by sketch, inside tasks and in bounded blocks of members, and full sets decide again.
+   is compared by sketch and by bitmap, inside tasks and in bounded blocks of members, and full sets
+   decide again. A bitmap holds one bit for each shingle's hash; bits that one set has and the other
+   lacks bound their common shingles from above, so it rules out no pair that is similar enough.
    So no pair that shares a bucket is left out but those that are connected anyway, and pairs
    within a component, however large, are never listed.
 
@@ -37,6 +39,7 @@ SKETCH = ROWS * BANDS // 2
 SKETCH_LEAST = 0.58
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
+BITMAP = 2048
 _TEXT_BLOCK = 1 << 19
 _SEED = np.random.default_rng(20)
 _A = _SEED.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,10 +103,27 @@ def _profiles(batches, id_col: str, text_col: str):
             )
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    bits = np.zeros(BITMAP, dtype=bool)
+    bits[(_text.mix(s) % np.uint64(BITMAP)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_common(n: int, bits: np.ndarray, others_n: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Upper bounds of the shingles that a set shares with others, by their sizes and bitmaps."""
+    both = np.bitwise_count(others & bits).sum(axis=1, dtype=np.int64)
+    mine, theirs = int(np.bitwise_count(bits).sum()), np.bitwise_count(others).sum(axis=1, dtype=np.int64)
+    return np.minimum(n - (mine - both), others_n - (theirs - both))
+
+
 def _sets(batches, text_col: str):
     for batch in batches:
         for rows, data, offsets in _text.blocks(batch, text_col, _TEXT_BLOCK):
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["id", "set"])
+            sets = shingle_sets(data, offsets)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())],
+                ["id", "size", "set", "bits"],
+            )
 
 
 def _agree(batches):
@@ -127,21 +147,24 @@ def _confirm(batches, percent: int):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _across(members: pa.Table) -> pa.Table:
-    """Pairs of one block of one bucket that lie in different components and whose sketches agree."""
+def _across(members: pa.Table, percent: int) -> pa.Table:
+    """Pairs of one block of one bucket across components that sketches and bitmaps do not rule out."""
     sketch = np.frombuffer(b"".join(members.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-    ids, comp = members.column("id"), members.column("component").combine_chunks().dictionary_encode()
-    comp = comp.indices.to_numpy()
-    part = members.column("part").to_numpy()
-    i, j = members.column("i")[0].as_py(), members.column("j")[0].as_py()
+    bits = np.frombuffer(b"".join(members.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+    ids, size, part = members.column("id"), members.column("size").to_numpy(), members.column("part").to_numpy()
+    comp = members.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+    same_part = members.column("i")[0].as_py() == members.column("j")[0].as_py()
     main = np.bincount(comp).argmax()
-    rare = np.flatnonzero(comp != main)  # every pair across components has a member outside the largest
     left, right = [], []
-    for k in rare.tolist():
-        other = np.flatnonzero((comp != comp[k]) & ((comp == main) | (np.arange(len(comp)) > k)) & ((part != part[k]) if i != j else True))
-        near = other[(sketch[other] == sketch[k]).mean(axis=1) >= SKETCH_LEAST]
-        left += [k] * len(near)
-        right += near.tolist()
+    for k in np.flatnonzero(comp != main).tolist():  # every pair across components has a member outside the largest
+        may = (comp != comp[k]) & ((comp == main) | (np.arange(len(comp)) > k))
+        may &= (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k])) & (same_part | (part != part[k]))
+        other = np.flatnonzero(may)
+        other = other[(sketch[other] == sketch[k]).mean(axis=1) >= SKETCH_LEAST]
+        common = most_common(size[k], bits[k], size[other], bits[other])
+        other = other[100 * common >= percent * (size[k] + size[other] - common)]
+        left += [k] * len(other)
+        right += other.tolist()
     return pa.table({"a": ids.take(pa.array(left, pa.int64())), "b": ids.take(pa.array(right, pa.int64()))})
 
 
@@ -156,18 +179,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     profile = checkpointed(source.mapInArrow(lambda b: _profiles(b, "id", "text"), f"id {kind}, n_shingles long, print binary, bands array<long>, sketch binary"))
     linkable = profile.where("id IS NOT NULL AND print IS NOT NULL")
-    classes = checkpointed(
-        linkable.groupBy("print").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "sketch"), "id").alias("_first")).select("print", "id", "_first.bands", "_first.sketch")
-    )
-    places = classes.select("id", F.explode("bands").alias("bucket"))
+    classes = checkpointed(linkable.groupBy("print").agg(F.min("id").alias("id")))
+    places = linkable.join(classes, ["print", "id"]).select("id", F.explode("bands").alias("bucket"))
+    # one exchange for both uses; a bucket holds a class at most once, so no more than 1/BANDS of the rows
+    places = places.repartition("bucket")
     shared = places.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = checkpointed(places.join(shared, "bucket"))
 
     # the full sets of all classes that share a bucket, from their texts
     involved = members.select("id").distinct()
-    sets = checkpointed(source.join(involved.hint("shuffle_hash"), "id").mapInArrow(lambda b: _sets(b, "text"), f"id {kind}, set binary").dropDuplicates(["id", "set"]))
+    sets = checkpointed(source.join(involved.hint("shuffle_hash"), "id").mapInArrow(lambda b: _sets(b, "text"), f"id {kind}, size long, set binary, bits binary"))
 
-    sketches = classes.join(involved, "id", "left_semi").select("id", "sketch")
+    sketches = linkable.select("print", "id", "sketch").join(involved, "id", "left_semi").join(classes, ["print", "id"], "left_semi").select("id", "sketch")
     first = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     first = first.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     agreed = first.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agree, f"a {kind}, b {kind}").distinct()
@@ -177,12 +200,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets that lie in more than one component: all pairs across components
     placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least <> _most").select("bucket")
-    todo = placed.join(open_, "bucket", "left_semi").join(sketches, "id")
+    todo = placed.join(open_, "bucket", "left_semi").join(sketches, "id").join(sets.select("id", "size", "bits"), "id")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     todo = todo.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j"))))
-    todo = todo.select("bucket", "id", "component", "sketch", "part", pair.alias("_pair")).select("bucket", "id", "component", "sketch", "part", "_pair.*")
-    across = todo.groupBy("bucket", "i", "j").applyInArrow(_across, f"a {kind}, b {kind}")
+    todo = todo.select("bucket", "id", "component", "sketch", "size", "bits", "part", pair.alias("_pair")).select("bucket", "id", "component", "sketch", "size", "bits", "part", "_pair.*")
+    across = todo.groupBy("bucket", "i", "j").applyInArrow(lambda t: _across(t, percent), f"a {kind}, b {kind}")
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = checkpointed(_confirmed(across, sets, kind, percent))
     if not more.isEmpty():

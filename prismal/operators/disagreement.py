@@ -86,7 +86,8 @@ def track_aggregate(tracks: DataFrame, how: str, weights: dict[str, float] | Non
     named = F.create_map(*[F.lit(x) for kv in (weights or {}).items() for x in kv]) if weights else F.create_map().cast("map<string,double>")
     by = tracks.groupBy("candidate")
     if how == "identity":
-        return by.agg(F.assert_true(F.count_distinct("track") <= 1, "identity takes one track").alias("_c"), F.max(s).alias("score")).drop("_c")
+        one = F.when(F.count_distinct("track") <= 1, F.max(s)).otherwise(F.raise_error(F.lit("identity takes one track")).cast("double"))
+        return by.agg(one.alias("score"))
     if how in ("mean", "min", "smooth_min"):
         return by.agg(fold(s, how).alias("score"))
     if how == "weighted_mean":

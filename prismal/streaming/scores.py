@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 
 def windowed_means(events: DataFrame, time: str = "ts", key: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, key, n, mean) by tumbling event-time window; rows later than the watermark are dropped. Batch or stream."""
-    w = F.window(time, width)
-    return events.withWatermark(time, late).groupBy(w, key).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("start"), key, "n", "mean")
+    timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    out = timed.groupBy(F.window(time, width), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), key, "n", "mean")
 
 
 def upsert(batch: DataFrame, path: str, keys: list[str]) -> None:
