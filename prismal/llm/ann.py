@@ -82,12 +82,26 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8).T)
 
 
+def parallel_weight(dim: int, threshold: float) -> float:
+    """How much more a residual along x counts than one across it where products of at least threshold * |x| matter.
+
+    The expected squared error of a product with a query spread evenly over the directions within
+    arccos(threshold) of x splits into these two parts; the ratio is 1 without a threshold and grows
+    with it and with the dimension.
+    """
+    angle = np.linspace(0, np.arccos(threshold), 4097)
+    sine = np.sin(angle)
+    if dim == 1:
+        return 1.0
+    along = (dim - 1) * np.trapezoid(np.cos(angle) ** 2 * sine ** (dim - 2), angle)
+    return float(along / np.trapezoid(sine**dim, angle))
+
+
 def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = ROUNDS, seed: int = 3) -> Codebooks:
     """Codebooks of a sample of vectors."""
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
-    eta = max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
-    books = Codebooks(dim, np.zeros((0, 16, 2), np.float32), eta)
+    books = Codebooks(dim, np.zeros((0, 16, 2), np.float32), parallel_weight(dim, threshold))
     x = books.padded(x.astype(np.float32))
     m = x.shape[1] // 2
     part = x.reshape(len(x), m, 2)
