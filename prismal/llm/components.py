@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._store import checkpointed
 
+#: Links that one task takes; short lists of links are not dealt over all shuffle partitions.
+TASK_LINKS = 200_000
+
+
+def _tasks(links: int) -> int:
+    return max(1, -(-links // TASK_LINKS))
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the least of its neighbourhood."""
@@ -15,10 +22,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours move to the least of them."""
+    """Each node and its smaller neighbours move to the least of them; links may repeat."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,7 +44,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = checkpointed(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _state(edges)
     while before[0]:
-        edges = checkpointed(_small_star(_large_star(edges).distinct()))
+        n = _tasks(before[0])
+        large = _large_star(edges.coalesce(n)).coalesce(n).distinct().coalesce(n)
+        edges = checkpointed(_small_star(large).coalesce(n).distinct().coalesce(n))
         after = _state(edges)
         if after == before:
             break

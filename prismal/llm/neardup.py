@@ -173,6 +173,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, kind: str, percent: int) -> Da
     return full.select("a", "b", "set_a", "set_b").mapInArrow(lambda b: _confirm(b, percent), f"a {kind}, b {kind}")
 
 
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of (node, component) after further links, which are followed between components only."""
+    of_a, of_b = groups.select(F.col("node").alias("a"), F.col("component").alias("of_a")), groups.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    between = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = checkpointed(components(between, "a", "b"))
+    old = groups.join(moved.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return old.unionAll(moved).groupBy("node").agg(F.min("component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs; kept marks the least id of a component."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -209,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = checkpointed(_confirmed(across, sets, kind, percent))
     if not more.isEmpty():
-        groups = checkpointed(components(links.unionAll(more), "a", "b"))
+        groups = checkpointed(_merged(groups, more))
 
     of_class = classes.select("print", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     of_class = of_class.groupBy("print").agg(F.min("component_id").alias("component_id"))
