@@ -1,9 +1,9 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines. Those that hold an anchor word (every template has one) are turned into
-word 1- and 2-grams and classified by a multinomial logistic regression over the licence families
+Paragraphs are lines. Those that hold an anchor are turned into word 1- and 2-grams and classified by a multinomial logistic regression over the licence families
 and `none`; below the calibrated probability the family is unknown. A family is confirmed if the
-paragraph's words contain enough of the words of one of its templates, in any order. A paragraph without
+paragraph's words contain enough of the words of one of its templates, in any order. The anchors are taken
+from the templates: of each one more word than a confirmed paragraph may lack, so a paragraph without
 an anchor cannot be confirmed and is not classified.
 
 The regression is trained here, with Spark ML, on paragraphs made from the templates by rule (case,
@@ -20,6 +20,8 @@ that an output name clashes with are replaced); very long lines are read whole.
 from __future__ import annotations
 
 import functools
+import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,8 +32,8 @@ CALIBRATE_SHARE = 0.01
 #: Share of a template's distinct words that a paragraph must hold.
 CONFIRM = 0.8
 OUTPUTS = ("licences", "families")
-#: Lower-case strings of which every template contains one.
-ANCHORS = ("licen", "copyright", "public domain", "cc0", "spdx", "warrant", "redistribution")
+#: Lower-case strings that anchors are preferred to contain, since prose has them seldom.
+RARE = ("licen", "copyright", "domain", "cc0", "spdx", "redistribution", "reserved")
 
 # Short notices of each family as they are commonly written.
 TEMPLATES = {
@@ -66,7 +68,7 @@ TEMPLATES = {
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike License"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution International License"],
     "cc0": ["This work is dedicated to the public domain under CC0 1.0", "To the extent possible under law, all copyright has been waived under CC0", "released into the public domain"],
-    "reserved": ["Copyright the authors. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without permission of the copyright holder"],
+    "reserved": ["Copyright the authors. All rights reserved.", "All rights reserved", "Copyright. All rights reserved", "All rights reserved. No part of this publication may be reproduced without permission of the copyright holder"],
 }
 PROSE = (
     "she lost her driving licence and paid for a new license on monday",
@@ -100,9 +102,21 @@ def grams(words):
     return F.array_distinct(F.concat(words, two))
 
 
+@functools.lru_cache(maxsize=1)
+def anchors() -> tuple[str, ...]:
+    """Lower-case strings of which every paragraph that can be confirmed contains one."""
+    found = set()
+    for template in (t for ts in TEMPLATES.values() for t in ts):
+        words = sorted(set(re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", template.lower())))
+        least = math.ceil(CONFIRM * len(words) - 1e-9)  # words that a confirmed paragraph holds
+        words.sort(key=lambda w: (not any(r in w for r in RARE), -len(w), w))
+        found |= {next((r for r in RARE if r in w), w) for w in words[: len(words) - least + 1]}
+    return tuple(sorted(found))
+
+
 def has_anchor(text):
     low = F.lower(text)
-    return functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(a)) for a in ANCHORS))
+    return functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(a)) for a in anchors()))
 
 
 def _literals(rows: list[tuple[str, str]]):

@@ -155,6 +155,27 @@ def test_licences_are_found_and_prose_is_not(spark, docs):
     assert licenses.license_scan(docs([])).count() == 0
 
 
+def test_reserved_lines_and_those_without_an_old_anchor_are_found(docs):
+    rows = {
+        "some words here\nAll rights reserved.\nmore words": ["reserved"],
+        "Copyright 2020 Acme. All rights reserved.": ["reserved"],
+        "Copyright the authors. All rights reserved.": ["reserved"],
+        "he reserved a table and all agreed": [],
+    }
+    out = licenses.license_scan(docs(list(rows))).collect()
+    assert {r["text"]: r["families"] for r in out} == rows
+
+
+def test_a_confirmed_paragraph_cannot_lack_every_anchor():
+    import math
+    import re
+
+    for template in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        words = set(re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", template.lower()))
+        bare = [w for w in words if not any(a in w for a in licenses.anchors())]
+        assert len(bare) < math.ceil(licenses.CONFIRM * len(words) - 1e-9), template
+
+
 def test_licence_probabilities_equal_the_plain_sum(spark, docs):
     import math
     import re
