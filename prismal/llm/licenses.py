@@ -1,10 +1,17 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines. Those that hold an anchor are turned into word 1- and 2-grams and classified by a multinomial logistic regression over the licence families
+Paragraphs are lines, and beside them blocks: runs of two lines or more between lines without a word, so
+that wrapped notices are read whole. Those that hold an anchor are turned into word 1- and 2-grams and classified by a multinomial logistic regression over the licence families
 and `none`; below the calibrated probability the family is unknown. A family is confirmed if the
 paragraph's words contain enough of the words of one of its templates, in any order. The anchors are taken
 from the templates: of each one more word than a confirmed paragraph may lack, so a paragraph without
-an anchor cannot be confirmed and is not classified.
+an anchor cannot be confirmed and is not classified. A block must also hold as many of the template's 2-grams,
+since a long one has most words somewhere. It is reported, at its first line, only for a family that none
+of its lines has.
+
+A paragraph that is worded as a licence notice (`NOTICE`) but is rejected or not confirmed has the family
+`unknown`, with share 0 and the probability of the most probable licence family or none. A line that is part
+of the notice confirmed for its block is not reported, nor is a block that holds a reported line.
 
 The regression is trained here, with Spark ML, on paragraphs made from the templates by rule (case,
 missing words, words of prose before and after) and on prose that uses the anchors otherwise; a
@@ -35,6 +42,20 @@ OUTPUTS = ("licences", "families")
 #: Lower-case strings that anchors are preferred to contain, since prose has them seldom.
 RARE = ("licen", "copyright", "domain", "cc0", "spdx", "redistribution", "reserved")
 
+#: Wording of a statement that something is under a licence, in lower case with single spaces.
+NOTICE = "|".join((
+    r"spdx-license-identifier: *\S",
+    r"\blicen[cs]ed under (?:the |an? )?[\p{L}\p{N}]",
+    r"\b(?:released|distributed|published|available|provided|covered) under (?:the |an? )?(?:[\p{L}\p{N}.,-]+ ){1,8}?(?:public )?licen[cs]e\b",
+    r"\b(?:subject to|under) the terms (?:and conditions )?of (?:the |an? )?(?:[\p{L}\p{N}.,-]+ ){1,8}?licen[cs]e\b",
+    r"\bpermission (?:is hereby granted|to use, copy, modify)",
+    r"\bpermission is granted to (?:anyone|copy)",
+    r"\bredistribution and use in source\b",
+    r"\bdedicated to the public domain\b",
+    r"\ball rights reserved\b",
+))
+UNKNOWN = "unknown"
+
 # Short notices of each family as they are commonly written.
 TEMPLATES = {
     "apache-2.0": [
@@ -206,25 +227,63 @@ def fit(spark: SparkSession) -> Model:
     return _fit(spark.sparkContext.applicationId)
 
 
+def _flat(text):
+    """Lower case with single spaces, for NOTICE; marks of comments at the start of lines go."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"(?m)^[\s#*/;%!>|-]+", " "), r"\s+", " ")
+
+
+def is_notice(text):
+    return _flat(text).rlike(NOTICE)
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tk, line, words): the lines that hold an anchor."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(has_anchor(F.col("text")))
-    own = own.select("id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n", -1)).alias("line", "par"))
-    return own.where(has_anchor(F.col("par"))).select("id", "tk", "line", normal_words(F.col("par")).alias("words"))
+    """(id, tk, line, block, whole, words, notice): lines and blocks that hold an anchor or are notices; block is a block's first line."""
+    text = F.col("text")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(has_anchor(text) | F.lower(text).contains("permission"))
+    lines = F.split("text", "\n", -1)
+    wordless = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(r"[\p{L}\p{N}]"), i)), lambda i: i.isNotNull())
+    ends = F.concat(wordless, F.array(F.size("lines")))
+    start = F.concat(F.array(F.lit(0)), F.transform(wordless, lambda i: i + 1))
+    spans = F.filter(F.arrays_zip(start.alias("lo"), ends.alias("hi")), lambda x: x["hi"] > x["lo"])
+    own = own.select("id", F.xxhash64("text").alias("tk"), lines.alias("lines")).select("*", spans.alias("spans"))
+    own = own.select("id", "tk", "lines", F.explode("spans").alias("b")).select("id", "tk", F.col("b.lo").alias("block"), F.slice("lines", F.col("b.lo") + 1, F.col("b.hi") - F.col("b.lo")).alias("lines"))
+    joined = F.array_join("lines", "\n")
+    own = own.where(has_anchor(joined) | F.lower(joined).contains("permission"))
+    alone = F.transform("lines", lambda x, i: F.struct((F.col("block") + i).alias("line"), F.lit(False).alias("whole"), x.alias("par")))
+    both = F.concat(alone, F.when(F.size("lines") > 1, F.array(F.struct(F.col("block").alias("line"), F.lit(True).alias("whole"), joined.alias("par")))).otherwise(F.array().cast("array<struct<line:int,whole:boolean,par:string>>")))
+    rows = own.select("id", "tk", "block", F.explode(both).alias("p")).select("id", "tk", "block", "p.line", "p.whole", "p.par")
+    rows = rows.where(has_anchor(F.col("par")) | F.lower("par").contains("permission"))
+    return rows.select("id", "tk", "line", "block", "whole", normal_words(F.col("par")).alias("words"), is_notice(F.col("par")).alias("notice"))
 
 
 def license_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tk, line, family, p, share): confirmed licence paragraphs; share of the best template's words found."""
-    keys = ["id", "tk", "line"]
-    rows = paragraphs(docs, id_col, text_col)
+    """(id, tk, line, family, p, share): confirmed licence paragraphs and unknown notices; share of the best template's words found."""
+    keys = ["id", "tk", "line", "whole"]
+    rows = paragraphs(docs, id_col, text_col).dropDuplicates(keys)  # repeated rows have the same result
     found = _predict(rows.select(*keys, grams(F.col("words")).alias("grams")), keys, model)
-    found = found.where((F.col("family") != _MISSING) & (F.col("p") >= model.threshold))
-    known = F.broadcast(templates(docs.sparkSession).select("family", F.col("words").alias("known")))  # a fixed list
     same = functools.reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys))
-    words = rows.alias("r").join(found.alias("f"), same).select("r.*", "f.family", "f.p").join(known, "family")
-    share = F.size(F.array_intersect("words", "known")) / F.size("known")
-    best = words.groupBy(*keys).agg(F.first("family").alias("family"), F.first("p").alias("p"), F.max(share).alias("share"))
-    return best.where(F.col("share") >= CONFIRM)
+    rows = rows.alias("r").join(found.alias("f"), same, "left").select("r.*", "f.family", "f.p")
+    accepted = (F.col("family") != _MISSING) & (F.col("p") >= model.threshold)
+    kept = F.when(F.coalesce(accepted, F.lit(False)), F.col("family"))
+    lists = templates(docs.sparkSession).select("family", F.struct("words", grams(F.col("words")).alias("grams")).alias("t")).groupBy("family").agg(F.collect_list("t").alias("known"))
+    rows = rows.withColumn("family", kept).where("family IS NOT NULL OR notice").join(F.broadcast(lists), "family", "left")  # a fixed list
+    of = F.when(F.col("whole"), grams(F.col("words"))).otherwise(F.col("words"))
+
+    def held(t):
+        share = F.size(F.array_intersect("words", t["words"])) / F.size(t["words"])
+        return F.when(F.col("whole"), F.least(share, F.size(F.array_intersect(of, t["grams"])) / F.size(t["grams"]))).otherwise(share)
+
+    best = F.array_max(F.transform("known", lambda t: F.struct(held(t).alias("share"), t["words"].alias("words"))))
+    rows = rows.select("id", "tk", "line", "block", "whole", "family", "p", "notice", "words", best.alias("best"))
+    sure = F.coalesce(F.col("best.share") >= CONFIRM, F.lit(False))
+    hit = F.struct("line", "whole", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), F.coalesce("p", F.lit(0.0)).alias("p"), F.when(sure, F.col("best.share")).otherwise(0.0).alias("share"), F.when(sure, F.col("best.words")).otherwise(F.col("words")).alias("words"))
+    blocks = rows.where(sure | F.col("notice")).select("id", "tk", "block", hit.alias("hit")).groupBy("id", "tk", "block").agg(F.collect_list("hit").alias("hits"))
+    alone, whole = F.filter("hits", lambda x: ~x["whole"]), F.filter("hits", lambda x: x["whole"])
+    new = F.filter(whole, lambda x: ~F.exists(alone, lambda y: y["family"] == x["family"]))
+    new = F.filter(new, lambda x: (x["family"] != UNKNOWN) | (F.size(alone) == 0))
+    part = lambda y: F.exists(new, lambda x: (x["family"] != UNKNOWN) & (F.size(F.array_except(y["words"], x["words"])) * 2 <= F.size(F.array_distinct(y["words"]))))
+    kept = F.concat(F.filter(alone, lambda y: (y["family"] != UNKNOWN) | ~part(y)), new)
+    return blocks.select("id", "tk", F.explode(kept).alias("x")).select("id", "tk", "x.line", "x.family", "x.p", "x.share")
 
 
 def license_scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,7 +299,7 @@ def license_scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Confirmed licence paragraphs and families of every whole document."""
+    """Licence paragraphs and families of every whole document; `unknown` among them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ids = docs.select("doc_id", F.xxhash64("text").alias("tk"))
     lines = license_lines(docs, fit(spark)).groupBy("id", "tk").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("family")).alias("families"), F.array_sort(F.collect_set("line")).alias("at"))

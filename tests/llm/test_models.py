@@ -166,6 +166,23 @@ def test_reserved_lines_and_those_without_an_old_anchor_are_found(docs):
     assert {r["text"]: r["families"] for r in out} == rows
 
 
+def test_unknown_notices_and_wrapped_notices_are_found(docs):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the Software\nwithout restriction, subject to the copyright notice"
+    rows = {
+        "SPDX-License-Identifier: ISC": ["unknown"],
+        "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Zlib": ["mit", "unknown"],
+        "Licensed under the Eclipse Public License 2.0": ["unknown"],
+        f"a title\n\n{bsd}\n\nmore text": ["bsd"],
+        mit: ["mit"],
+        f"{bsd}\nSPDX-License-Identifier: EPL-2.0": ["bsd", "unknown"],
+        "the bar was licensed to sell beer\nand the copyright lecture was dull": [],
+    }
+    out = {r["text"]: r for r in licenses.license_scan(docs(list(rows))).collect()}
+    assert {t: out[t]["families"] for t in rows} == rows
+    assert [x["line"] for x in out[f"a title\n\n{bsd}\n\nmore text"]["licences"]] == [2]
+
+
 def test_a_confirmed_paragraph_cannot_lack_every_anchor():
     import math
     import re
