@@ -159,7 +159,8 @@ def similarity_summary(spark, d):
 
 @register("greedy_selection")
 def greedy_selection(spark, d):
-    f = features(spark, d).where("grp = 0")
+    """Eight images of the whole table, the three of the least ids given."""
+    f = features(spark, d)
     chosen, history = D.greedy_select(f, 8, sorted(r[0] for r in f.select("image_id").distinct().orderBy("image_id").limit(3).collect()))
     rows = [(k, int(i), float(history[k - 3]) if k >= 3 else None) for k, i in enumerate(chosen)]
     return spark.createDataFrame(rows, "place int, image_id long, agreement double")

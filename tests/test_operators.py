@@ -174,3 +174,16 @@ def test_leave_one_out_of_a_single_unit_is_null(spark):
     assert O.leave_one_out(df, ["g"], "u", "x").first()["mean_rest"] is None
     with pytest.raises(ValueError):
         O.assert_unique(df.unionByName(df), ["g", "u"])
+
+
+def test_queries_without_sql_take_whole_tables(spark, tmp_path):
+    from prismal.plans import kernels, statistics
+
+    rng = np.random.default_rng(8)
+    e = [(i, i % 2, [float(v) for v in rng.normal(size=64)]) for i in range(12)]
+    spark.createDataFrame(e, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    chosen, _ = D.greedy_select(kernels.features(spark, str(tmp_path)), 8, [0, 1, 2])
+    got = [r["image_id"] for r in kernels.greedy_selection(spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == chosen and len(got) == 8 and {i % 2 for i in got} == {0, 1}
+    spark.createDataFrame([(k, "t", 1) for k in (1, 399, 400, 20_000)], "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert statistics._all_pv(spark, str(tmp_path)).count() == 4
