@@ -182,6 +182,22 @@ def test_base_and_guessed_spans(docs):
     assert secrets.redact(docs(["a password=abcdef1234 b", None])).orderBy("doc_id").collect()[0]["text"] == "a [secret] b"
 
 
+def test_letters_only_values_are_costed_and_words_of_the_corpus_are_cheap(docs):
+    rows = {
+        "pwd: XkqZtrWvBnPlQs": [("guess", 5, 19)],
+        "Bearer " + "qZtXw" * 2 + "JhvNkpRdLsGmYcBfTqWzXnVbKjHg": [("guess", 7, 45)],
+        "pwd: gkvbqtxzjwmh": [("guess", 5, 17)],
+        "the secret well-established rule": [],
+        "pwd: established": [],
+        "the secret government": [],
+    }
+    prose = [f"a well established thing {k}" for k in range(secrets.MIN_TEXTS)]
+    got = {r["text"]: [tuple(s) for s in r["spans"]] for r in secrets.secret_spans(docs([*rows, *prose])).collect()}
+    assert {t: got[t] for t in rows} == rows
+    repeated = ["pwd: XkqZtrWvBnPlQs"] * (secrets.MIN_TEXTS + 1)  # a secret does not become a word by its copies
+    assert all(r["n_guess"] == 1 for r in secrets.secret_spans(docs(repeated)).collect())
+
+
 def test_guess_cost_is_the_minimum_over_segmentations():
     """Dynamic programming against the recursion over all segmentations of the same pieces."""
     import functools
