@@ -187,3 +187,29 @@ def test_queries_without_sql_take_whole_tables(spark, tmp_path):
     assert got == chosen and len(got) == 8 and {i % 2 for i in got} == {0, 1}
     spark.createDataFrame([(k, "t", 1) for k in (1, 399, 400, 20_000)], "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert statistics._all_pv(spark, str(tmp_path)).count() == 4
+
+
+def test_readouts_of_a_group_spread_over_tasks_and_equal_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(5.0, 2.0, size=(60, 4))
+    x[:, 3] = 1000.1  # a constant predictor
+    y = np.column_stack([x[:, 0] + rng.normal(size=60), rng.normal(size=60), np.full(60, 0.3)])
+    rows = [(i % 2, i, x[i].tolist(), y[i].tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "grp long, image_id long, x array<double>, y array<double>").repartition(7)
+    out, parts = R.ridge_loo(df), R.variance_partition(df.withColumn("y", F.col("y")[0]), {"a": [0], "b": [1, 2]})
+    got, part = {(r["grp"], r["target"]): r for r in out.collect()}, {(r["grp"], r["family"]): r["unique_r2"] for r in parts.collect()}
+    for plan in (out, parts):
+        assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()
+    for g in range(2):
+        k = np.arange(60) % 2 == g
+        xs = R.standardised(x[k], x[k])
+        r = np.array([R.column_correlation(p, y[k]) for p in R.loo_predictions(xs, y[k], [0.1, 1.0, 10.0])])
+        for t in range(2):
+            assert got[g, t]["alpha"] == [0.1, 1.0, 10.0][r[:, t].argmax()] and got[g, t]["r"] == pytest.approx(r[:, t].max(), abs=1e-9)
+        assert got[g, 2]["r"] == 0.0
+
+        def r2(c):
+            a, b = xs[:, c], y[k, 0] - y[k, 0].mean()
+            return 1 - ((b - a @ np.linalg.solve(a.T @ a + 100 * np.eye(len(c)), a.T @ b)) ** 2).sum() / (b**2).sum()
+
+        assert part[g, "a"] == pytest.approx(r2([0, 1, 2, 3]) - r2([1, 2, 3])) and part[g, "b"] == pytest.approx(r2([0, 1, 2, 3]) - r2([0, 3]))
