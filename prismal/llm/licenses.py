@@ -1,7 +1,8 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
 Paragraphs are lines, and beside them blocks: runs of two lines or more between lines without a word, so
-that wrapped notices are read whole. Those that hold an anchor are turned into word 1- and 2-grams and classified by a multinomial logistic regression over the licence families
+that wrapped notices are read whole. Those that hold an anchor are turned into
+word 1- and 2-grams and classified by a multinomial logistic regression over the licence families
 and `none`; below the calibrated probability the family is unknown. A family is confirmed if the
 paragraph's words contain enough of the words of one of its templates, in any order. The anchors are taken
 from the templates: of each one more word than a confirmed paragraph may lack, so a paragraph without
@@ -15,9 +16,9 @@ of the notice confirmed for its block is not reported, nor is a block that holds
 
 The regression is trained here, with Spark ML, on paragraphs made from the templates by rule (case,
 missing words, words of prose before and after) and on prose that uses the anchors otherwise; a
-third of them is held back, and the threshold is the least probability at which at most
-`CALIBRATE_SHARE` of the held-back paragraphs that are accepted have another family. Training and scan
-are DataFrame functions throughout: weights meet the n-grams in a broadcast join of fixed size.
+third of them is held back, and with notices of other licences (`OTHERS`) sets the threshold: the least
+probability from which on at most `CALIBRATE_SHARE` of what is accepted has another family. Training and scan
+are DataFrame functions throughout; a row's n-grams meet the weights, a list of fixed size, within the row.
 
 Defined cases: null and empty texts have no paragraphs of interest and no licence; repeated rows (equal
 id and text) get the same result; null ids are matched as equal; other columns pass through (those
@@ -39,12 +40,14 @@ CALIBRATE_SHARE = 0.01
 #: Share of a template's distinct words that a paragraph must hold.
 CONFIRM = 0.8
 OUTPUTS = ("licences", "families")
-#: Lower-case strings that anchors are preferred to contain, since prose has them seldom.
-RARE = ("licen", "copyright", "domain", "cc0", "spdx", "redistribution", "reserved")
+#: Starts of words that anchors are taken from first, since prose has them seldom.
+RARE = ("licen", "copyright", "cc", "spdx", "redistribution", "reserved", "domain", "gnu", "gpl", "bsd", "mozilla", "apache", "permission", "permitted", "waived", "hereby", "modification", "documentation", "binary", "obtaining", "foundation")
+#: Starts of the words that every match of NOTICE holds one of.
+NOTICE_STARTS = ("spdx", "licen", "permission", "redistribution", "domain", "reserved")
 
 #: Wording of a statement that something is under a licence, in lower case with single spaces.
 NOTICE = "|".join((
-    r"spdx-license-identifier: *\S",
+    r"\bspdx-license-identifier: *\S",
     r"\blicen[cs]ed under (?:the |an? )?[\p{L}\p{N}]",
     r"\b(?:released|distributed|published|available|provided|covered) under (?:the |an? )?(?:[\p{L}\p{N}.,-]+ ){1,8}?(?:public )?licen[cs]e\b",
     r"\b(?:subject to|under) the terms (?:and conditions )?of (?:the |an? )?(?:[\p{L}\p{N}.,-]+ ){1,8}?licen[cs]e\b",
@@ -107,6 +110,19 @@ PROSE = (
     "warranty claims for the car must reach the dealer in time",
     "the domain of the public servant is a general matter under law",
 )
+#: Notices of licences without a family here, for the calibration of the threshold only.
+OTHERS = (
+    "Licensed under the Eclipse Public License 2.0",
+    "SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: Zlib",
+    "Released under the Boost Software License, version 1.0",
+    "Licensed under the European Union Public Licence",
+    "This font software is licensed under the SIL Open Font License, version 1.1",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+    "Covered by the Common Development and Distribution License, version 1.1",
+    "Distributed under the terms of the Artistic License 2.0",
+    "Licensed under the Academic Free License version 3.0",
+)
 _FILL = "the of and river stone letter window garden under morning table paper before after house".split()
 _MISSING = "none"
 
@@ -125,19 +141,28 @@ def grams(words):
 
 @functools.lru_cache(maxsize=1)
 def anchors() -> tuple[str, ...]:
-    """Lower-case strings of which every paragraph that can be confirmed contains one."""
+    """Starts of words, in lower case, of which every paragraph that can be confirmed holds one.
+
+    Of each template one more distinct word is taken than a confirmed paragraph may lack.
+    """
     found = set()
     for template in (t for ts in TEMPLATES.values() for t in ts):
         words = sorted(set(re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", template.lower())))
         least = math.ceil(CONFIRM * len(words) - 1e-9)  # words that a confirmed paragraph holds
-        words.sort(key=lambda w: (not any(r in w for r in RARE), -len(w), w))
-        found |= {next((r for r in RARE if r in w), w) for w in words[: len(words) - least + 1]}
+        words.sort(key=lambda w: (not w.startswith(RARE), -len(w), w))
+        found |= {next((r for r in RARE if w.startswith(r)), w) for w in words[: len(words) - least + 1]}
     return tuple(sorted(found))
 
 
-def has_anchor(text):
-    low = F.lower(text)
-    return functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(a)) for a in anchors()))
+def _gate(starts) -> str:
+    """A pattern for words with one of the starts; the first letters are looked at before the alternatives."""
+    first = "".join(sorted({w[0] for w in starts}))
+    return f"(?<![a-z0-9])(?=[{first}])(?:{'|'.join(map(re.escape, sorted(starts)))})"
+
+
+def may_hold(text):
+    """Whether a text can hold a confirmed paragraph or a notice: a necessary condition in one regular expression."""
+    return F.lower(text).rlike(_gate({*anchors(), *NOTICE_STARTS}))
 
 
 def _literals(rows: list[tuple[str, str]]):
@@ -150,6 +175,16 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(_literals(rows).alias("t")).select("t.family", F.array_distinct(normal_words(F.col("t.template"))).alias("words"))
 
 
+@functools.lru_cache(maxsize=1)
+def template_grams() -> tuple[str, ...]:
+    """The 1- and 2-grams of all templates, a fixed list."""
+    found = set()
+    for template in (t for ts in TEMPLATES.values() for t in ts):
+        words = list(dict.fromkeys(re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", template.lower())))
+        found |= {*words, *map(" ".join, zip(words, words[1:]))}
+    return tuple(sorted(found))
+
+
 def training_set(spark: SparkSession) -> DataFrame:
     """(family, text, held): variants of templates and prose, made by rule."""
     rows = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(_MISSING, t) for t in PROSE]
@@ -174,24 +209,26 @@ class Model:
 
     def __init__(self, families: list[str], weights: dict[str, list[float]], bias: list[float], threshold: float):
         self.families, self.weights, self.bias, self.threshold = families, weights, bias, threshold
+        self.known = sorted({*weights, *template_grams()})
+
+    def held(self, words):
+        """The distinct n-grams of an array of words that the model or a template knows."""
+        return F.array_intersect(grams(words), F.array(*map(F.lit, self.known)))
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        """(gram, w): one row for each n-gram with weights; FEATURES rows at most."""
-        rows = ", ".join(f"('{g}', '{' '.join(f'{x:g}' for x in w)}')" for g, w in self.weights.items())
-        return spark.sql(f"SELECT gram, CAST(split(w, ' ') AS array<double>) AS w FROM VALUES {rows} AS t(gram, w)")
+    def best(self, held):
+        """Struct (family, p) of the most probable family, `none` included, from what `held` gives."""
+        names = [g for g in self.known if g in self.weights]
+        rows = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x:g}D" for x in self.weights[g]) + ")" for g in names) + ")")
+        place = F.array(*map(F.lit, names))
+        none = F.array(*[F.lit(0.0)] * len(self.families))
+        weight = F.transform(held, lambda g: F.coalesce(F.get(rows, (F.array_position(place, g) - 1).cast("int")), none))
+        z = F.aggregate(weight, F.array(*map(F.lit, self.bias)), lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y))
 
+        def result(z):
+            total = F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max(z)))
+            return F.struct(F.element_at(F.array(*map(F.lit, self.families)), F.array_position(z, F.array_max(z)).cast("int")).alias("family"), (1 / total).alias("p"))
 
-def _predict(grammed: DataFrame, keys: list[str], model: Model) -> DataFrame:
-    """keys plus family and p of each row of (keys, grams); `none` included."""
-    spark, n = grammed.sparkSession, len(model.families)
-    each = grammed.select(*keys, F.explode("grams").alias("gram")).join(F.broadcast(model.table(spark)), "gram")
-    sums = each.groupBy(*keys).agg(*[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(n)])
-    z = F.array(*[F.col(f"z{k}") + F.lit(model.bias[k]) for k in range(n)])
-    most = F.array_max("z")
-    sums = sums.select(*keys, z.alias("z"))
-    total = F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
-    best = F.array_position("z", most).cast("int")
-    return sums.select(*keys, F.element_at(F.array(*map(F.lit, model.families)), best).alias("family"), (1 / total).alias("p"))
+        return F.transform(F.array(z), result)[0]  # so that z is computed once
 
 
 @functools.lru_cache(maxsize=1)
@@ -210,18 +247,30 @@ def _fit(_application: str) -> Model:
     matrix = fitted.coefficientMatrix.toArray().T.tolist()
     weights = {g: [round(x, 4) for x in w] for g, w in zip(counter.vocabulary, matrix) if any(abs(x) >= 5e-5 for x in w)}
     model = Model(list(index.labels), weights, [float(x) for x in fitted.interceptVector], 0.0)
-    held = rows.where("held").withColumn("row", F.monotonically_increasing_id()).cache()
-    checked = _predict(held.select("row", "grams"), ["row"], model).join(held.select("row", F.col("family").alias("truth")), "row")
-    scored = sorted(((r["p"], r["family"] == r["truth"]) for r in checked.where(F.col("family") != _MISSING).select("p", "family", "truth").collect()), reverse=True)
-    wrong, model.threshold = 0, 0.5
-    for k, (p, right) in enumerate(scored, 1):
-        wrong += not right
-        if wrong > CALIBRATE_SHARE * k:
-            model.threshold = max(0.5, p)
-            break
+    model.threshold = calibrated(held_back(spark, model), CALIBRATE_SHARE)
     return model
 
 
+def held_back(spark: SparkSession, model: Model) -> list[tuple[float, bool]]:
+    """(p, right) of the paragraphs kept from training that the model gives a licence family; notices of other licences count as wrong."""
+    rows = training_set(spark).where("held").select("family", "text")
+    others = spark.createDataFrame([(UNKNOWN, t) for t in OTHERS], "family string, text string").coalesce(1)
+    best = model.best(F.col("held")).alias("best")
+    scored = rows.unionAll(others).select("family", model.held(normal_words(F.col("text"))).alias("held")).select("family", best)
+    return [(r["p"], r["right"]) for r in scored.where(F.col("best.family") != _MISSING).select("best.p", (F.col("best.family") == F.col("family")).alias("right")).collect()]
+
+
+def calibrated(scored: list[tuple[float, bool]], share: float) -> float:
+    """The least probability from which on at most `share` of what is accepted is wrong; over 1 if there is none."""
+    found, wrong = math.inf, 0
+    ordered = sorted(scored, reverse=True)
+    for k, (p, right) in enumerate(ordered, 1):
+        wrong += not right
+        if wrong <= share * k and (k == len(ordered) or ordered[k][0] < p):
+            found = p
+    return found
+
+
 def fit(spark: SparkSession) -> Model:
     """The classifier; it depends on templates and prose only and is trained once an application."""
     return _fit(spark.sparkContext.applicationId)
@@ -239,7 +288,7 @@ def is_notice(text):
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tk, line, block, whole, words, notice): lines and blocks that hold an anchor or are notices; block is a block's first line."""
     text = F.col("text")
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(has_anchor(text) | F.lower(text).contains("permission"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(may_hold(text))
     lines = F.split("text", "\n", -1)
     wordless = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(r"[\p{L}\p{N}]"), i)), lambda i: i.isNotNull())
     ends = F.concat(wordless, F.array(F.size("lines")))
@@ -248,36 +297,31 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = own.select("id", F.xxhash64("text").alias("tk"), lines.alias("lines")).select("*", spans.alias("spans"))
     own = own.select("id", "tk", "lines", F.explode("spans").alias("b")).select("id", "tk", F.col("b.lo").alias("block"), F.slice("lines", F.col("b.lo") + 1, F.col("b.hi") - F.col("b.lo")).alias("lines"))
     joined = F.array_join("lines", "\n")
-    own = own.where(has_anchor(joined) | F.lower(joined).contains("permission"))
+    own = own.where(may_hold(joined))
     alone = F.transform("lines", lambda x, i: F.struct((F.col("block") + i).alias("line"), F.lit(False).alias("whole"), x.alias("par")))
     both = F.concat(alone, F.when(F.size("lines") > 1, F.array(F.struct(F.col("block").alias("line"), F.lit(True).alias("whole"), joined.alias("par")))).otherwise(F.array().cast("array<struct<line:int,whole:boolean,par:string>>")))
     rows = own.select("id", "tk", "block", F.explode(both).alias("p")).select("id", "tk", "block", "p.line", "p.whole", "p.par")
-    rows = rows.where(has_anchor(F.col("par")) | F.lower("par").contains("permission"))
+    rows = rows.where(may_hold(F.col("par")))
     return rows.select("id", "tk", "line", "block", "whole", normal_words(F.col("par")).alias("words"), is_notice(F.col("par")).alias("notice"))
 
 
 def license_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tk, line, family, p, share): confirmed licence paragraphs and unknown notices; share of the best template's words found."""
-    keys = ["id", "tk", "line", "whole"]
-    rows = paragraphs(docs, id_col, text_col).dropDuplicates(keys)  # repeated rows have the same result
-    found = _predict(rows.select(*keys, grams(F.col("words")).alias("grams")), keys, model)
-    same = functools.reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys))
-    rows = rows.alias("r").join(found.alias("f"), same, "left").select("r.*", "f.family", "f.p")
-    accepted = (F.col("family") != _MISSING) & (F.col("p") >= model.threshold)
-    kept = F.when(F.coalesce(accepted, F.lit(False)), F.col("family"))
+    rows = paragraphs(docs, id_col, text_col).select("id", "tk", "line", "block", "whole", "notice", model.held(F.col("words")).alias("held"), F.when(~F.col("whole"), F.col("words")).alias("words"))
+    rows = rows.withColumn("best", model.best(F.col("held"))).withColumn("p", F.when(F.col("best.family") != _MISSING, F.col("best.p")))
+    rows = rows.withColumn("family", F.when(F.col("p") >= model.threshold, F.col("best.family"))).drop("best")
     lists = templates(docs.sparkSession).select("family", F.struct("words", grams(F.col("words")).alias("grams")).alias("t")).groupBy("family").agg(F.collect_list("t").alias("known"))
-    rows = rows.withColumn("family", kept).where("family IS NOT NULL OR notice").join(F.broadcast(lists), "family", "left")  # a fixed list
-    of = F.when(F.col("whole"), grams(F.col("words"))).otherwise(F.col("words"))
+    rows = rows.where("family IS NOT NULL OR notice").join(F.broadcast(lists), "family", "left")  # a fixed list
 
     def held(t):
-        share = F.size(F.array_intersect("words", t["words"])) / F.size(t["words"])
-        return F.when(F.col("whole"), F.least(share, F.size(F.array_intersect(of, t["grams"])) / F.size(t["grams"]))).otherwise(share)
+        share = F.size(F.array_intersect("held", t["words"])) / F.size(t["words"])
+        return F.when(F.col("whole"), F.least(share, F.size(F.array_intersect("held", t["grams"])) / F.size(t["grams"]))).otherwise(share)
 
     best = F.array_max(F.transform("known", lambda t: F.struct(held(t).alias("share"), t["words"].alias("words"))))
     rows = rows.select("id", "tk", "line", "block", "whole", "family", "p", "notice", "words", best.alias("best"))
     sure = F.coalesce(F.col("best.share") >= CONFIRM, F.lit(False))
     hit = F.struct("line", "whole", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), F.coalesce("p", F.lit(0.0)).alias("p"), F.when(sure, F.col("best.share")).otherwise(0.0).alias("share"), F.when(sure, F.col("best.words")).otherwise(F.col("words")).alias("words"))
-    blocks = rows.where(sure | F.col("notice")).select("id", "tk", "block", hit.alias("hit")).groupBy("id", "tk", "block").agg(F.collect_list("hit").alias("hits"))
+    blocks = rows.where(sure | F.col("notice")).select("id", "tk", "block", hit.alias("hit")).groupBy("id", "tk", "block").agg(F.collect_set("hit").alias("hits"))  # repeated rows count once
     alone, whole = F.filter("hits", lambda x: ~x["whole"]), F.filter("hits", lambda x: x["whole"])
     new = F.filter(whole, lambda x: ~F.exists(alone, lambda y: y["family"] == x["family"]))
     new = F.filter(new, lambda x: (x["family"] != UNKNOWN) | (F.size(alone) == 0))
