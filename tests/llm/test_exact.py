@@ -198,35 +198,74 @@ def test_letters_only_values_are_costed_and_words_of_the_corpus_are_cheap(docs):
     assert all(r["n_guess"] == 1 for r in secrets.secret_spans(docs(repeated)).collect())
 
 
-def test_guess_cost_is_the_minimum_over_segmentations():
-    """Dynamic programming against the recursion over all segmentations of the same pieces."""
+def _least_guesses(value, ranks):
+    """The least cost over all segmentations, by recursion over all pieces from their plain definitions."""
     import functools
     import math
 
-    def least(value):
-        kinds = {}
-        for i in range(len(value)):
-            for j in range(i + 1, len(value) + 1):
-                s = secrets.segments(value[i:j])
-                if len(s) == 1 and s[0][2] != "brute":
-                    kinds[i, j] = s[0][3]
-
-        @functools.lru_cache(None)
-        def rest(i):
-            if i == len(value):
-                return 0.0
-            more = math.log10(2) if i else 0.0
-            out = math.inf
-            for j in range(i + 1, len(value) + 1):
-                brute = sum(map(secrets._brute, value[i:j]))
-                out = min(out, brute + more + rest(j), kinds.get((i, j), math.inf) + more + rest(j))
-            return out
-
-        return rest(0)
-
-    for value in ("password1999", "aaaaZq", "qwertyQ7", "Zx9kQ2vL", "abcabcabc!", "2024-01-15x"):
-        assert secrets.guesses_log10(value) == pytest.approx(least(value), abs=0.31)
+    keys = ["1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz"]
+    beside = {p for row in keys for r in (row, row[::-1]) for p in zip(r, r[1:])}
+    single = [1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) for c in value]
+
+    def pieces(i, j):
+        x, n = value[i:j], j - i
+        yield sum(single[i:j])
+        for text, extra in ((x.lower(), 0.0), (x.lower().translate(str.maketrans("4@310$57!", "aaeiosstl")), math.log10(4))):
+            if n >= 3 and text in ranks:
+                yield math.log10(ranks[text] + 1) + (0 if x.islower() else math.log10(2)) + extra
+        if secrets._DATE.fullmatch(x):
+            yield math.log10(365 * (120 if n > 4 else 1))
+        for w in range(1, n):
+            if n % w == 0 and x == x[:w] * (n // w) and (n >= 3 if w == 1 else True):
+                yield sum(single[i : i + w]) + math.log10(n // w)
+        if n >= 4 and all(p in beside for p in zip(x.lower(), x.lower()[1:])):
+            yield math.log10(40 * n)
+
+    @functools.lru_cache(None)
+    def rest(i):
+        return 0.0 if i == len(value) else min(min(pieces(i, j)) + (math.log10(2) if i else 0.0) + rest(j) for j in range(i + 1, len(value) + 1))
+
+    return rest(0)
+
+
+def test_guess_cost_is_the_minimum_over_segmentations():
+    rng = random.Random(8)
+    words = secrets.Words(["abc", "cab", "zebra", "abcabc"])
+    parts = ["password", "p4ss", "Zebra", "abc", "aaaa", "qwer", "1999", "2024-01-15", "0112", "ab", "!", "é", "Q", "7", "x9", "321", "cabcab"]
+    values = ["aaaabcabc!key", "password1999", "aaaaZq", "qwertyQ7", "abcabcabc!", "2024-01-15x", "a", "aa", ""]
+    values += ["".join(rng.choice("ab1!c") for _ in range(rng.randrange(1, 15))) for _ in range(500)]
+    values += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))[:14] for _ in range(500)]
+    for value in values:
+        got = secrets.segments(value, words)
+        assert sum(c for *_, c in got) == pytest.approx(_least_guesses(value, words.rank), abs=1e-9), value
+        assert [a for a, *_ in got[1:]] == [b for _, b, *_ in got[:-1]] and "".join(value[a:b] for a, b, *_ in got) == value
     assert secrets.guesses_log10("password") < secrets.guesses_log10("gk4vbq2t") < secrets.guesses_log10("Gk4!bQ2t#9")
+    assert secrets.guesses_log10("a" * 100_000) < 8 and secrets.guesses_log10("Kq7!" * 5_000) < secrets.MIN_GUESSES_LOG10
+
+
+def test_secrets_query_equals_the_contract_patterns(spark):
+    """Base columns of every document against plain regular expressions; all values have a cost."""
+    import re
+
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assign = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    costed = 0
+    rows = secrets.op9_secrets(spark, folder).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        t = texts[r["doc_id"]]
+        spans = [("assign", *m.span()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")]
+        spans.sort(key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+        joined = [":".join(map(str, s)) for s in spans]
+        assert r["base_sha256"] == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("guess")] == joined
+        costed += len(r["costs"])
+        assert len(r["costs"]) >= r["n_assign"]
+    assert costed > 0
 
 
 # BPE
