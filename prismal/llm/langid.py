@@ -3,10 +3,17 @@
 A text is the average of the embeddings of its byte 3- and 4-grams (within words, with the space
 at a word's border, letters lower-cased), hashed to 2**BITS rows; a linear layer and a softmax
 over the languages follow. Both are trained by mini-batch stochastic gradient descent in numpy on a
-bounded sample of labelled documents (`PER_LANGUAGE` for each language, spread over all documents by
-a hash of their columns, `NGRAMS` n-grams drawn over the whole text of each). A fifth of the sample is
-held back to fit a temperature and the rejection threshold: the calibrated probability that
-`REJECT_SHARE` of these documents do not reach.
+bounded sample of labelled documents (`PER_LANGUAGE` for each of the `LANGUAGES` commonest labels, spread
+over all documents by a hash of their columns; each text whole). A fifth of the sample is held back to
+calibrate:
+
+* a temperature, fitted to smoothed targets (as many right and one wrong), so that it stays finite;
+* the probability below which a text is rejected: `REJECT_SHARE` of the held-back documents do not reach it;
+* the share of a text's n-grams that its language showed in training, below which it is rejected. The
+  share is drawn to the usual one by `PRIOR` n-grams, so that a word or two are not judged. The threshold lies
+  midway between the held-back documents in their own language (all but `REJECT_SHARE`) and what should
+  go: the same documents in the best of the other languages (each language left out in turn) and random
+  n-grams. Where the two overlap, it is the value that loses `REJECT_SHARE` of the documents.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and rejected; without any
 labelled row everything is `und`; rows with a null label only are scored; repeated rows are
@@ -22,14 +29,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _text
 
-BITS, DIM = 16, 16
-PER_LANGUAGE, NGRAMS = 800, 1024
+BITS, DIM = 18, 16
+#: Bounds of the training sample: documents a language, and languages (the commonest labels).
+PER_LANGUAGE, LANGUAGES = 500, 256
+#: N-grams at the usual share that a text's own are added to, before its share is compared.
+PRIOR = 12
 EPOCHS, BATCH, RATE = 4, 32, 0.5
 REJECT_SHARE = 0.001
 #: Never rejected from this calibrated probability on, whatever the held-back documents reach.
 REJECT_MOST = 0.5
 OUTPUTS = ("lang_pred", "score", "rejected")
 
+_CODEC = pa.Codec("zstd", 3)
 _SPACE = _text.byte_table(lambda b: not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128))
 
 
@@ -75,17 +86,18 @@ def sums(values: np.ndarray, bound: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Languages, embeddings, linear layer, temperature and rejection threshold."""
+    """Languages, embeddings and linear layer (as one weight for each n-gram and language), known n-grams and calibration."""
 
     def __init__(self, langs: list[str], table: np.ndarray, weights: np.ndarray, bias: np.ndarray):
         self.langs, self.bias, self.temperature, self.threshold = langs, bias, 1.0, 0.0
         self.per_lang = np.ascontiguousarray((table @ weights).T) if langs else table[:0]
+        self.known = np.zeros((len(langs), 1 << BITS), dtype=bool)
+        self.usual, self.least_known = 1.0, 0.0
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Logits and numbers of n-grams of each document of a block."""
-        parts = ngrams(data, offsets)
         count = sum(np.diff(b) for _, b in parts)
-        total = np.stack([sum(sums(row[i], b) for i, b in parts) for row in self.per_lang], axis=1) if self.langs else np.zeros((len(offsets) - 1, 0))
+        total = np.stack([sum(sums(row[i], b) for i, b in parts) for row in self.per_lang], axis=1)
         return total / np.maximum(count, 1)[:, None] + self.bias, count
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
@@ -93,81 +105,111 @@ class Model:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def shares(self, parts: list[tuple[np.ndarray, np.ndarray]], best: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The share of each document's n-grams that its language showed in training, drawn to the usual one."""
+        seen = sum(sums(self.known[np.repeat(best, np.diff(b)), i], b) for i, b in parts)
+        return self.drawn(seen, count)
 
-def train(rows: list[tuple[str, np.ndarray]], seed: int = 7) -> Model:
-    """rows: (language, buckets of sampled n-grams)."""
-    langs = sorted({lang for lang, _ in rows})
+    def drawn(self, seen, count):
+        return (seen + PRIOR * self.usual) / (count + PRIOR)
+
+    def rejects(self, p: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return (p < self.threshold) | (share < self.least_known)
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
+    """rows: (language, buckets of a text's distinct n-grams, how often each occurs)."""
+    langs = sorted({lang for lang, *_ in rows})
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.05, (1 << BITS, DIM)).astype(np.float32)
     weights, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     weights += rng.normal(0, 0.3, weights.shape).astype(np.float32)
-    y = np.array([langs.index(lang) for lang, _ in rows])
+    y = np.array([langs.index(lang) for lang, *_ in rows])
     order = rng.permutation(len(rows))
     held, used = (order[: len(order) // 5], order[len(order) // 5 :]) if len(order) >= 20 else (order, order)
+    share = [(n / max(n.sum(), 1)).astype(np.float32) for *_, n in rows]
     steps, step = EPOCHS * -(-len(used) // BATCH), 0
     for _ in range(EPOCHS):
         for at in range(0, len(used), BATCH):
-            pick = rng.permutation(used)[:BATCH] if len(used) < BATCH else used[at : at + BATCH]
-            flat = np.concatenate([rows[i][1] for i in pick])
+            pick = used[at : at + BATCH]
+            flat, part = np.concatenate([rows[i][1] for i in pick]), np.concatenate([share[i] for i in pick])
             size = np.array([len(rows[i][1]) for i in pick])
             doc = np.repeat(np.arange(len(pick)), size)
-            scale = (1 / np.maximum(size, 1)).astype(np.float32)
             h = np.zeros((len(pick), DIM), np.float32)
             some = np.flatnonzero(size)
-            h[some] = np.add.reduceat(table[flat], (np.cumsum(size) - size)[some], axis=0) * scale[some, None] if len(some) else 0
+            if len(some):
+                h[some] = np.add.reduceat(table[flat] * part[:, None], (np.cumsum(size) - size)[some], axis=0)
             z = h @ weights + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(pick)), y[pick]] -= 1
-            back = (p @ weights.T) * scale[:, None]
+            back = p @ weights.T
             rate = RATE * (1 - step / steps)
             weights -= rate * (h.T @ p) / len(pick)
             bias -= rate * p.mean(axis=0)
             hit, inverse = np.unique(flat, return_inverse=True)
             for d in range(DIM):  # each n-gram moves by its documents' gradient; rare ones need the large step
-                table[hit, d] -= rate * 20 * np.bincount(inverse, weights=back[doc, d], minlength=len(hit)).astype(np.float32)
+                table[hit, d] -= rate * 20 * np.bincount(inverse, weights=back[doc, d] * part, minlength=len(hit)).astype(np.float32)
             step += 1
         rng.shuffle(used)
     model = Model(langs, table, weights, bias)
-    if len(held):
-        z = np.stack([(model.per_lang[:, rows[i][1]].mean(axis=1) if len(rows[i][1]) else np.zeros(len(langs))) + bias for i in held])
-        grid = np.geomspace(0.05, 5, 60)
-        losses = []
-        for t in grid:
-            model.temperature = t
-            losses.append(-np.log(model.probabilities(z)[np.arange(len(held)), y[held]] + 1e-9).mean())
-        model.temperature = float(grid[int(np.argmin(losses))])
-        model.threshold = min(REJECT_MOST, float(np.quantile(model.probabilities(z).max(axis=1), REJECT_SHARE)))
+    for i in used:
+        model.known[y[i], rows[i][1]] = True
+    _calibrate(model, [rows[i] for i in held], y[held])
     return model
 
 
+def _calibrate(model: Model, held: list[tuple[str, np.ndarray, np.ndarray]], y: np.ndarray) -> None:
+    """Temperature, least probability and least share of known n-grams, from documents kept from training."""
+    n, count = len(held), np.array([c.sum() for *_, c in held])
+    z = np.stack([(model.per_lang[:, at] @ c / max(c.sum(), 1)) for _, at, c in held]) + model.bias
+    right = np.full(z.shape, 1 / (n + 2) / max(len(model.langs) - 1, 1))
+    right[np.arange(n), y] = (n + 1) / (n + 2)
+    grid = np.geomspace(0.02, 5, 90)
+    losses = []
+    for t in grid:
+        model.temperature = t
+        losses.append(-(right * np.log(model.probabilities(z) + 1e-30)).sum(axis=1).mean())
+    model.temperature = float(grid[int(np.argmin(losses))])
+    p = model.probabilities(z)
+    model.threshold = min(REJECT_MOST, float(np.quantile(p.max(axis=1), REJECT_SHARE)))
+
+    seen = np.stack([(model.known[:, at] @ c) for _, at, c in held]).astype(float)
+    model.usual = float(seen[np.arange(n), y].sum() / max(count.sum(), 1))
+    own = np.quantile(model.drawn(seen[np.arange(n), y], count), REJECT_SHARE)
+    long = count >= 4 * PRIOR  # of the others those that have enough n-grams to tell
+    others = np.where(np.arange(z.shape[1]) == y[:, None], -np.inf, z).argmax(axis=1)
+    strange = [float(model.known.mean(axis=1).max())]
+    if len(model.langs) > 1 and long.any():
+        strange.append(float(np.quantile(model.drawn(seen[np.arange(n), others], count)[long], 0.99)))
+    low = max(strange)
+    model.least_known = float((own + low) / 2) if low < own else float(own)
+
+
 def _sample(batches, text_col: str):
-    """Buckets of NGRAMS n-grams drawn over each whole text."""
+    """The n-grams of each whole text: distinct buckets and how often each occurs."""
     for batch in batches:
         for rows, data, offsets in _text.blocks(batch, text_col):
             parts = ngrams(data, offsets)
-            out = []
-            for d in range(len(rows)):
-                mine = np.concatenate([i[b[d] : b[d + 1]] for i, b in parts])
-                rng = np.random.default_rng([len(mine), *mine[:8].tolist()])
-                out.append((rng.choice(mine, NGRAMS, replace=False) if len(mine) > NGRAMS else mine).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([rows.column("lang"), pa.array([x.tobytes() for x in out], pa.binary())], ["lang", "grams"])
+            out = [np.unique(np.concatenate([i[b[d] : b[d + 1]] for i, b in parts]), return_counts=True) for d in range(len(rows))]
+            cells = [pa.array([_CODEC.compress(x[k].astype(np.int32).tobytes(), asbytes=True) for x in out], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([rows.column("lang"), pa.array([len(x[0]) for x in out], pa.int32()), *cells], ["lang", "n", "grams", "counts"])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """A model from a sample of at most about `per_language` labelled documents for each language."""
+    """A model from a sample of at most about `per_language` labelled documents for each of the commonest `LANGUAGES` labels."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(*labelled.columns).alias("_draw"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not counts:
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("_share"), F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES)
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod("_draw", F.lit(1 << 30)) < F.col("_share") * float(1 << 30)).select("lang", "text")
+    sample = chosen.mapInArrow(lambda b: _sample(b, "text"), "lang string, n int, grams binary, counts binary").limit(2 * per_language * LANGUAGES).collect()
+    if not sample:
         return Model([], np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    chosen = rows.where(F.pmod("_draw", F.lit(1 << 30)) < share * float(1 << 30))
-    sample = chosen.mapInArrow(lambda b: _sample(b, "text"), "lang string, grams binary").limit(2 * per_language * len(counts)).collect()
-    pairs = sorted((r["lang"], bytes(r["grams"])) for r in sample)
-    return train([(lang, np.frombuffer(g, np.int32)) for lang, g in pairs])
+
+    def unpacked(cell, n):
+        return np.frombuffer(_CODEC.decompress(bytes(cell), decompressed_size=4 * n, asbytes=True), np.int32)
+
+    return train([(r["lang"], unpacked(r["grams"], r["n"]), unpacked(r["counts"], r["n"])) for r in sorted(sample, key=lambda r: (r["lang"], bytes(r["grams"]), bytes(r["counts"])))])
 
 
 def _has_letter(text: str | None) -> bool:
@@ -182,15 +224,17 @@ def _predict(batches, model: Model, text_col: str, keep: list[str]):
         for rows, data, offsets in _text.blocks(batch, text_col):
             n = len(rows)
             best, score = np.full(n, len(model.langs)), np.zeros(n)
+            rejected = np.ones(n, dtype=bool)
             if model.langs:
                 lettered = np.diff(np.concatenate([[0], np.cumsum(ascii_letter[data])])[offsets]) > 0
                 for i in np.flatnonzero(~lettered):
                     lettered[i] = _has_letter(rows.column(text_col)[i].as_py())
-                z, _ = model.logits(data, offsets)
+                parts = ngrams(data, offsets)
+                z, count = model.logits(parts)
                 p = model.probabilities(z)
+                rejected = ~lettered | model.rejects(p.max(axis=1), model.shares(parts, p.argmax(axis=1), count))
                 best = np.where(lettered, p.argmax(axis=1), best)
                 score = np.where(lettered, p.max(axis=1), 0.0)
-            rejected = (best == len(model.langs)) | (score < model.threshold)
             arrays = [rows.column(c) for c in keep] + [pa.array(langs[best], pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *OUTPUTS])
 
