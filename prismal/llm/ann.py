@@ -1,16 +1,20 @@
 """Approximate nearest neighbours: score-aware anisotropic quantisation, four-bit table scans, exact reranking.
 
-The least Euclidean distance is the largest q.x - |x|^2 / 2. The norm is kept exactly; x is
-quantised in subspaces of two dimensions with 16 centroids each (four bits). Codebooks and codes
-minimise a loss that weighs the residual parallel to x by `eta` times its orthogonal part, since that
-part changes the inner products of near queries most: codes by coordinate descent over the
-subspaces, centroids by the normal equations of the weighted loss. They are fitted on a bounded
-sample (`SAMPLE` vectors, drawn by a hash); every row is encoded and scanned.
-
-Query blocks are joined to candidate blocks. Each pair scans 4-bit codes through tables of its
-queries' partial scores and reranks the candidates by exact distance in double precision, `STEP` at a
-time in the order of their scores, until a step changes nothing in a query's k nearest: where very
-many vectors lie close together, as codes cannot tell, the reranking goes on through them. The k
+The least Euclidean distance is the largest q.x - |x|^2 / 2, with both centred on a sample's mean. The
+norm is kept exactly; x is quantised in subspaces of two dimensions with 16 centroids each (four bits).
+Codebooks and codes minimise a loss that weighs the residual parallel to x by `eta` times its
+orthogonal part, since that part changes the inner products of near queries most: codes by coordinate
+descent over the subspaces, centroids by the normal equations of the weighted loss. They are fitted on
+a bounded sample (`SAMPLE` vectors, drawn by a hash); every row is encoded and scanned.
+
+A scan reads a block's 4-bit codes through tables of a query's partial scores. The length of each row's
+residual is kept beside its code: it bounds what the code may be off by, `SPREAD` standard deviations of
+a product with a residual of that length. Candidates are reranked by exact distance in double precision in
+the order of score plus that bound, until it falls below the k-th nearest so far; so the depth follows from
+the data, and where very many vectors lie close together the reranking goes on through them.
+
+The queries go to every task while they number `BROADCAST_ROWS` at most; beyond that, blocks of queries
+meet blocks of candidates in a shuffle, in as many groups as the candidates' number asks for. The k
 of each block go through a partial top-k in every task and a last one by query.
 
 Equal vectors lie at equal distance, so only the k + 1 smallest ids of each distinct vector are
@@ -28,17 +32,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-K, EVERY, STEP = 10, 100, 512
+K, EVERY, STEP = 10, 100, 128
+#: Standard deviations of a residual's product that a candidate may be better than its score.
+SPREAD = 3.0
 SAMPLE, ROUNDS, THRESHOLD = 4096, 6, 0.2
 BLOCK, QUERIES = 8192, 256
-GROUPS = 64
+#: Queries that are sent to every task, and candidates of one group where they are more.
+BROADCAST_ROWS, GROUP_ROWS = 32_768, 1 << 18
 
 
 class Codebooks:
-    """Centroids of all subspaces, (subspaces, 16, 2), and the weight of the parallel residual."""
+    """Centroids of all subspaces, (subspaces, 16, 2), the weight of the parallel residual and the mean that vectors are centred on."""
 
-    def __init__(self, dim: int, centroids: np.ndarray, eta: float):
-        self.dim, self.centroids, self.eta = dim, centroids, eta
+    def __init__(self, dim: int, centroids: np.ndarray, eta: float, mean: np.ndarray | float = 0.0):
+        self.dim, self.centroids, self.eta, self.mean = dim, centroids, eta, mean
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, x.shape[1] % 2))) if x.shape[1] % 2 else x
@@ -66,6 +73,12 @@ class Codebooks:
                 parallel = rest + along[rows, code[:, k]]
         return code
 
+    def lengths(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The length of each residual."""
+        m = len(self.centroids)
+        own = self.padded(x.astype(np.float32)).reshape(len(x), m, 2) - self.centroids[np.arange(m), codes]
+        return np.sqrt((own**2).sum(axis=(1, 2)))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Partial scores of pairs of subspaces: (queries, pairs, 256), low four bits first."""
         q = self.padded(queries.astype(np.float32)).reshape(len(queries), -1, 2)
@@ -98,10 +111,12 @@ def parallel_weight(dim: int, threshold: float) -> float:
 
 
 def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = ROUNDS, seed: int = 3) -> Codebooks:
-    """Codebooks of a sample of vectors."""
+    """Codebooks of a sample of vectors, centred on its mean."""
+    mean = x.mean(axis=0)
+    x = x - mean
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
-    books = Codebooks(dim, np.zeros((0, 16, 2), np.float32), parallel_weight(dim, threshold))
+    books = Codebooks(dim, np.zeros((0, 16, 2), np.float32), parallel_weight(dim, threshold), mean)
     x = books.padded(x.astype(np.float32))
     m = x.shape[1] // 2
     part = x.reshape(len(x), m, 2)
@@ -141,12 +156,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _encode(batches, books: Codebooks):
-    """Blocks of candidates: ids, vectors, half squared norms and packed codes."""
-    for ids, x in _stacked(batches, BLOCK):
-        codes = np.concatenate([pack(books.codes(x[at : at + 1024])) for at in range(0, len(x), 1024)], axis=1)
-        cells = (ids, x, ((x * x).sum(axis=1) / 2).astype(np.float32), codes)
-        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["ids", "vectors", "norms", "codes"])
+class Block:
+    """Candidates: ids, vectors, half squared norms and residual lengths of the centred vectors, packed codes."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, books: Codebooks):
+        self.ids, self.x, self.books = ids, x, books
+        own = x - books.mean
+        codes = np.concatenate([books.codes(own[at : at + 1024]) for at in range(0, len(own), 1024)])
+        self.norms = ((own * own).sum(axis=1) / 2).astype(np.float32)
+        self.lengths = books.lengths(own, codes)
+        self.codes = pack(codes)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query ids, row ids, distances) of the k nearest found for each query, ties to smaller ids, and the number of distances computed."""
+        centred = queries - self.books.mean
+        spread = (SPREAD / np.sqrt(self.x.shape[1]) * np.linalg.norm(centred, axis=1)).astype(np.float32)
+        codes, out, read = self.codes.astype(np.int64), [], 0
+        for q, v, own, wide, table in zip(query_ids.tolist(), queries, centred, spread, self.books.tables(centred)):
+            most = wide * self.lengths - self.norms
+            for part, code in zip(table, codes):
+                most += part[code]
+            most[self.ids == q] = -np.inf
+            best, near, n = rerank(most, float(own @ own), lambda at: np.sqrt(((self.x[at] - v) ** 2).sum(axis=1)), self.ids, k, step)
+            out.append((np.full(len(best), q), self.ids[best], near))
+            read += n
+        return *map(np.concatenate, zip(*out)), read
 
 
 def _stacked(batches, size: int):
@@ -165,69 +199,92 @@ def _stacked(batches, size: int):
         yield np.concatenate(ids), np.concatenate(rows)
 
 
-def _query_blocks(batches):
-    for ids, x in _stacked(batches, QUERIES):
-        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in (ids, x)], ["query_ids", "queries"])
-
+def rerank(most: np.ndarray, square: float, distances, ids: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k nearest (rows, distances), ties to smaller ids, and how many distances were computed.
 
-def rerank(score: np.ndarray, distances, ids: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest (rows, distances), ties to smaller ids, read in falling order of score until a step changes nothing."""
-    best, near, at, n = np.zeros(0, np.int64), np.zeros(0), 0, len(score)
-    order = np.argpartition(-score, 2 * step)[: 2 * step] if n > 2 * step else np.arange(n)
-    order = order[np.argsort(-score[order], kind="stable")]
+    most is the largest q.x - |x|^2 / 2 that each row may have; rows are read in its falling order, until
+    it falls below that of the k-th nearest so far. square is |q|^2.
+    """
+    best, near, at, n = np.zeros(0, np.int64), np.zeros(0), 0, len(most)
+    order = np.zeros(0, np.int64)
     while at < n:
         if at >= len(order):
-            order = np.argsort(-score, kind="stable")
-        part = order[at : at + step]
-        part = part[score[part] > -np.inf]
+            size = min(n, max(8 * step, 4 * len(order)))
+            order = np.argpartition(-most, size - 1)[:size] if size < n else np.arange(n)
+            order = order[np.argsort(-most[order], kind="stable")]
+        part = order[at : min(at + step, len(order))]
+        part = part[most[part] > -np.inf]
+        if len(best) == k:
+            reach = (square - near[-1] ** 2) / 2
+            part = part[most[part] >= reach - 1e-5 * (abs(reach) + square)]
+        if not len(part):
+            break
         rows, d = np.concatenate([best, part]), np.concatenate([near, distances(part)])
         pick = np.lexsort((ids[rows], d))[:k]
-        same = len(best) == k and (pick < k).all()
-        best, near, at = rows[pick], d[pick], at + step
-        if same:
-            break
-    return best, near
+        best, near, at = rows[pick], d[pick], at + len(part)
+    return best, near, at
+
 
+def _found(query_ids, row_ids, distances):
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (query_ids, row_ids, distances)], ["query_id", "vec_id", "score"])
 
-def _scan(batches, books: Codebooks, k: int):
-    """The k nearest found of each query in each pair of blocks."""
+
+def _scan_all(batches, books: Codebooks, queries: list[tuple[np.ndarray, np.ndarray]], k: int):
+    """Every block of candidates of a task against all queries."""
+    for ids, x in _stacked(batches, BLOCK):
+        block = Block(ids, x, books)
+        for query_ids, vectors in queries:
+            yield _found(*block.search(query_ids, vectors, k)[:3])
+
+
+def _packed(batches, size: int):
+    for ids, x in _stacked(batches, size):
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in (ids, x)], ["ids", "vectors"])
+
+
+def _unpacked(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(vectors, np.float64).reshape(len(ids), -1)
+
+
+def _scan_pairs(batches, books: Codebooks, k: int):
+    """Pairs of blocks: those of one block of candidates follow one another, so that it is encoded once."""
+    last, block = None, None
     for batch in batches:
         for i in range(len(batch)):
-            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-            ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float32)
-            x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-            codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(ids)).astype(np.int64)
-            query_ids = np.frombuffer(row["query_ids"], np.int64)
-            queries = np.frombuffer(row["queries"], np.float64).reshape(len(query_ids), -1)
-            out = []
-            for q, v, table in zip(query_ids.tolist(), queries, books.tables(queries)):
-                score = -norms
-                for part, code in zip(table, codes):
-                    score = score + part[code]
-                score[ids == q] = -np.inf
-                best, near = rerank(score, lambda at: np.sqrt(((x[at] - v) ** 2).sum(axis=1)), ids, k)
-                out.append((np.full(len(best), q), ids[best], near))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
-
-
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+            raw = batch.column("ids")[i].as_py()
+            if raw != last:
+                last, block = raw, Block(*_unpacked(raw, batch.column("vectors")[i].as_py()), books)
+            query_ids, queries = _unpacked(batch.column("query_ids")[i].as_py(), batch.column("queries")[i].as_py())
+            yield _found(*block.search(query_ids, queries, k)[:3])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, by default the rows whose id is divisible by EVERY.
 
     queries has the columns of vectors; a row with the query's id is not a candidate for it.
     """
+    context = vectors.sparkSession.sparkContext
     rows = usable(vectors, id_col, vec_col)
     asked = rows.where(F.col("vec_id") % EVERY == 0) if queries is None else usable(queries, id_col, vec_col)
     n = rows.count()
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 30)) < min(1.0, SAMPLE / max(n, 1)) * float(1 << 30)).limit(2 * SAMPLE).select("v").collect()
     sample = sample or rows.limit(16).select("v").collect()
-    books = vectors.sparkSession.sparkContext.broadcast(fit(np.array([r["v"] for r in sample])) if sample else None)
+    books = context.broadcast(fit(np.array([r["v"] for r in sample])) if sample else None)
 
     copies = Window.partitionBy(F.xxhash64("v"), F.hash("v")).orderBy("vec_id")
     few = rows.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k + 1).select("vec_id", "v")
-    blocks = few.mapInArrow(lambda b: _encode(b, books.value), "ids binary, vectors binary, norms binary, codes binary")
-    blocks = blocks.withColumn("g", F.pmod(F.xxhash64(F.substring("ids", 1, 64)), F.lit(GROUPS)))
-    asks = asked.mapInArrow(_query_blocks, "query_ids binary, queries binary").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)).cast("array<long>")))
-    found = blocks.join(asks, "g").drop("g").mapInArrow(lambda b: _scan(b, books.value, k), "query_id long, vec_id long, score double")
+    found_kind = "query_id long, vec_id long, score double"
+    packed = asked.mapInArrow(lambda b: _packed(b, QUERIES), "ids binary, vectors binary")
+    if asked.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        sent = context.broadcast([_unpacked(bytes(r["ids"]), bytes(r["vectors"])) for r in packed.collect()])
+        found = few.mapInArrow(lambda b: _scan_all(b, books.value, sent.value, k), found_kind)
+    else:
+        groups = -(-n // GROUP_ROWS)
+        blocks = few.mapInArrow(lambda b: _packed(b, BLOCK), "ids binary, vectors binary").withColumn("g", F.pmod(F.xxhash64(F.substring("ids", 1, 64)), F.lit(groups)))
+        asks = packed.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("g"))
+        pairs = blocks.join(asks, "g").drop("g").sortWithinPartitions(F.xxhash64("ids"))
+        found = pairs.mapInArrow(lambda b: _scan_pairs(b, books.value, k), found_kind)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -19,6 +19,8 @@ def test_language_id_holds_out_and_handles_odd_texts(spark, docs):
     held = got.where("held_out")
     assert held.where("lang = lang_pred").count() >= 0.97 * held.count() > 0
     assert got.where("rejected").count() <= 0.01 * got.count() and got.where("score < 0 OR score > 1").count() == 0
+    accepted = got.where("NOT rejected")
+    assert accepted.where("lang = lang_pred").count() >= 0.999 * accepted.count()
     rows = [(1, "the cat and the dog of that house", "en"), (2, "der hund und die katze des hauses", "de"), (3, "no label", None), (4, None, "en")]
     model = langid.fit(docs(rows))
     assert model.langs == ["de", "en"]
@@ -30,6 +32,32 @@ def test_language_id_holds_out_and_handles_odd_texts(spark, docs):
     assert langid.identify(docs([]), model).count() == 0
 
 
+FOREIGN = [
+    "zxq vbnrt kwqp fghj wxzz qqrt",
+    "W Szczebrzeszynie chrząszcz brzmi w trzcinie i Szczebrzeszyn z tego słynie",
+    "Suomen kieli on kaunis ja sitä puhuu noin viisi miljoonaa ihmistä",
+    "Широкая электрификация южных губерний даст мощный толчок подъёму",
+    "我们今天去公园散步看见很多美丽的花朵",
+    "Saya pergi ke pasar untuk membeli sayuran dan buah segar setiap hari",
+    "def main(argv):\n    for i in range(10):\n        print(i, argv[i])\n    return None",
+]
+
+
+def test_texts_of_no_learned_language_are_rejected(spark, docs):
+    """Foreign texts, code and random letters go; at most one held-out document in a hundred does."""
+    folder = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    model = langid.fit(table.where(~langid.held_out()))
+    assert 0.02 < model.temperature < 5 and 0 < model.least_known < 1
+    assert [r["doc_id"] for r in langid.identify(docs(FOREIGN), model).where("NOT rejected").collect()] == []
+    rng = random.Random(9)
+    texts = [r["text"] for r in table.where(langid.held_out()).where("lang IS NOT NULL AND length(text) > 300").limit(100).collect()]
+    shuffled = [" ".join("".join(rng.sample(w, len(w))) for w in t.split()) for t in texts]
+    assert langid.identify(docs(shuffled), model).where("rejected").count() >= 0.9 * len(texts)
+    held = langid.identify(table.where(langid.held_out()), model)
+    assert held.where("rejected").count() <= 0.01 * held.count()
+
+
 def test_language_scores_equal_the_plain_average(docs):
     model = langid.fit(docs([(k, t, lang) for k, (t, lang) in enumerate([("the of and", "en"), ("le de et la", "fr")] * 12)]))
     text = "The déjà of, x1 LÀ"
@@ -110,6 +138,7 @@ def test_nearest_recall_against_brute_force(spark, copies):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2100, [0.0] * 9), (2200, [float("nan")] * 9), (2300, [1.0, None] + [0.0] * 7), (2400, [1.0]), (None, x[0].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).repartition(6)
     got = ann.nearest(df).orderBy("query_id", "rank").toPandas()
+    assert got.equals(ann.nearest(df, broadcast_rows=0).orderBy("query_id", "rank").toPandas())
     hit = total = 0
     for q in range(0, 1500, 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
@@ -124,6 +153,35 @@ def test_nearest_recall_against_brute_force(spark, copies):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["plain", "unit", "offset", "heavy", "clusters"])
+def test_recall_and_reranked_share_of_one_large_block(kind):
+    """20,000 rows in one block, of which the codes let few be reranked: recall of 0.9 at least on any shape of data."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20_000, 64))
+    if kind == "unit":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    elif kind == "offset":
+        x = x * rng.lognormal(0, 0.5, (len(x), 1)) + 50
+    elif kind == "heavy":
+        x *= rng.lognormal(0, 1.5, (len(x), 1))
+    elif kind == "clusters":
+        x = 10 * rng.normal(size=(50, 64))[rng.integers(0, 50, len(x))] + x
+    ids = rng.permutation(len(x))
+    block = ann.Block(ids, x, ann.fit(x[:4096]))
+    asked = np.arange(0, len(x), 400)
+    of, rows, score, read = block.search(ids[asked], x[asked], 10)
+    hit = 0
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        mine = of == ids[q]
+        hit += len(set(ids[np.argsort(d)[:10]]) & set(rows[mine]))
+        assert np.all(np.diff(score[mine]) >= 0)
+    share = read / len(asked) / len(x)
+    print(f"{kind}: recall {hit / len(asked) / 10:.3f}, reranked {share:.4f}")
+    assert hit >= 0.95 * 10 * len(asked) and share < (0.3 if kind == "heavy" else 0.15)
+
+
 def test_anisotropic_codes_lower_the_parallel_error():
     x = np.random.default_rng(4).normal(size=(600, 16)).astype(np.float32)
     books = ann.fit(x)
@@ -183,13 +241,42 @@ def test_unknown_notices_and_wrapped_notices_are_found(docs):
     assert [x["line"] for x in out[f"a title\n\n{bsd}\n\nmore text"]["licences"]] == [2]
 
 
+def test_repeated_rows_and_null_ids_get_the_same_licences(docs):
+    texts = ["now released under the mit license", "the music is provided under a creative commons attribution noncommercial license", "x\n\nSPDX-License-Identifier: ISC"]
+    once = {r["text"]: r["licences"] for r in licenses.license_scan(docs([(k, t) for k, t in enumerate(texts)])).collect()}
+    rows = [(k % 2 or None, t) for k in range(4) for t in texts]
+    again = licenses.license_scan(docs(rows)).collect()
+    assert len(again) == len(rows) and all(r["licences"] == once[r["text"]] for r in again)
+
+
+def test_threshold_is_calibrated_and_held_back_errors_are_few(spark):
+    model = licenses.fit(spark)
+    scored = licenses.held_back(spark, model)
+    accepted = [right for p, right in scored if p >= model.threshold]
+    assert 0 < model.threshold < 1 and len(accepted) >= 0.9 * sum(right for _, right in scored)
+    assert accepted.count(False) <= licenses.CALIBRATE_SHARE * len(accepted)
+    assert licenses.calibrated([(0.9, True), (0.8, False), (0.7, True)], 0.0) == 0.9
+    assert licenses.calibrated([(0.9, False), (0.8, True)], 0.5) == 0.8 and licenses.calibrated([], 0.1) == float("inf")
+
+
+def test_licence_query_covers_every_document(spark, tiny):
+    """Counts and families of the registered query against the operator on the same rows."""
+    rows = {r["doc_id"]: r for r in licenses.op3_license_scan(spark, tiny).collect()}
+    each = licenses.license_scan(spark.read.parquet(f"{tiny}/documents.parquet")).collect()
+    assert len(rows) == len(each) and sum(r["n_licences"] for r in rows.values()) > 0
+    for r in each:
+        mine = rows[r["doc_id"]]
+        assert mine["n_licences"] == len(r["licences"]) and mine["families"] == ",".join(r["families"])
+        assert mine["lines"] == ",".join(str(x) for x in sorted({x["line"] for x in r["licences"]}))
+
+
 def test_a_confirmed_paragraph_cannot_lack_every_anchor():
     import math
     import re
 
     for template in (t for ts in licenses.TEMPLATES.values() for t in ts):
         words = set(re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", template.lower()))
-        bare = [w for w in words if not any(a in w for a in licenses.anchors())]
+        bare = [w for w in words if not w.startswith(licenses.anchors())]
         assert len(bare) < math.ceil(licenses.CONFIRM * len(words) - 1e-9), template
 
 
