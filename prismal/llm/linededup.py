@@ -1,77 +1,113 @@
 """Line dedup by winnowing: later copies of runs of lines that an earlier place already holds.
 
-Lines are hashed (trimmed of blanks). For every line the forward window is the shortest run of
-lines from it with at least `min_words` words; its least line hash is a fingerprint, so any two runs
-of `min_words` words or more that are equal share one. Fingerprints found in one place only settle
-their windows. The others are joined to the windows around them: the forward ones and the backward
-ones (the shortest runs that end with a line), which extend a match to its right and to its left
-end. A window whose lines occurred at an earlier place (by id, text hash, line) is a later copy;
-the lines of a maximal repeated run are the union of such windows, and they are deleted.
-
-All work is DataFrame functions: grouping by fingerprint and by window hash with partial
-aggregation, and joins that may be split where a line is very frequent. A line's window frame
-spans at most `min_words` lines with words.
+Lines are hashed (trimmed of blanks; those without a word do not count). For every line the window is the
+shortest run of lines from it with at least `min_words` words; its least line hash, the first of equal
+ones, is a fingerprint. Any two equal runs of `min_words` words or more share one.
+
+1. Of each document the distinct fingerprints are kept, each with its position and the starts of the
+   windows that it is the least of (a stretch of lines).
+2. Positions are joined by fingerprint; those found in one place only are settled.
+3. Each position of a shared fingerprint is extended both ways: to the windows that start at its stretch, and
+   from these, line by line, until the next start's window ends. Each is joined to the earliest place
+   (by id, text hash, line) that holds the same lines, told by two hashes over all of them.
+4. A window with an earlier place is a later copy. The lines of a maximal repeated run are the union of such
+   windows, and they are deleted.
+
+Everything before the joins happens inside a document's row, on arrays of its lines' hashes and numbers
+of words. Both joins go by key and a salt drawn from the place, with the least place taken for each
+salt first, so a line or passage that a third of all documents hold is dealt over `SALTS` tasks.
 
 Defined cases: null text stays null; blank lines count no words and go only when they lie inside a
 deleted run; texts below `min_words` words lose nothing; rows with equal id and text are one
 document and all get its result; null ids are earliest; copies inside one document count, and
-windows of a run of equal lines may overlap; other columns pass through (those that an output
-name clashes with are replaced).
+windows of a run of equal lines may overlap; an empty table gives no rows; other columns pass through (those
+that an output name clashes with are replaced).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 MIN_WORDS = 30
 OUTPUTS = ("n_lines", "n_removed", "removed", "clean_text")
 _BLANKS = " \t\r"
+#: Tasks that the rows of one key are dealt over.
+SALTS = 64
 
 
-def _line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each line with words: its document, place, two hashes, words, and words before and through it."""
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-    own = own.withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
-    own = own.select("id", "tk", "pos", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.size(F.split("line", "[ \t]+")).cast("long").alias("nw"))
-    own = own.repartition("id", "tk").dropDuplicates(["id", "tk", "pos"])
-    through = F.sum("nw").over(Window.partitionBy("id", "tk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumn("c1", through).withColumn("c0", F.col("c1") - F.col("nw"))
+def _line_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tk, pos, h, g, nw): by document the places, two hashes and numbers of words of its lines with words."""
+    trimmed = F.transform(F.split(text_col, "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(_BLANKS)).alias("line")))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.filter(trimmed, lambda x: x["line"] != "").alias("lines"))
+    own = own.where(F.size("lines") > 0)
+    return own.select(
+        "id", "tk", F.transform("lines", lambda x: x["pos"]).alias("pos"),
+        F.transform("lines", lambda x: F.xxhash64(x["line"])).alias("h"),
+        F.transform("lines", lambda x: F.xxhash64(x["line"], F.lit(1))).alias("g"),
+        F.transform("lines", lambda x: F.regexp_count(x["line"], F.lit("[ \t]+")) + 1).alias("nw"),
+    ).repartition("id", "tk")
 
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """For each line its forward and backward window: last or first line, hashes of the lines, and the forward fingerprint."""
-    doc = Window.partitionBy("id", "tk")
-    ahead, behind = doc.orderBy("c0").rangeBetween(0, min_words - 1), doc.orderBy("c1").rangeBetween(1 - min_words, 0)
+def _ends(min_words: int):
+    """For each line, as an index, the last line of its window; null where the lines from it hold too few words."""
+    one = 1 << 32  # lines are counted above the words
 
-    def span(frame):
-        return F.struct(
-            F.min("pos").over(frame).alias("lo"), F.max("pos").over(frame).alias("hi"), F.sum("nw").over(frame).alias("words"),
-            F.xxhash64(F.collect_list("h").over(frame)).alias("k1"), F.xxhash64(F.collect_list("g").over(frame)).alias("k2"),
-        )
+    def end(i):
+        met = F.aggregate(F.slice("nw", i + 1, F.lit(min_words)), F.lit(0).cast("long"), lambda acc, n: F.when(acc % one >= min_words, acc).otherwise(acc + n + one))
+        return F.transform(F.array(met), lambda m: F.when(m % one >= min_words, i + (m / one).cast("int") - 1))[0]
 
-    first = lines.withColumn("ahead", span(ahead)).withColumn("least", F.min(F.struct("h", "pos")).over(ahead))
-    both = first.withColumn("behind", span(behind)).withColumn("least_behind", F.first("least").over(behind))
-    each = F.explode(F.array(F.struct(F.col("ahead").alias("w"), F.col("least").alias("m")), F.struct(F.col("behind").alias("w"), F.col("least_behind").alias("m"))))
-    rows = both.select("id", "tk", each.alias("_e")).select("id", "tk", "_e.w.*", F.col("_e.m.h").alias("fp"), F.col("_e.m.pos").alias("fp_pos"))
-    return rows.where(F.col("words") >= min_words).drop("words")
+    return F.transform(F.sequence(F.lit(0), F.size("nw") - 1), end)
+
+
+def _fingerprints(lines: DataFrame) -> DataFrame:
+    """(id, tk, fp, fp_pos, start, stop): distinct fingerprints by position, and the first and last start of their windows."""
+
+    def least(end, i):
+        window = F.slice("h", i + 1, end - i + 1)
+        place = F.transform(F.array(F.array_min(window)), lambda m: F.struct(m.alias("fp"), (i + F.array_position(window, m).cast("int") - 1).alias("at"), i.alias("i")))[0]
+        return F.when(end.isNotNull(), place)
+
+    each = F.explode(F.filter(F.transform("ends", least), lambda m: m.isNotNull()))
+    return lines.select("id", "tk", each.alias("m")).groupBy("id", "tk", F.col("m.fp").alias("fp"), F.col("m.at").alias("fp_pos")).agg(F.min("m.i").alias("start"), F.max("m.i").alias("stop"))
+
+
+def _with_earliest(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """The rows of keys that are held by more than one place, plus `first`, the earliest of these."""
+    at = F.struct(*place)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*place), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*keys, "_salt").agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
+    whole = parts.groupBy(*keys).agg(F.min("_a").alias("first"), F.max("_b").alias("_last")).where("first <> _last").drop("_last")
+    known = parts.select(*keys, "_salt").join(whole, keys)
+    return salted.join(known, [*keys, "_salt"]).drop("_salt")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, tk, pos): the lines of all later copies; tk is the hash of the document's text."""
-    windows = _windows(_line_table(docs, id_col, text_col), min_words)
-    place = F.struct("id", "tk", "fp_pos")
-    known = windows.groupBy("fp").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("fp")
-    matched = windows.join(known, "fp").select("id", "tk", "lo", "hi", "k1", "k2")
-    at = F.struct("id", "tk", "lo")
-    origin = matched.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("_last")).where("first <> _last").select("k1", "k2", "first")
-    later = matched.join(origin, ["k1", "k2"]).where(at > F.col("first"))
-    return later.select("id", "tk", F.explode(F.sequence("lo", "hi")).alias("pos"))
+    """(id, tk, lo, hi): the spans of lines, from and to, of all later copies; tk is the hash of the document's text."""
+    lines = _line_arrays(docs, id_col, text_col).withColumn("ends", _ends(min_words))
+    shared = _with_earliest(_fingerprints(lines), ["fp"], ["id", "tk", "fp_pos"])
+    stretches = shared.groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_set(F.struct("start", "stop")).alias("stretches"))
+    joined = lines.join(stretches, (F.col("tk") == F.col("_tk")) & F.col("id").eqNullSafe(F.col("_id")))
+    starts = F.flatten(F.transform("stretches", lambda s: F.sequence(s["start"], s["stop"])))
+
+    def windows(i):
+        end, beyond = F.get("ends", i), F.coalesce(F.get("ends", i + 1), F.size("nw"))
+        return F.transform(F.sequence(end, F.greatest(end, beyond - 1)), lambda j: window(i, j))
+
+    def window(i, j):
+        k1, k2 = F.xxhash64(F.slice("h", i + 1, j - i + 1)), F.xxhash64(F.slice("g", i + 1, j - i + 1))
+        return F.struct(k1.alias("k1"), k2.alias("k2"), F.get("pos", i).alias("lo"), F.get("pos", j).alias("hi"))
+
+    matched = joined.select("id", "tk", F.explode(F.flatten(F.transform(starts, windows))).alias("w")).select("id", "tk", "w.*")
+    placed = _with_earliest(matched, ["k1", "k2"], ["id", "tk", "lo"])
+    return placed.where(F.struct("id", "tk", "lo") > F.col("first")).select("id", "tk", "lo", "hi")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs plus n_lines, n_removed, removed (line numbers from 0, in order) and clean_text."""
     keep = [c for c in docs.columns if c not in OUTPUTS]
-    gone = repeated_runs(docs, id_col, text_col, min_words).groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    spans = repeated_runs(docs, id_col, text_col, min_words).groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
+    lines_of = F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["lo"], s["hi"])))))
+    gone = spans.select("_id", "_tk", lines_of.alias("removed"))
     others = [c for c in keep if c != text_col]
     split = docs.select(*others, F.xxhash64(text_col).alias("_text_key"), F.split(text_col, "\n", -1).alias("_lines"))
     # where a document has more than one row, each gets the same lines
