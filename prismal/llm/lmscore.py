@@ -1,16 +1,21 @@
 """LM scoring: masked pseudo-likelihood of whole documents under a bidirectional window network.
 
-Each token is predicted from the `SIDE` tokens on either side of it: their hashed embeddings,
-projected by position, make a hidden layer; a softmax gives the token's class, and the token's share
-of its class comes from counts over all documents. A document's score is the sum of its tokens'
-conditional log-probabilities (its pseudo-log-likelihood).
-
-* Counts: every task counts the hash buckets of all its tokens; they are summed by bucket (at most
-  2**COUNT_BITS rows). Classes are stretches of the buckets by frequency with equal square-root mass.
-* Network: numpy, started on a bounded sample of documents (`WARM` of them). Then every task goes
-  over all its documents, masks each token with probability 1/`MASK_EVERY` (by a hash of its place)
-  and takes stochastic gradient steps from the common start; the changes are averaged by the number
-  of masked tokens, parameter by parameter, in an aggregation (a fixed number of rows a task).
+Each token is predicted from the `SIDE` tokens on either side of it: their embeddings, projected by
+position, make a hidden layer; two levels of softmax, both fed by it, give the token's class and the
+token among the words of its class. A document's score is the sum of its tokens' conditional
+log-probabilities (its pseudo-log-likelihood).
+
+* Vocabulary: all words of all documents are counted by Spark, exactly. The `VOCAB` commonest have an
+  embedding and an output of their own; the others form one more class, in which a word has the share of its count
+  bucket (2**RARE_BITS of them), and 2**ROW_BITS embeddings.
+* Network: numpy with AdaGrad, started on a bounded sample (`WARM` documents, up to `WARM_TOKENS` targets
+  drawn over the whole text of each). Then every token of every document is a target once: documents are
+  dealt into shards by a hash of their columns (one for each `SHARD_TOKENS` tokens, `SHARDS` at least), the shards
+  into `ROUNDS` rounds. In a round each shard goes over its documents, in the order of their hash, from the
+  common start, and the changes are averaged by tokens, parameter by parameter, in an aggregation.
+
+Shards and their order follow from the rows alone, so the scores do not depend on the table's partitions
+(but for rounding). A shard streams through its task, whatever its size.
 
 Defined cases: null, empty and wordless texts have no tokens, score 0 and a null mean; places beyond a
 document's ends are a token of their own; an empty table gives no rows; repeated rows count and are
@@ -25,68 +30,108 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _text
 
-COUNT_BITS, INPUT_BITS = 18, 13
-SIDE, DIM, HIDDEN, CLASSES = 3, 16, 24, 64
-WARM, WARM_TOKENS, MASK_EVERY = 1500, 128, 16
-BATCH, RATE = 256, 0.25
+VOCAB, RARE_BITS, ROW_BITS = 8192, 16, 10
+SIDE, DIM, HIDDEN = 3, 16, 24
+WARM, WARM_TOKENS, WARM_EPOCHS = 1500, 128, 3
+SHARD_TOKENS, SHARDS, ROUNDS = 4_000_000, 8, 2
+BATCH, WARM_BATCH, RATE = 4096, 512, 0.1
 OUTPUTS = ("n_tokens", "pll", "pll_mean")
-EDGE = 1 << INPUT_BITS  # the input beyond a document's ends
 _PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-_SHAPES = {"emb": (EDGE + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, CLASSES), "c": (CLASSES,)}
-
-
-def buckets(words: _text.Words) -> np.ndarray:
-    return (words.hash >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-
-
-def contexts(tokens: np.ndarray, bound: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Input rows around the tokens `at`: (tokens, 2 * SIDE)."""
-    doc = np.searchsorted(bound, at, "right") - 1
-    lo, hi = bound[doc], bound[doc + 1]
-    out = np.empty((len(at), 2 * SIDE), np.int64)
-    inputs = tokens >> (COUNT_BITS - INPUT_BITS)
-    for k, p in enumerate(_PLACES):
-        q = at + p
-        out[:, k] = np.where((q >= lo) & (q < hi), inputs[np.clip(q, 0, len(tokens) - 1)], EDGE)
-    return out
 
 
 class Model:
-    """Classes of buckets, log shares within the class, and the network."""
-
-    def __init__(self, counts: np.ndarray, seed: int = 5):
-        order = np.argsort(-counts, kind="stable")
-        mass = np.cumsum(np.sqrt(counts[order]))
-        self.of = np.zeros(len(counts), np.int64)
-        self.of[order] = np.minimum((mass - np.sqrt(counts[order])) / max(mass[-1], 1e-9) * CLASSES, CLASSES - 1).astype(np.int64)
-        smooth = counts + 0.5
-        self.log_share = np.log(smooth) - np.log(np.bincount(self.of, weights=smooth, minlength=CLASSES))[self.of]
+    """Vocabulary, shares of rare words and the network's parameters with the sums of their squared gradients.
+
+    p: emb (an embedding for each word, rare row and the edge), w and b (hidden layer), u and c (classes),
+    v and d (words of a class). Words are numbered by falling frequency; class k holds those of [k * size, (k + 1) * size).
+    """
+
+    def __init__(self, hashes: np.ndarray, rare: np.ndarray, seed: int = 5):
+        self.n = len(hashes)
+        self.by_hash = np.argsort(hashes)
+        self.hashes = hashes[self.by_hash]
+        self.size = max(1, int(np.ceil(np.sqrt(self.n))))
+        self.classes = -(-self.n // self.size)
+        smooth = rare + 0.5
+        self.log_share = np.log(smooth / smooth.sum())
+        rows = self.n + (1 << ROW_BITS) + 1
+        shapes = {"emb": (rows, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, self.classes + 1), "c": (self.classes + 1,), "v": (self.n, HIDDEN), "d": (self.n,)}
         rng = np.random.default_rng(seed)
-        self.p = {k: (rng.normal(0, {"emb": 0.3}.get(k, (s[0]) ** -0.5), s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in _SHAPES.items()}
+        scale = {"emb": 0.3, "w": (2 * SIDE * DIM) ** -0.5, "u": 0.1, "v": 0.1}
+        self.p = {k: (rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
+        self.g = {k: np.full(s, 0.1, np.float32) for k, s in shapes.items()}
+
+    def copy(self) -> "Model":
+        other = Model.__new__(Model)
+        other.__dict__ = {**self.__dict__, "p": {k: v.copy() for k, v in self.p.items()}, "g": {k: v.copy() for k, v in self.g.items()}}
+        return other
+
+    def tokens(self, hashes: np.ndarray) -> np.ndarray:
+        """Words as numbers: their place in the vocabulary, or behind it by bucket."""
+        h = hashes.view(np.int64)
+        rare = self.n + (hashes >> np.uint64(64 - RARE_BITS)).astype(np.int64)
+        if not self.n:
+            return rare
+        at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
+        return np.where(self.hashes[at] == h, self.by_hash[at], rare)
+
+    def contexts(self, tokens: np.ndarray, bound: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Embedding rows around the tokens `at`: (tokens, 2 * SIDE)."""
+        edge = len(self.p["emb"]) - 1
+        inputs = np.where(tokens < self.n, tokens, self.n + ((tokens - self.n) >> (RARE_BITS - ROW_BITS)))
+        doc = np.searchsorted(bound, at, "right") - 1
+        lo, hi = bound[doc], bound[doc + 1]
+        out = np.empty((len(at), 2 * SIDE), np.int64)
+        for k, p in enumerate(_PLACES):
+            q = at + p
+            out[:, k] = np.where((q >= lo) & (q < hi), inputs[np.clip(q, 0, len(tokens) - 1)], edge)
+        return out
+
+    def by_class(self, y: np.ndarray):
+        """The rows of each class of words among the targets: (rows, first word, end of words)."""
+        of = np.minimum(y // self.size, self.classes) if self.n else np.zeros(len(y), np.int64)
+        of[y >= self.n] = self.classes
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(self.classes + 1))
+        parts = [(order[a:b], k * self.size, min(self.n, (k + 1) * self.size)) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+        return of, parts
+
+    def _move(self, name: str, at, grad: np.ndarray, rate: float) -> None:
+        self.g[name][at] += grad * grad
+        self.p[name][at] -= rate * grad / np.sqrt(self.g[name][at])
 
     def step(self, ctx: np.ndarray, y: np.ndarray, rate: float) -> float:
         """One stochastic gradient step; the mean log loss before it."""
         p, n = self.p, len(y)
         x = p["emb"][ctx].reshape(n, -1)
         h = np.tanh(x @ p["w"] + p["b"])
-        z = h @ p["u"] + p["c"]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        e /= e.sum(axis=1, keepdims=True)
-        loss = -np.log(e[np.arange(n), y] + 1e-12).mean()
-        e[np.arange(n), y] -= 1
-        dh = (e @ p["u"].T) * (1 - h * h)
-        dx = (dh @ p["w"].T).reshape(-1, DIM)
-        p["u"] -= rate / n * (h.T @ e)
-        p["c"] -= rate / n * e.sum(axis=0)
-        p["w"] -= rate / n * (x.T @ dh)
-        p["b"] -= rate / n * dh.sum(axis=0)
-        flat = ctx.ravel()
+        of, parts = self.by_class(y)
+        e = _softmax(h @ p["u"] + p["c"])
+        loss = -np.log(e[np.arange(n), of] + 1e-30).sum()
+        e[np.arange(n), of] -= 1
+        dh = e @ p["u"].T
+        moves = [("u", ..., h.T @ e), ("c", ..., e.sum(axis=0))]
+        for rows, a, b in parts:
+            own = h[rows]
+            s = _softmax(own @ p["v"][a:b].T + p["d"][a:b])
+            mine = y[rows] - a
+            loss -= np.log(s[np.arange(len(rows)), mine] + 1e-30).sum()
+            s[np.arange(len(rows)), mine] -= 1
+            dh[rows] += s @ p["v"][a:b]
+            moves += [("v", slice(a, b), s.T @ own), ("d", slice(a, b), s.sum(axis=0))]
+        dh *= 1 - h * h
+        flat, dx = ctx.ravel(), (dh @ p["w"].T).reshape(-1, DIM)
         order = np.argsort(flat, kind="stable")
-        rows, first, count = np.unique(flat[order], return_index=True, return_counts=True)
-        # a row moves by the mean of its gradients times the root of their number, so rare tokens learn as well
-        p["emb"][rows] -= rate * 0.5 * np.add.reduceat(dx[order], first, axis=0) / np.sqrt(count)[:, None] / np.sqrt(n)
-        return float(loss)
+        rows, first = np.unique(flat[order], return_index=True)
+        moves += [("w", ..., x.T @ dh), ("b", ..., dh.sum(axis=0)), ("emb", rows, np.add.reduceat(dx[order], first, axis=0))]
+        for name, at, grad in moves:
+            self._move(name, at, grad, rate)
+        return float(loss / n)
+
+    def steps(self, ctx: np.ndarray, y: np.ndarray, batch: int, rate: float) -> None:
+        order = np.random.default_rng(len(y)).permutation(len(y))
+        for lo in range(0, len(y), batch):
+            self.step(ctx[order[lo : lo + batch]], y[order[lo : lo + batch]], rate)
 
     def log_probabilities(self, tokens: np.ndarray, bound: np.ndarray) -> np.ndarray:
         """The conditional log-probability of every token of a block."""
@@ -95,120 +140,164 @@ class Model:
         out = np.empty(len(tokens))
         for lo in range(0, len(tokens), 16384):
             at = np.arange(lo, min(len(tokens), lo + 16384))
-            ctx = contexts(tokens, bound, at)
+            ctx = self.contexts(tokens, bound, at)
             h = parts[0][ctx[:, 0]] + p["b"]
             for k in range(1, 2 * SIDE):
                 h += parts[k][ctx[:, k]]
             h *= -2  # tanh by way of exp, which numpy vectorises
             np.exp(np.minimum(h, 60, out=h), out=h)
             h = 2 / (1 + h) - 1
-            z = h @ p["u"] + p["c"]
-            z -= z.max(axis=1, keepdims=True)
-            y = self.of[tokens[at]]
-            own = z[np.arange(len(at)), y].copy()
-            out[at] = own - np.log(np.exp(z, out=z).sum(axis=1)) + self.log_share[tokens[at]]
+            y = tokens[at]
+            of, classes = self.by_class(y)
+            score = _log_softmax_at(h @ p["u"] + p["c"], of).astype(np.float64)
+            for rows, a, b in classes:
+                score[rows] += _log_softmax_at(h[rows] @ p["v"][a:b].T + p["d"][a:b], y[rows] - a)
+            rare = np.flatnonzero(of == self.classes)
+            score[rare] += self.log_share[y[rare] - self.n]
+            out[at] = score
         return out
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), at].copy()
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _words(batch, text_col: str):
+    for rows, data, offsets in _text.blocks(batch, text_col):
+        yield rows, _text.Words(data, offsets, _text.ALNUM)
+
+
 def _counts(batches, text_col: str):
-    total = np.zeros(1 << COUNT_BITS, np.int64)
+    """Distinct words, as hashes, and their numbers; merged as long as they are few enough for a task."""
+    have, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def rows():
+        for lo in range(0, len(have), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(have[lo : lo + 50_000].view(np.int64)), pa.array(n[lo : lo + 50_000])], ["word", "n"])
+
     for batch in batches:
-        for _, data, offsets in _text.blocks(batch, text_col):
-            total += np.bincount(buckets(_text.Words(data, offsets, _text.ALNUM)), minlength=len(total))
-    at = np.flatnonzero(total)
-    for lo in range(0, len(at), 50_000):
-        part = at[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
+        for _, words in _words(batch, text_col):
+            new, count = np.unique(words.hash, return_counts=True)
+            have, at = np.unique(np.concatenate([have, new]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n, count]), minlength=len(have)).astype(np.int64)
+            if len(have) > 500_000:
+                yield from rows()
+                have, n = have[:0], n[:0]
+    yield from rows()
 
 
-def _warm_rows(batches, text_col: str):
+def _warm_rows(batches, text_col: str, model: Model):
     """Contexts and targets of tokens drawn over each whole text."""
     for batch in batches:
-        for rows, data, offsets in _text.blocks(batch, text_col):
-            words = _text.Words(data, offsets, _text.ALNUM)
-            tokens, out = buckets(words), []
+        for _, words in _words(batch, text_col):
+            tokens, out = model.tokens(words.hash), []
             for a, b in zip(words.bound[:-1].tolist(), words.bound[1:].tolist()):
                 rng = np.random.default_rng([b - a, *tokens[a : a + 4].tolist()])
                 at = a + (rng.choice(b - a, WARM_TOKENS, replace=False) if b - a > WARM_TOKENS else np.arange(b - a))
-                out.append(np.column_stack([contexts(tokens, words.bound, at), tokens[at]]).astype(np.int32).tobytes())
+                out.append(np.column_stack([model.contexts(tokens, words.bound, at), tokens[at]]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["rows"])
 
 
-def _changes(batches, model: Model, text_col: str):
-    """What one task's documents change in the network, times the masked tokens, by parameter."""
-    start, n, ctx, y = {k: v.copy() for k, v in model.p.items()}, 0, [], []
+def _changes(batches, start: Model, text_col: str):
+    """What each shard's documents change in the network, times their tokens, by parameter; shards follow one another."""
+    shard, model, n, ctx, y = None, None, 0, [], []
+
+    def learn(least: int):
+        """Steps over whole batches of what has gathered, so that they do not depend on how rows arrive."""
+        nonlocal ctx, y
+        if sum(map(len, y)) >= least:
+            c, t = np.concatenate(ctx), np.concatenate(y)
+            whole = len(t) if least == 1 else len(t) // (8 * BATCH) * 8 * BATCH
+            for lo in range(0, whole, 8 * BATCH):
+                model.steps(c[lo : min(whole, lo + 8 * BATCH)], t[lo : min(whole, lo + 8 * BATCH)], BATCH, RATE / 2)
+            ctx, y = [c[whole:]], [t[whole:]]
+
+    def done():
+        learn(1)
+        if n:
+            flat = np.concatenate([(model.p[k] - start.p[k]).ravel() for k in start.p]).astype(np.float64) * n
+            at = np.append(np.flatnonzero(flat), len(flat))
+            value = np.append(flat, n)[at]
+            for lo in range(0, len(at), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 50_000].astype(np.int32)), pa.array(value[lo : lo + 50_000])], ["i", "v"])
+
     for batch in batches:
-        for _, data, offsets in _text.blocks(batch, text_col):
-            words = _text.Words(data, offsets, _text.ALNUM)
-            tokens = buckets(words)
-            place = np.arange(len(tokens)) - np.repeat(words.bound[:-1], np.diff(words.bound))
-            masked = np.flatnonzero(_text.mix(words.hash + place.astype(np.uint64)) % np.uint64(MASK_EVERY) == 0)
-            if not len(masked):
-                continue
-            ctx.append(contexts(tokens, words.bound, masked))
-            y.append(model.of[tokens[masked]])
-            if sum(map(len, y)) >= 8 * BATCH:
-                n += _steps(model, np.concatenate(ctx), np.concatenate(y))
-                ctx, y = [], []
-    if y:
-        n += _steps(model, np.concatenate(ctx), np.concatenate(y))
-    if n:
-        flat = np.concatenate([(model.p[k] - start[k]).ravel() for k in _SHAPES]).astype(np.float64) * n
-        at = np.append(np.flatnonzero(flat), len(flat))
-        value = np.append(flat, n)[at]
-        for lo in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 50_000].astype(np.int32)), pa.array(value[lo : lo + 50_000].astype(np.float32))], ["i", "v"])
-
-
-def _steps(model: Model, ctx: np.ndarray, y: np.ndarray, rate: float = RATE / 4) -> int:
-    order = np.random.default_rng(len(y)).permutation(len(y))
-    for lo in range(0, len(y), BATCH):
-        at = order[lo : lo + BATCH]
-        model.step(ctx[at], y[at], rate)
-    return len(y)
+        of = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a and of[a] != shard:
+                if shard is not None:
+                    yield from done()
+                shard, model, n, ctx, y = of[a], start.copy(), 0, [], []
+            for _, words in _words(batch.slice(a, b - a), text_col):
+                tokens = model.tokens(words.hash)
+                for lo in range(0, len(tokens), 8 * BATCH):
+                    at = np.arange(lo, min(len(tokens), lo + 8 * BATCH))
+                    ctx.append(model.contexts(tokens, words.bound, at))
+                    y.append(tokens[at])
+                    learn(8 * BATCH)
+                n += len(tokens)
+    if shard is not None:
+        yield from done()
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts and network from all documents."""
+    """Vocabulary and network from all documents."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    found = texts.mapInArrow(lambda b: _counts(b, "text"), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    model = Model(counts)
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(*docs.columns).alias("draw")).where("text IS NOT NULL")
+    found = texts.select("text").mapInArrow(lambda b: _counts(b, "text"), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "word").limit(VOCAB).collect()
+    hashes = np.array([r["word"] for r in top], np.int64)
+    bucket = F.shiftrightunsigned("word", 64 - RARE_BITS)
+    sums = found.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).toArrow()  # 2**RARE_BITS rows at most
+    rare, total = np.zeros(1 << RARE_BITS, np.int64), int(sum(sums.column("n").to_pylist()))
+    rare[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    np.subtract.at(rare, (hashes.view(np.uint64) >> np.uint64(64 - RARE_BITS)).astype(np.int64), np.array([r["n"] for r in top], np.int64))
+    model = Model(hashes, rare)
 
     n = texts.count()
     share = min(1.0, WARM / max(n, 1))
-    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit("lm")), F.lit(1 << 30)) < share * float(1 << 30))
-    warm = sorted(bytes(r["rows"]) for r in drawn.mapInArrow(lambda b: _warm_rows(b, "text"), "rows binary").limit(2 * WARM).collect())
+    drawn = texts.where(F.pmod("draw", F.lit(1 << 30)) < share * float(1 << 30)).select("text")
+    sent = spark.sparkContext.broadcast(model)  # parameters of a fixed number of words and buckets
+    warm = sorted(bytes(r["rows"]) for r in drawn.mapInArrow(lambda b: _warm_rows(b, "text", sent.value), "rows binary").limit(2 * WARM).collect())
     rows = np.concatenate([np.frombuffer(r, np.int32) for r in warm]).reshape(-1, 2 * SIDE + 1).astype(np.int64) if warm else np.zeros((0, 2 * SIDE + 1), np.int64)
-    for epoch in range(3):
-        _steps(model, rows[:, :-1], model.of[rows[:, -1]], RATE / (1 + epoch))
-
-    sent = spark.sparkContext.broadcast(model)  # a fixed number of parameters and buckets
-    sums = texts.mapInArrow(lambda b: _changes(b, _copy(sent.value), "text"), "i int, v float").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    total = np.zeros(sum(int(np.prod(s)) for s in _SHAPES.values()) + 1)
-    total[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
-    if total[-1]:
-        at = 0
-        for k, s in _SHAPES.items():
-            size = int(np.prod(s))
-            model.p[k] = (model.p[k] + (total[at : at + size] / total[-1]).reshape(s)).astype(np.float32)
-            at += size
+    for epoch in range(WARM_EPOCHS):
+        model.steps(rows[:, :-1], rows[:, -1], WARM_BATCH, RATE / (1 + epoch))
+
+    shards = max(SHARDS, -(-total // SHARD_TOKENS))
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("draw", F.lit("shard")), F.lit(shards)).cast("int"))
+    for turn in range(ROUNDS):
+        mine = dealt.where(F.col("shard") % ROUNDS == turn).repartition("shard").sortWithinPartitions("shard", "draw", "text")
+        _average(model, mine.select("shard", "text"))
     return model
 
 
-def _copy(model: Model) -> Model:
-    other = Model.__new__(Model)
-    other.of, other.log_share, other.p = model.of, model.log_share, {k: v.copy() for k, v in model.p.items()}
-    return other
+def _average(model: Model, shards: DataFrame) -> None:
+    """Moves the model by the mean of what the shards change, weighed by tokens."""
+    sent = shards.sparkSession.sparkContext.broadcast(model)
+    sums = shards.mapInArrow(lambda b: _changes(b, sent.value, "text"), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    flat = np.zeros(sum(v.size for v in model.p.values()) + 1)
+    flat[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
+    if flat[-1]:
+        at = 0
+        for k, v in model.p.items():
+            model.p[k] = (v + (flat[at : at + v.size] / flat[-1]).reshape(v.shape)).astype(np.float32)
+            at += v.size
 
 
 def _score(batches, model: Model, text_col: str, keep: list[str]):
     for batch in batches:
-        for rows, data, offsets in _text.blocks(batch, text_col):
-            words = _text.Words(data, offsets, _text.ALNUM)
-            total = np.concatenate([[0.0], np.cumsum(model.log_probabilities(buckets(words), words.bound))])
+        for rows, words in _words(batch, text_col):
+            total = np.concatenate([[0.0], np.cumsum(model.log_probabilities(model.tokens(words.hash), words.bound))])
             n, score = np.diff(words.bound), np.diff(total[words.bound])
             mean = pa.array(np.divide(score, n, out=np.zeros_like(score), where=n > 0), mask=n == 0)
             yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(n.astype(np.int64)), pa.array(score), mean], [*keep, *OUTPUTS])

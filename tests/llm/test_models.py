@@ -298,22 +298,73 @@ def test_lm_scores_equal_a_plain_forward_pass(docs):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ODD
     model = lmscore.fit(docs(texts))
-    out = {r["doc_id"]: r for r in lmscore.lm_scores(docs(texts).withColumn("pll", F.lit("x")), model).collect()}
-    p = model.p
-    for i in (0, 7, 63):
-        data, offsets = _text.column_bytes(__import__("pyarrow").array([texts[i]]))
-        tok = lmscore.buckets(_text.Words(data, offsets, _text.ALNUM))
+    out = {r["doc_id"]: r for r in lmscore.lm_scores(docs([*texts, "aa zz bb"]).withColumn("pll", F.lit("x")), model).collect()}
+    p, edge = model.p, len(model.p["emb"]) - 1
+    for i, text in [(0, texts[0]), (7, texts[7]), (63, texts[63]), (68, "aa zz bb")]:
+        data, offsets = _text.column_bytes(__import__("pyarrow").array([text]))
+        tok = model.tokens(_text.Words(data, offsets, _text.ALNUM).hash).tolist()
+        row = [t if t < model.n else model.n + ((t - model.n) >> (lmscore.RARE_BITS - lmscore.ROW_BITS)) for t in tok]
         total = 0.0
-        for k in range(len(tok)):
-            ctx = [tok[k + s] >> (lmscore.COUNT_BITS - lmscore.INPUT_BITS) if 0 <= k + s < len(tok) else lmscore.EDGE for s in (-3, -2, -1, 1, 2, 3)]
+        for k, t in enumerate(tok):
+            ctx = [row[k + s] if 0 <= k + s < len(tok) else edge for s in (-3, -2, -1, 1, 2, 3)]
             h = np.tanh(p["emb"][ctx].ravel() @ p["w"] + p["b"])
             z = h @ p["u"] + p["c"]
-            total += z[model.of[tok[k]]] - np.log(np.exp(z).sum()) + model.log_share[tok[k]]
+            c = t // model.size if t < model.n else model.classes
+            total += z[c] - np.log(np.exp(z).sum())
+            if t < model.n:
+                words = slice(c * model.size, (c + 1) * model.size)
+                z = p["v"][words] @ h + p["d"][words]
+                total += z[t - c * model.size] - np.log(np.exp(z).sum())
+            else:
+                total += model.log_share[t - model.n]
         assert out[i]["n_tokens"] == len(tok) and out[i]["pll"] == pytest.approx(total, rel=1e-4)
     assert out[60]["pll"] == 0.0 and out[60]["pll_mean"] is None
     assert lmscore.lm_scores(docs([]), lmscore.fit(docs([]))).count() == 0
 
 
+def test_lm_probabilities_of_all_words_add_up_to_one(docs):
+    model = lmscore.fit(docs([f"w{k % 7} w{k % 11} w{k % 5}" for k in range(80)]))
+    tokens, bound = np.array([0, 3, 1, 2, 4]), np.array([0, 5])
+    total = 0.0
+    for w in [*range(model.n), *range(model.n, model.n + (1 << lmscore.RARE_BITS))]:
+        tokens[2] = w
+        if w < model.n or w < model.n + 3:
+            total += np.exp(model.log_probabilities(tokens, bound)[2]) if w < model.n else 0.0
+    tokens[2] = model.n
+    total += np.exp(model.log_probabilities(tokens, bound)[2] - model.log_share[0])  # the class of rare words
+    assert total == pytest.approx(1.0, abs=1e-5)
+
+
+def test_lm_scores_do_not_depend_on_partitions(docs):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(1, 200))) for _ in range(300)]
+    df = docs(texts)
+    scores = []
+    for n in (3, 17):
+        part = df.repartition(n)
+        scores.append([r["pll"] for r in lmscore.lm_scores(part, lmscore.fit(part)).orderBy("doc_id").collect()])
+    assert scores[0] == pytest.approx(scores[1], rel=1e-5)
+
+
+def test_lm_gradients_equal_differences(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = lmscore.Model(np.arange(1, 11), np.ones(1 << lmscore.RARE_BITS, np.int64))
+    model.p = {k: v.astype(np.float64) + rng.normal(0, 0.1, v.shape) for k, v in model.p.items()}
+    ctx, y = rng.integers(0, 12, (9, 6)), np.array([0, 1, 2, 3, 9, 9, 10, 40, 5])
+    grads = {}
+    monkeypatch.setattr(model, "_move", lambda name, at, grad, rate: grads.setdefault(name, np.zeros(model.p[name].shape)).__setitem__(at, grad))
+    model.step(ctx, y, 0.0)
+    kept, many = grads.copy(), len(y)
+    for name in ("emb", "w", "b", "u", "c", "v", "d"):
+        at = tuple(rng.integers(0, s) for s in kept[name].shape) if name != "emb" else (int(ctx[0, 0]), 3)
+        old, loss = model.p[name][at], []
+        for shift in (1e-5, -1e-5):
+            model.p[name][at] = old + shift
+            loss.append(model.step(ctx, y, 0.0))
+        model.p[name][at] = old
+        assert kept[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-5 * many, rel=1e-3, abs=1e-6), name
+
+
 def test_lm_learns_from_both_sides(docs):
     texts = [" ".join(["left", w, {"red": "stop", "green": "go"}[w]] * 10) for w in ("red", "green") for _ in range(100)]
     model = lmscore.fit(docs(texts))
