@@ -8,24 +8,34 @@ from ._store import checkpointed
 
 #: Links that one task takes; short lists of links are not dealt over all shuffle partitions.
 TASK_LINKS = 200_000
+#: Tasks that the links of one node are dealt over.
+SALTS = 32
 
 
 def _tasks(links: int) -> int:
     return max(1, -(-links // TASK_LINKS))
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges plus m, the least v of u: taken by node and salt first, so that a node of very many links is dealt over SALTS tasks."""
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "_salt").agg(F.min("v").alias("_p"))
+    least = parts.groupBy("u").agg(F.min("_p").alias("m"))
+    known = parts.select("u", "_salt").join(least, "u")
+    return salted.join(known, ["u", "_salt"]).drop("_salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the least of its neighbourhood."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them; links may repeat."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v")))
+    known = _with_least(edges)
+    moved = known.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionAll(known.select("u", F.col("m").alias("v")))
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,9 +45,9 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of a link; the component is its least node.
 
-    Links may repeat, run either way or link a node with itself; nulls are dropped. Every step is
-    an aggregation and a join on the node, so a node with very many links meets no single task
-    as a whole; the number of rounds grows with the logarithm of the longest path.
+    Links may repeat, run either way or link a node with itself; nulls are dropped. Every step takes
+    minima by node and joins them back to the links, by node and a salt of the other end, so the links of
+    one node lie in up to SALTS tasks; the number of rounds grows with the logarithm of the longest path.
     """
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     alone = pairs.where("a = b").select(F.col("a").alias("node"))

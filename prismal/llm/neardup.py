@@ -40,6 +40,8 @@ SKETCH_LEAST = 0.58
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
 BITMAP = 2048
+#: Tasks that the copies of one set are dealt over.
+SALTS = 64
 _TEXT_BLOCK = 1 << 19
 _SEED = np.random.default_rng(20)
 _A = _SEED.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -222,7 +224,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     of_class = classes.select("print", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     of_class = of_class.groupBy("print").agg(F.min("component_id").alias("component_id"))
-    result = profile.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("print")).alias("print")).join(of_class, "print", "left")
+    # copies of one set may be a third of all rows: they meet their class by set and salt
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt")
+    of_part = linkable.select("print", salt).distinct().join(of_class, "print")
+    result = profile.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("print")).alias("print"), salt).join(of_part, ["print", "_salt"], "left")
     result = result.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
