@@ -8,7 +8,7 @@ counted, cut out, or lead to the document's removal. Where the benchmark is larg
 hashes meet it in shuffle joins; the result is the same.
 
 Defined cases: null or empty text has no words and no hits; null or empty items have no window
-(an item with a null id cuts words but is not counted in n_items);
+(an item with a null id cuts words but is not counted in n_items); item ids of any type are compared and returned as strings;
 repeated rows are judged one by one; an empty benchmark leaves every document clean; other columns
 of the documents pass through (columns that an output name clashes with are replaced).
 """
@@ -52,7 +52,7 @@ def item_windows(batches, size: int):
                 pa.array([out[k] for k in keys], pa.int32()),
                 pa.array([window_hash(w) for w, _ in keys], pa.int64()),
                 pa.array([w for w, _ in keys], pa.string()),
-                pa.array([i for _, i in keys], pa.int64()),
+                pa.array([i for _, i in keys], pa.string()),
             ],
             ["width", "hash", "words", "item_id"],
         )
@@ -67,8 +67,8 @@ def window_hash(window: str) -> int:
 class Table:
     """The windows of one benchmark, for lookups inside a task."""
 
-    def __init__(self, rows: list[tuple[int, int, str, int]]):
-        self.by_hash: dict[tuple[int, int], dict[str, set[int]]] = {}
+    def __init__(self, rows: list[tuple[int, int, str, str]]):
+        self.by_hash: dict[tuple[int, int], dict[str, set[str]]] = {}
         for width, h, words, item in rows:
             self.by_hash.setdefault((width, h), {}).setdefault(words, set()).add(item)
         self.filters = {}
@@ -142,7 +142,7 @@ def _result(rows, data, offsets, words, found, text_col, keep):
         pa.array(n_words, pa.int64()),
         pa.array(n_hit),
         pa.array([len(i) for i in items_of], pa.int64()),
-        pa.array(items_of, pa.list_(pa.int64())),
+        pa.array(items_of, pa.list_(pa.string())),
         pa.array([[{"start": a, "end": b} for a, b in s] for s in spans_of], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         pa.array(n_hit > 0),
         pa.array(texts, pa.string()) if found else clean.cast(pa.string()),
@@ -152,15 +152,15 @@ def _result(rows, data, offsets, words, found, text_col, keep):
 
 def _schema(docs: DataFrame, keep: list[str]) -> T.StructType:
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    kinds = [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(span), T.BooleanType(), T.StringType()]
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.ArrayType(span), T.BooleanType(), T.StringType()]
     return T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, k) for n, k in zip(OUTPUTS, kinds)])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs plus n_words, n_hit, n_items, item_ids, hit_spans (code points), contaminated and clean_text (hit spans cut out)."""
     spark = docs.sparkSession
-    windows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda batches: item_windows(batches, size), "width int, hash long, words string, item_id long"
+    windows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        lambda batches: item_windows(batches, size), "width int, hash long, words string, item_id string"
     )
     keep = [c for c in docs.columns if c not in OUTPUTS]
     schema = _schema(docs, keep)
@@ -189,33 +189,28 @@ def _by_join(docs: DataFrame, windows: DataFrame, keep: list[str], schema: T.Str
                     d = doc[first]
                     keys = rows.column("_text_key")
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            keys.take(pa.array(d)),
-                            pa.array((first - words.bound[d]).astype(np.int32)),
-                            pa.array(np.full(len(d), width, np.int32)),
-                            pa.array(h[first].view(np.int64)),
-                            pa.array([" ".join(_word(words, data, i) for i in range(k, k + width)) for k in first.tolist()], pa.string()),
-                        ],
-                        ["_text_key", "pos", "width", "hash", "words"],
+                        [keys.take(pa.array(d)), pa.array((first - words.bound[d]).astype(np.int32)), pa.array(np.full(len(d), width, np.int32)), pa.array(h[first].view(np.int64))],
+                        ["_text_key", "pos", "width", "hash"],
                     )
 
-    places = docs.select(text_col, key.alias("_text_key")).mapInArrow(positions, "_text_key string, pos int, width int, hash long, words string")
-    once = windows.groupBy("width", "hash", "words").agg(F.collect_set("item_id").alias("items"))
-    hits = (
-        places.join(once, ["width", "hash", "words"])
-        .groupBy("_text_key")
-        .agg(F.collect_set(F.struct("pos", "width", "items")).alias("_hits"))
-    )
+    # only hashes travel; the windows' words come back with the hits and are compared in the text
+    texts = docs.select(text_col, key.alias("_text_key")).dropDuplicates(["_text_key"])
+    places = texts.mapInArrow(positions, "_text_key string, pos int, width int, hash long")
+    once = windows.groupBy("width", "hash", "words").agg(F.collect_set("item_id").alias("items")).groupBy("width", "hash").agg(F.collect_list(F.struct("words", "items")).alias("known"))
+    hits = places.join(once, ["width", "hash"]).groupBy("_text_key").agg(F.collect_list(F.struct("pos", "width", "known")).alias("_hits"))
 
     def cut(batches):
         for batch in batches:
             for rows, data, offsets in _text.blocks(batch, text_col):
                 words = _text.Words(data, offsets, _text.ALNUM)
-                found = {
-                    d: [(int(words.bound[d]) + h["pos"], h["width"], set(h["items"])) for h in hits]
-                    for d, hits in enumerate(rows.column("_hits").to_pylist())
-                    if hits
-                }
+                found: dict[int, list] = {}
+                for d, hits in enumerate(rows.column("_hits").to_pylist()):
+                    for h in hits or ():
+                        at = int(words.bound[d]) + h["pos"]
+                        text = " ".join(_word(words, data, i) for i in range(at, at + h["width"]))
+                        for known in h["known"]:
+                            if known["words"] == text:
+                                found.setdefault(d, []).append((at, h["width"], set(known["items"])))
                 yield _result(rows, data, offsets, words, found, text_col, keep)
 
     return docs.withColumn("_text_key", key).join(hits, "_text_key", "left").mapInArrow(cut, schema)
@@ -240,8 +235,7 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Contract query: hit words and items of every whole document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
-    return scored.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+    return scored.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
 OP1_SQL = r"""

@@ -36,7 +36,7 @@ def _brute_hits(text, items, size=10):
                 if words[p : p + k] == w[a : a + k]:
                     hit |= set(range(p, p + k))
                     ids.add(item)
-    return len(words), len(hit), sorted(i for i in ids if i is not None)
+    return len(words), len(hit), sorted(str(i) for i in ids if i is not None)
 
 
 def test_contamination_equals_brute_force_on_both_paths(spark, docs):
