@@ -100,3 +100,15 @@ def chi2_greater(x: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def normal_greater(z: pd.Series) -> pd.Series:
     return pd.Series([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
+
+
+@F.pandas_udf(DoubleType())
+def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
+    """The t below which a share p of the distribution lies, by bisection of its tail."""
+    p, df = p.to_numpy(dtype=float), df.to_numpy(dtype=float)
+    lo, hi = np.full(len(p), -1e6), np.full(len(p), 1e6)
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        above = t_tail(mid, df) > 1 - p
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    return pd.Series((lo + hi) / 2)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.aggregate import correlation
 
-METRICS = ("cosine", "cosine_floor", "correlation", "correlation_scaled", "euclidean")
+METRICS = ("cosine", "cosine_floor", "correlation", "correlation_safe", "correlation_scaled", "euclidean")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,6 +32,11 @@ def prepared(features: DataFrame, metric: str) -> DataFrame:
     if metric == "correlation":
         centred = features.withColumn("_m", total(v) / n).withColumn("v", F.transform(v, lambda x: x - F.col("_m"))).drop("_m")
         return centred.withColumn("_s", F.sqrt(dot(v, v))).withColumn("v", F.transform(v, lambda x: F.when(F.col("_s") > 0, x / F.col("_s")))).drop("_s")
+    if metric == "correlation_safe":  # a constant or non-finite vector correlates with nothing
+        centred = features.withColumn("_m", total(v) / n).withColumn("v", F.transform(v, lambda x: x - F.col("_m"))).drop("_m")
+        scaled = centred.withColumn("_s", F.sqrt(dot(v, v)))
+        ok = (F.col("_s") > 1e-6) & (F.col("_s") < float("inf"))  # NaN is above infinity
+        return scaled.withColumn("v", F.transform(v, lambda x: F.when(ok, x / F.col("_s")).otherwise(0.0))).drop("_s")
     if metric == "correlation_scaled":  # z-scores by the sample deviation, product divided by the dimension
         centred = features.withColumn("_m", total(v) / n).withColumn("v", F.transform(v, lambda x: x - F.col("_m"))).drop("_m")
         return centred.withColumn("_s", F.sqrt(dot(v, v) / (n - 1)) + 1e-9).withColumn("v", F.transform(v, lambda x: x / F.col("_s") / F.sqrt(n))).drop("_s")
@@ -55,6 +60,27 @@ def distance_profile(features: DataFrame, metric: str = "cosine") -> DataFrame:
     return a.join(b, ["grp", "model"]).where("i < j").select("grp", "model", "i", "j", _distance(F.col("va"), F.col("vb"), metric).alias("d"))
 
 
+def similarity_profile(features: DataFrame) -> DataFrame:
+    """(grp, model, i, j, d): products of z-scored vectors (population deviation, at least 1e-12) over their dimension minus one."""
+    v, n = F.col("v"), F.size("v").cast("double")
+    x = features.withColumn("_m", total(v) / n).withColumn("v", F.transform(v, lambda x: x - F.col("_m")))
+    x = x.withColumn("_s", F.greatest(F.sqrt(dot(v, v) / n), F.lit(1e-12))).withColumn("v", F.transform(v, lambda x: x / F.col("_s")))
+    a = x.select("grp", "model", F.col("image_id").alias("i"), F.col("v").alias("va"))
+    b = x.select("grp", "model", F.col("image_id").alias("j"), F.col("v").alias("vb"))
+    return a.join(b, ["grp", "model"]).where("i < j").select("grp", "model", "i", "j", (dot(F.col("va"), F.col("vb")) / (F.size("va") - 1)).alias("d"))
+
+
+def chunked_cosine(features: DataFrame, chunk: str) -> DataFrame:
+    """(grp, i, j, d): cosine distances of vectors that come in chunks, from sums of the chunks' products; similarity 0 where a norm vanishes."""
+    norms = features.groupBy("grp", "image_id").agg(F.sum(dot(F.col("v"), F.col("v"))).alias("_n"))
+    a = features.select("grp", chunk, F.col("image_id").alias("i"), F.col("v").alias("va"))
+    b = features.select("grp", chunk, F.col("image_id").alias("j"), F.col("v").alias("vb"))
+    dots = a.join(b, ["grp", chunk]).where("i < j").groupBy("grp", "i", "j").agg(F.sum(dot(F.col("va"), F.col("vb"))).alias("_ab"))
+    x = dots.join(norms.select("grp", F.col("image_id").alias("i"), F.col("_n").alias("_aa")), ["grp", "i"]).join(norms.select("grp", F.col("image_id").alias("j"), F.col("_n").alias("_bb")), ["grp", "j"])
+    den = F.sqrt(F.col("_aa") * F.col("_bb"))
+    return x.select("grp", "i", "j", (1 - F.when(den > 1e-24, F.col("_ab") / den).otherwise(0.0)).alias("d"))
+
+
 def candidate_distances(candidates: DataFrame, selected: DataFrame, metric: str = "cosine") -> DataFrame:
     """(model, candidate, image, d): every candidate against every selected image of its model.
 

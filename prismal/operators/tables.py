@@ -91,3 +91,122 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> Dat
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All rows by column name; columns that a frame lacks are null."""
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def numeric_means(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Means of all numeric columns by key; other columns are left out."""
+    columns = [c for c, t in df.dtypes if t.split("(")[0] in _NUMERIC and c not in keys]
+    return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def histogram_entropy(df: DataFrame, keys: list[str], value: str, bins: int = 50, floor: float = 1e-10) -> DataFrame:
+    """(keys, n, entropy): entropy of a density histogram between each group's least and largest value.
+
+    Every bin's density is raised by `floor` and the densities are scaled to add up to one; empty bins count by
+    their number, without rows of their own.
+    """
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("n"))
+    x = df.join(ends, keys).where(F.col("_hi") > F.col("_lo"))
+    k = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+    counts = x.groupBy(*keys, "_lo", "_hi", "n", k.alias("_bin")).agg(F.count("*").alias("_c"))
+    scale = bins / (F.col("_hi") - F.col("_lo"))
+    p, q = (F.col("_c") / F.col("n") * scale + floor) / (scale + bins * floor), floor / (scale + bins * floor)
+    entropy = -F.sum(p * F.log(p)) - (bins - F.count(F.lit(1))) * F.max(q * F.log(q))
+    return counts.groupBy(*keys, "n").agg(entropy.alias("entropy"))
+
+
+def draw_key(seed: object, *parts) -> Column:
+    """A text that orders rows at random, the same on every engine and for every partitioning."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+
+
+def random_split(df: DataFrame, group: list[str], key: str, share: float, seed: int = 0) -> DataFrame:
+    """df plus train: round(n * share) rows of each group, drawn by a hash of the key."""
+    w = Window.partitionBy(*group)
+    rank = F.row_number().over(w.orderBy(draw_key(seed, F.col(key)), key))
+    return df.withColumn("train", rank <= F.round(F.count(F.lit(1)).over(w) * share))
+
+
+def pair_summaries(df: DataFrame, group: list[str], key: str, columns: list[str]) -> DataFrame:
+    """(group, key_a, key_b, and for each column its absolute difference, mean and larger value) of unordered pairs."""
+    a = df.select(*group, F.col(key).alias("key_a"), *[F.col(c).alias(f"_a_{c}") for c in columns])
+    b = df.select(*group, F.col(key).alias("key_b"), *[F.col(c).alias(f"_b_{c}") for c in columns])
+    out = []
+    for c in columns:
+        x, y = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        out += [F.abs(x - y).alias(f"{c}_absdiff"), ((x + y) / 2).alias(f"{c}_mean"), F.greatest(x, y).alias(f"{c}_max")]
+    return a.join(b, group).where("key_a < key_b").select(*group, "key_a", "key_b", *out)
+
+
+def correlation_matrix(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """(group, col_a, col_b, pearson, spearman) for each pair of columns, from one aggregation of values and ranks."""
+    from ..functions.aggregate import correlation
+
+    ranked = df.select(*group, *columns, *[average_rank(F.col(c), [F.col(g) for g in group]).alias(f"_r_{c}") for c in columns])
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    cells = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), correlation(F.col(a), F.col(b)).alias("pearson"), correlation(F.col(f"_r_{a}"), F.col(f"_r_{b}")).alias("spearman")) for a, b in pairs]
+    return ranked.groupBy(*group).agg(F.array(*cells).alias("_c")).select(*group, F.explode("_c").alias("_c")).select(*group, "_c.*")
+
+
+def greedy_matches(targets: DataFrame, pool: DataFrame, group: list[str], key: str, covariates: list[str]) -> DataFrame:
+    """(group, key, match, distance): one-to-one matches on z-scored covariates, within each group.
+
+    Targets are taken in ascending order of their nearest distance (then key); each takes the nearest unused row
+    of the pool (then key). The choice is sequential, so a group is one task: groups must be matching strata.
+    """
+    import numpy as np
+    import pandas as pd
+
+    both = targets.select(*group, key, *covariates).withColumn("_t", F.lit(True)).unionByName(pool.select(*group, key, *covariates).withColumn("_t", F.lit(False)))
+    kinds = dict(both.dtypes)
+    schema = ", ".join([f"{g} {kinds[g]}" for g in group] + [f"{key} {kinds[key]}", f"match {kinds[key]}", "distance double"])
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        x = pdf[covariates].to_numpy(dtype=float)
+        sd = x.std(axis=0)
+        z = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
+        own, other = np.flatnonzero(pdf["_t"].to_numpy()), np.flatnonzero(~pdf["_t"].to_numpy())
+        d = np.sqrt(((z[own, None] - z[other]) ** 2).sum(axis=2))
+        rows, used = [], np.zeros(len(other), bool)
+        for i in np.argsort(d.min(axis=1), kind="stable") if len(other) else ():
+            free = np.where(used, np.inf, d[i])
+            j = int(free.argmin())
+            if np.isfinite(free[j]):
+                used[j] = True
+                rows.append([*pdf[group].iloc[0], pdf[key].iloc[own[i]], pdf[key].iloc[other[j]], float(d[i, j])])
+        return pd.DataFrame(rows, columns=[*group, key, "match", "distance"])
+
+    return both.groupBy(*group).applyInPandas(match, schema)
+
+
+def capped_appearances(pairs: DataFrame, group: list[str], a: str, b: str, order: list[str], most: int) -> DataFrame:
+    """Pairs kept in order while neither side has been kept `most` times; sequential within a group, which is one task."""
+    import pandas as pd
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, seen, kept = pdf.sort_values(order, kind="stable"), {}, []
+        for x, y in zip(pdf[a], pdf[b]):
+            ok = seen.get(x, 0) < most and seen.get(y, 0) < most
+            kept.append(ok)
+            if ok:
+                seen[x], seen[y] = seen.get(x, 0) + 1, seen.get(y, 0) + 1
+        return pdf[kept]
+
+    return pairs.groupBy(*group).applyInPandas(keep, pairs.schema)
+
+
+def nearest_to(df: DataFrame, group: list[str], key: str, value: str, k: int) -> DataFrame:
+    """(group, subset, key): the k rows at the bottom, in the middle, at the top and nearest to the mean of each group."""
+    w = Window.partitionBy(*group)
+    n, up = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(value, key))
+    gap = F.abs(F.col(value) - F.avg(value).over(w))
+    x = df.select(*group, key, n.alias("_n"), up.alias("_r"), gap.alias("_gap"))
+    x = x.withColumn("_g", F.row_number().over(w.orderBy(F.round("_gap", 9), key)))
+    lo = F.floor((F.col("_n") - k) / 2)
+    named = {"bottom": F.col("_r") <= k, "middle": (F.col("_r") > lo) & (F.col("_r") <= lo + k), "top": F.col("_r") > F.col("_n") - k, "mean": F.col("_g") <= k}
+    kinds = F.filter(F.array(*[F.when(c, name) for name, c in named.items()]), lambda s: s.isNotNull())
+    return x.select(*group, F.explode(kinds).alias("subset"), key)

@@ -68,19 +68,14 @@ def levene_statistic(spark, d):
     return _rounded(I.levene(_per(spark, d), ["subject"], "kind", "score"), "subject")
 
 
-_PV = "pv AS (SELECT p_type AS scope, p_partkey AS k, (p_size * p_partkey % 997 + 1) / 1000.0 AS p FROM part WHERE p_partkey < 400)"
+_PV = "pv AS (SELECT p_type AS scope, p_partkey AS k, (p_size * p_partkey % 997 + 1) / 1000.0 AS p FROM part)"
 
 
-def _all_pv(spark, d):
+def _pv(spark, d):
     p = table(spark, d, "part")
     return p.select(F.col("p_type").alias("scope"), F.col("p_partkey").alias("k"), ((F.col("p_size") * F.col("p_partkey") % 997 + 1) / 1000.0).alias("p"))
 
 
-def _pv(spark, d):
-    """The parts that _PV states."""
-    return _all_pv(spark, d).where("k < 400")
-
-
 @register("fdr_adjusted", f"WITH {_PV}, r AS (SELECT *, count(*) OVER (PARTITION BY scope) AS m, row_number() OVER (PARTITION BY scope ORDER BY p, k) AS r FROM pv) SELECT scope, k, round(least(1.0, min(p * m / r) OVER (PARTITION BY scope ORDER BY r DESC)), 6) AS q FROM r")
 def fdr_adjusted(spark, d):
     return I.benjamini_hochberg(_pv(spark, d), ["scope"], "p", "k").select("scope", "k", F.round("q", 6).alias("q"))
@@ -107,7 +102,7 @@ def test_p_values(spark, d):
     """p-values of the statistics above, from the distribution functions (no SQL counterpart)."""
     t = paired_effects(spark, d).select("model", P.t_two_sided(F.col("t"), (F.col("n") - 1).cast("double")).alias("p_t"))
     w = levene_statistic(spark, d).select(F.col("subject").cast("string").alias("model"), P.f_greater(F.col("w"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")).alias("p_f"))
-    c = _all_pv(spark, d).groupBy("scope").agg(F.round(I.fisher_statistic(F.col("p")), 6).alias("chi2"), (2 * F.count("*")).alias("df"))
+    c = _pv(spark, d).groupBy("scope").agg(F.round(I.fisher_statistic(F.col("p")), 6).alias("chi2"), (2 * F.count("*")).alias("df"))
     c = c.select(F.col("scope").alias("model"), P.chi2_greater(F.col("chi2"), F.col("df").cast("double")).alias("p_chi2"))
     return O.union_all([t, w, c])
 
