@@ -2,7 +2,7 @@
 
 A feature table is long: (grp, model, image_id, v ARRAY<DOUBLE>). A distance profile has one row for
 each model and unordered pair of a group's images, (grp, model, i, j, d) with i < j. All kernels here are
-built-in expressions; pairs come from an equi-join on group and model.
+built-in expressions; pairs come from an equi-join on group, model and pair of blocks of images.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.aggregate import correlation
 
+#: Images of a group that one task compares with as many others, and cells that a profile's ranks are taken in.
+BLOCK, CELLS = 512, 4096
 METRICS = ("cosine", "cosine_floor", "correlation", "correlation_safe", "correlation_scaled", "euclidean")
 
 
@@ -52,12 +54,26 @@ def _distance(a: Column, b: Column, metric: str) -> Column:
     return 1 - (F.least(F.greatest(s, F.lit(-1.0)), F.lit(1.0)) if metric.startswith("cosine") else s)
 
 
+def _blocks(features: DataFrame) -> int:
+    """Blocks that the images of the largest group are dealt into, so that a task meets BLOCK of them with as many others."""
+    most = features.groupBy("grp", "model").count().agg(F.max("count").alias("n")).first()["n"]
+    return max(1, -(-(most or 0) // BLOCK))
+
+
+def image_pairs(features: DataFrame) -> DataFrame:
+    """(grp, model, i, j, va, vb) for all pairs i < j of a group: an equi-join on group, model and pair of blocks."""
+    n = _blocks(features)
+    own = F.pmod(F.xxhash64("image_id"), F.lit(n)).cast("int")
+    met = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(k, own).alias("lo"), F.greatest(k, own).alias("hi"))))
+    x = features.select("grp", "model", "image_id", "v", met.alias("_b")).select("grp", "model", "image_id", "v", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"))
+    a = x.select("grp", "model", "_lo", "_hi", F.col("image_id").alias("i"), F.col("v").alias("va"))
+    b = x.select("grp", "model", "_lo", "_hi", F.col("image_id").alias("j"), F.col("v").alias("vb"))
+    return a.join(b, ["grp", "model", "_lo", "_hi"]).where("i < j").drop("_lo", "_hi")
+
+
 def distance_profile(features: DataFrame, metric: str = "cosine") -> DataFrame:
     """(grp, model, i, j, d) for all pairs i < j of a group."""
-    x = prepared(features, metric)
-    a = x.select("grp", "model", F.col("image_id").alias("i"), F.col("v").alias("va"))
-    b = x.select("grp", "model", F.col("image_id").alias("j"), F.col("v").alias("vb"))
-    return a.join(b, ["grp", "model"]).where("i < j").select("grp", "model", "i", "j", _distance(F.col("va"), F.col("vb"), metric).alias("d"))
+    return image_pairs(prepared(features, metric)).select("grp", "model", "i", "j", _distance(F.col("va"), F.col("vb"), metric).alias("d"))
 
 
 def similarity_profile(features: DataFrame) -> DataFrame:
@@ -65,9 +81,7 @@ def similarity_profile(features: DataFrame) -> DataFrame:
     v, n = F.col("v"), F.size("v").cast("double")
     x = features.withColumn("_m", total(v) / n).withColumn("v", F.transform(v, lambda x: x - F.col("_m")))
     x = x.withColumn("_s", F.greatest(F.sqrt(dot(v, v) / n), F.lit(1e-12))).withColumn("v", F.transform(v, lambda x: x / F.col("_s")))
-    a = x.select("grp", "model", F.col("image_id").alias("i"), F.col("v").alias("va"))
-    b = x.select("grp", "model", F.col("image_id").alias("j"), F.col("v").alias("vb"))
-    return a.join(b, ["grp", "model"]).where("i < j").select("grp", "model", "i", "j", (dot(F.col("va"), F.col("vb")) / (F.size("va") - 1)).alias("d"))
+    return image_pairs(x.select("grp", "model", "image_id", "v")).select("grp", "model", "i", "j", (dot(F.col("va"), F.col("vb")) / (F.size("va") - 1)).alias("d"))
 
 
 def chunked_cosine(features: DataFrame, chunk: str) -> DataFrame:
@@ -92,23 +106,38 @@ def candidate_distances(candidates: DataFrame, selected: DataFrame, metric: str
 
 
 def ranked(profile: DataFrame, method: str = "average") -> DataFrame:
-    """d replaced by its rank within (grp, model): ties averaged, or in the order of (i, j)."""
-    part = Window.partitionBy("grp", "model")
+    """d replaced by its rank within (grp, model): ties averaged (from 1), or in the order of (i, j) (from 0).
+
+    Ranks are taken within stretches of d (a monotone function of it, in CELLS cells) and raised by the counts of the
+    stretches before, so no task sorts a whole profile.
+    """
+    if method not in ("average", "ordinal"):
+        raise ValueError(f"rank method: {method}")
+    d = F.col("d")
+    cell = F.floor(CELLS * (d / (1 + F.abs(d)) + 1)).cast("int")
+    x = profile.withColumn("_cell", F.coalesce(F.when(~F.isnan(d), cell), F.lit(4 * CELLS))).repartition("grp", "model", "_cell")
+    counts = x.groupBy("grp", "model", "_cell").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("grp", "model").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)))
+    part = Window.partitionBy("grp", "model", "_cell")
     if method == "average":
-        ties = F.count(F.lit(1)).over(Window.partitionBy("grp", "model", "d"))
-        r = F.rank().over(part.orderBy("d")) + (ties - 1) / F.lit(2.0)
-    elif method == "ordinal":
-        r = (F.row_number().over(part.orderBy("d", "i", "j")) - 1).cast("double")
+        last = F.count(F.lit(1)).over(part.orderBy("d").rangeBetween(Window.unboundedPreceding, 0))
+        r = (F.rank().over(part.orderBy("d")) + last) / F.lit(2.0)
     else:
-        raise ValueError(f"rank method: {method}")
-    return profile.withColumn("d", r)
+        r = (F.row_number().over(part.orderBy("d", "i", "j")) - 1).cast("double")
+    own = x.withColumn("_r", r)
+    before = before.select("grp", "model", "_cell", F.coalesce("_before", F.lit(0)).alias("_before"))
+    return own.join(before, ["grp", "model", "_cell"]).withColumn("d", F.col("_r") + F.col("_before")).drop("_r", "_before", "_cell")
 
 
 def profile_pairs(profile: DataFrame) -> DataFrame:
-    """(grp, model_a, model_b, i, j, da, db): two models' distances of the same image pair."""
-    a = profile.select("grp", "i", "j", F.col("model").alias("model_a"), F.col("d").alias("da"))
-    b = profile.select("grp", "i", "j", F.col("model").alias("model_b"), F.col("d").alias("db"))
-    return a.join(b, ["grp", "i", "j"]).where("model_a < model_b")
+    """(grp, model_a, model_b, i, j, da, db): two models' distances of the same image pair, from one grouping by image pair."""
+    row = profile.groupBy("grp", "i", "j").agg(F.array_sort(F.collect_list(F.struct("model", "d"))).alias("_m"))  # one entry a model
+
+    def others(x, k):
+        return F.transform(F.slice("_m", k + 2, F.size("_m")), lambda y: F.struct(x["model"].alias("model_a"), y["model"].alias("model_b"), x["d"].alias("da"), y["d"].alias("db")))
+
+    pairs = F.explode(F.flatten(F.transform("_m", others))).alias("_p")
+    return row.select("grp", "i", "j", pairs).select("grp", "_p.model_a", "_p.model_b", "i", "j", "_p.da", "_p.db")
 
 
 def agreement(profile: DataFrame, method: str = "spearman", rank_method: str = "average") -> DataFrame:

@@ -186,7 +186,7 @@ def test_queries_without_sql_take_whole_tables(spark, tmp_path):
     got = [r["image_id"] for r in kernels.greedy_selection(spark, str(tmp_path)).orderBy("place").collect()]
     assert got == chosen and len(got) == 8 and {i % 2 for i in got} == {0, 1}
     spark.createDataFrame([(k, "t", 1) for k in (1, 399, 400, 20_000)], "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    assert statistics._all_pv(spark, str(tmp_path)).count() == 4
+    assert statistics._pv(spark, str(tmp_path)).count() == 4
 
 
 def test_readouts_of_a_group_spread_over_tasks_and_equal_numpy(spark):
