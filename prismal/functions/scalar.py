@@ -64,18 +64,27 @@ def tokens(text: Column, stopwords: tuple[str, ...] = ()) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True))))
 
 
-def index_list(x: Column) -> Column:
-    """'1,3-5' as [1, 3, 4, 5]; ranges include their ends."""
+def index_list(x: Column, size: Column | int | None = None) -> Column:
+    """'1,3-5' as [1, 3, 4, 5]; ranges include their ends, and one that descends is empty. An index not below size is an error."""
     def span(part):
         ends = F.split(F.trim(part), "-")
-        return F.sequence(ends[0].cast("int"), F.element_at(ends, -1).cast("int"))
+        lo, hi = ends[0].cast("int"), F.element_at(ends, -1).cast("int")
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
-    return F.flatten(F.transform(F.split(x, ","), span))
+    out = F.flatten(F.transform(F.split(x, ","), span))
+    if size is None:
+        return out
+    bound = F.lit(size) if isinstance(size, int) else size
+    return F.when(F.exists(out, lambda i: i >= bound), F.raise_error(F.concat(F.lit("index out of bounds in "), x)).cast("array<int>")).otherwise(out)
 
 
-def stable_seed(*parts: object, separator: str = "::", bytes_: int = 4) -> int:
-    """A driver-side seed that depends on the parts only: little-endian BLAKE2b of the joined text."""
-    return int.from_bytes(hashlib.blake2b(separator.join(map(str, parts)).encode(), digest_size=bytes_).digest(), "little")
+def stable_seed(*parts: object, separator: str = "::", bytes_: int = 4, base: int | None = None) -> int:
+    """A driver-side seed that depends on the parts only: little-endian BLAKE2b of the joined text.
+
+    With a base the seed is moved by it and taken modulo 2^31 - 1, as generators with short seeds need.
+    """
+    seed = int.from_bytes(hashlib.blake2b(separator.join(map(str, parts)).encode(), digest_size=bytes_).digest(), "little")
+    return seed if base is None else (seed + base) % (2**31 - 1)
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:

@@ -18,6 +18,13 @@ def attenuated(agreements: DataFrame, profile: DataFrame, noise: float | DataFra
     return x.select("grp", "model", "other", (F.col("r") * F.sqrt(F.col("var") / (F.col("var") + F.col("noise") + _EPS))).alias("r"))
 
 
+def attenuated_levels(agreements: DataFrame, profile: DataFrame, levels: list[float]) -> DataFrame:
+    """(grp, model, other, noise, r) for each noise variance: one row of agreements is met by all levels, a short list."""
+    var = profile.groupBy("grp", "model").agg(F.var_pop("d").alias("var"))
+    x = kernels.symmetric(agreements).join(var, ["grp", "model"]).withColumn("noise", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
+    return x.select("grp", "model", "other", "noise", (F.col("r") * F.sqrt(F.col("var") / (F.col("var") + F.col("noise") + _EPS))).alias("r"))
+
+
 def smooth_min(x: Column, beta: float = 10.0) -> Column:
     """-log(sum(exp(-beta x))) / beta of a group, shifted by its minimum (so no term overflows)."""
     values = F.collect_list(x)  # one value a model

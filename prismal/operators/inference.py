@@ -53,11 +53,11 @@ def one_sample_t(x: Column, mu: float = 0.0) -> Column:
     return F.when(sd > 0, (F.avg(x) - mu) / (sd / F.sqrt(F.count(x))))
 
 
-def pooled_d(x: Column, flag: Column) -> Column:
-    """Cohen's d of flagged against other rows, with the pooled deviation."""
+def pooled_d(x: Column, flag: Column, equal: bool = False) -> Column:
+    """Cohen's d of flagged against other rows, with the pooled deviation; equal weighs both variances alike."""
     a, b = F.when(flag, x), F.when(~flag, x)
     na, nb = F.count(a), F.count(b)
-    pooled = ((na - 1) * F.var_samp(a) + (nb - 1) * F.var_samp(b)) / (na + nb - 2)
+    pooled = (F.var_samp(a) + F.var_samp(b)) / 2 if equal else ((na - 1) * F.var_samp(a) + (nb - 1) * F.var_samp(b)) / (na + nb - 2)
     return F.when(pooled > 0, (F.avg(a) - F.avg(b)) / F.sqrt(pooled))
 
 
@@ -146,6 +146,23 @@ def discriminability(margin: DataFrame) -> DataFrame:
     )
 
 
+def normal_upper(z: Column) -> Column:
+    """P(Z > z), by the rational approximation of the error function (error below 2e-7)."""
+    from .resampling import _normal_two_sided
+
+    half = _normal_two_sided(F.abs(z)) / 2
+    return F.when(z >= 0, half).otherwise(1 - half)
+
+
+def multiclass_error(cube: DataFrame) -> DataFrame:
+    """(model_i, error): how often another model scores higher than the true one, ties within 1e-8 by half."""
+    own = F.max(F.when(F.col("model_i") == F.col("model_j"), F.col("r")))
+    other = F.max(F.when(F.col("model_i") != F.col("model_j"), F.col("r")))
+    per = cube.groupBy("sim", "model_i").agg((own - other).alias("m"))
+    m = F.col("m")
+    return per.groupBy("model_i").agg(F.avg(F.when(m < -1e-8, 1.0).when(F.abs(m) <= 1e-8, 0.5).otherwise(0.0)).alias("error"))
+
+
 def index_table(spark: SparkSession, n: int, size: int, draws: int, seed: int = 0, replace: bool = True) -> DataFrame:
     """(draw, pos, idx): resampled positions of n units; draw k uses the generator seeded with seed + k.
 

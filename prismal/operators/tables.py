@@ -93,6 +93,21 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def assignments(spark, sets: int, units: int) -> DataFrame:
+    """(assignment, unit, set): all sets ** units ways to give each unit a set, from the digits of the assignment's number."""
+    unit = F.explode(F.sequence(F.lit(0), F.lit(units - 1)).cast("array<long>")).alias("unit")
+    digits = spark.range(sets**units).select(F.col("id").alias("assignment"), unit)
+    return digits.withColumn("set", F.floor(F.col("assignment") / F.pow(F.lit(float(sets)), F.col("unit"))).cast("long") % sets)
+
+
+def weighted_share(df: DataFrame, keys: list[str], share: str, n: str) -> DataFrame:
+    """(keys, n, mean, sem) of shares by subset, weighed by their units; with one subset the error is that of a share of n units."""
+    p, w = F.col(share), F.col(n)
+    per = df.groupBy(*keys).agg(F.sum(w).alias("n"), F.try_divide(F.sum(p * w), F.sum(w)).alias("mean"), F.count(p).alias("_k"), (F.stddev_samp(p) / F.sqrt(F.count(p))).alias("_s"))
+    alone = F.sqrt(F.col("mean") * (1 - F.col("mean")) / F.col("n"))
+    return per.select(*keys, "n", "mean", F.when(F.col("_k") > 1, F.col("_s")).otherwise(alone).alias("sem"))
+
+
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 

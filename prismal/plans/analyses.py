@@ -468,3 +468,76 @@ def method_catalogue(spark, d):
     from ..operators.selection import catalogue
 
     return catalogue(spark).where("NOT (tracks <> 'both' AND aggregate = 'min')")
+
+
+# smaller variants
+
+#: P(Z > x) for x >= 0 by the same rational approximation, for the SQL side; z stands for the argument.
+_UPPER = "(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(0 - x * x / 2) / 2)"
+
+
+@register("assignment_rows", "SELECT i AS assignment, CAST(u AS BIGINT) AS unit, CAST(floor(i / pow(3, u)) AS BIGINT) % 3 AS set FROM range(81) a(i), range(4) b(u)")
+def assignment_rows(spark, d):
+    return O.assignments(spark, 3, 4)
+
+
+@register("weighted_shares", "WITH s AS (SELECT c_mktsegment AS segment, c_nationkey, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0 END) AS p, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_nationkey = 1 GROUP BY 1, 2), g AS (SELECT segment, sum(n) AS n, sum(p * n) / sum(n) AS m, count(*) AS k, stddev_samp(p) / sqrt(count(*)) AS s FROM s GROUP BY 1) SELECT segment, CAST(n AS BIGINT) AS n, round(m, 6) AS mean, round(CASE WHEN k > 1 THEN s ELSE sqrt(m * (1 - m) / n) END, 6) AS sem FROM g")
+def weighted_shares(spark, d):
+    c = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING' OR c_nationkey = 1")
+    s = c.groupBy(F.col("c_mktsegment").alias("segment"), "c_nationkey").agg(F.avg(F.when(F.col("c_acctbal") > 0, 1.0).otherwise(0.0)).alias("p"), F.count("*").alias("k"))
+    return _rounded(O.weighted_share(s, ["segment"], "p", "k"), "segment")
+
+
+@register(
+    "parametric_errors",
+    f"WITH {_CUBE}, m AS (SELECT a.sim, a.model_i, a.model_j, o.r - a.r AS margin FROM cube a JOIN cube o ON o.sim = a.sim AND o.model_i = a.model_i AND o.model_j = a.model_i WHERE a.model_i <> a.model_j), d AS (SELECT model_i, model_j, avg(margin) / (stddev_samp(margin) + 1e-10) / sqrt(2) AS z FROM m GROUP BY 1, 2), x AS (SELECT *, abs(z) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM d) SELECT model_i, model_j, round(z, 5) AS z, round(CASE WHEN z >= 0 THEN {_UPPER} ELSE 1 - {_UPPER} END, 5) AS error FROM x",
+)
+def parametric_errors(spark, d):
+    x = I.discriminability(I.margins(_cube(spark, d))).withColumn("z", F.col("d_prime") / F.sqrt(F.lit(2.0)))
+    return x.select("model_i", "model_j", F.round("z", 5).alias("z"), F.round(I.normal_upper(F.col("z")), 5).alias("error"))
+
+
+@register("multiclass_error", f"WITH {_CUBE}, m AS (SELECT sim, model_i, max(CASE WHEN model_i = model_j THEN r END) - max(CASE WHEN model_i <> model_j THEN r END) AS m FROM cube GROUP BY 1, 2) SELECT model_i, round(avg(CASE WHEN m < -1e-8 THEN 1.0 WHEN abs(m) <= 1e-8 THEN 0.5 ELSE 0 END), 6) AS error FROM m GROUP BY 1")
+def multiclass_error(spark, d):
+    return _rounded(I.multiclass_error(_cube(spark, d)), "model_i")
+
+
+@register("equal_weight_effects", "SELECT l_returnflag AS kind, round((avg(l_quantity) FILTER (l_linestatus = 'F') - avg(l_quantity) FILTER (l_linestatus = 'O')) / sqrt((var_samp(l_quantity) FILTER (l_linestatus = 'F') + var_samp(l_quantity) FILTER (l_linestatus = 'O')) / 2), 6) AS d FROM lineitem GROUP BY 1")
+def equal_weight_effects(spark, d):
+    x = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("kind"))
+    return x.agg(F.round(I.pooled_d(F.col("l_quantity"), F.col("l_linestatus") == "F", equal=True), 6).alias("d"))
+
+
+_SWEEP = "lv AS (SELECT pow(10, -1 + 3.0 * k / 19) AS level FROM range(20) t(k) UNION SELECT * FROM (VALUES (0.1), (1.0), (3.0), (5.0), (10.0)) v(x))"
+
+
+@register(
+    "noise_sweep",
+    f"WITH {FEAT}, {_rdm(_COS)}, a AS (SELECT a.grp, a.model AS x, b.model AS y, corr(a.d, b.d) AS r, var_pop(a.d) AS vx, var_pop(b.d) AS vy FROM rdm a JOIN rdm b ON a.grp = b.grp AND a.i = b.i AND a.j = b.j AND a.model < b.model GROUP BY 1, 2, 3), {_SWEEP}, s AS (SELECT grp, level, r * sqrt(vx / (vx + 0.01 * level + 1e-8)) AS r FROM a, lv UNION ALL SELECT grp, level, r * sqrt(vy / (vy + 0.01 * level + 1e-8)) FROM a, lv) SELECT grp, round(level, 6) AS level, round(avg(r), 6) AS mean_r FROM s GROUP BY grp, level",
+)
+def noise_sweep(spark, d):
+    """Expected agreement at each noise level: one plan for all levels."""
+    from ..operators.disagreement import attenuated_levels
+
+    levels = sorted({round(10 ** (-1 + 3 * k / 19), 12) for k in range(20)} | {0.1, 1.0, 3.0, 5.0, 10.0})
+    p = _profile(spark, d)
+    x = attenuated_levels(K.agreement(p, "pearson"), p, [0.01 * v for v in levels])
+    return x.groupBy("grp", "noise").agg(F.avg("r").alias("m")).select("grp", F.round(F.col("noise") / 0.01, 6).alias("level"), F.round("m", 6).alias("mean_r"))
+
+
+@register("feature_noise")
+def feature_noise(spark, d):
+    """Agreement of models with noisy features, by draw (hashed noise; tested for its limits)."""
+    from ..operators.simulation import feature_noise_agreement
+
+    return _rounded(feature_noise_agreement(features(spark, d), 0.1, 3, seed=2), "grp", "draw", "model_a", "model_b")
+
+
+@register("kind_comparisons")
+def kind_comparisons(spark, d):
+    """Signed-rank p-values of two kinds against a third for each model, adjusted within each reference (tested against their parts)."""
+    p = _per(spark, d)
+    base = p.where("kind = 'N'").select("subject", "model", F.col("score").alias("base"))
+    x = p.where("kind <> 'N'").join(base, ["subject", "model"]).withColumn("x", F.round(F.col("score") - F.col("base"), 9))
+    tested = B.signed_ranks(x, ["kind", "model"], "subject", "x")
+    return _rounded(I.holm(I.benjamini_hochberg(tested, ["kind"], "p_wilcoxon", "model"), ["kind"], "p_wilcoxon", "model"), "kind", "model")

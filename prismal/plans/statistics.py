@@ -255,9 +255,8 @@ def ood_distance(spark, d):
 @register("utility_by_noise", f"WITH {FEAT}, {_rdm(_COS)}, {_PAIR}, {_AGREE}, vr AS (SELECT grp, model, var_pop(d) AS var FROM rdm GROUP BY 1, 2), n AS (SELECT x AS noise FROM (VALUES (0.0), (0.01), (0.1)) t(x)), s AS (SELECT grp, model_a AS model, r FROM agree UNION ALL SELECT grp, model_b, r FROM agree) SELECT CAST(noise AS DOUBLE) AS noise, round(avg(r * sqrt(var / (var + noise + 1e-8))), 6) AS mean_r FROM s JOIN vr USING (grp, model), n GROUP BY 1")
 def utility_by_noise(spark, d):
     p = _profile(spark, d)
-    a = K.agreement(p, "pearson")
-    levels = [D.attenuated(a, p, x).groupBy().agg(F.avg("r").alias("m")).select(F.lit(float(x)).alias("noise"), F.round("m", 6).alias("mean_r")) for x in (0.0, 0.01, 0.1)]
-    return O.union_all(levels)
+    x = D.attenuated_levels(K.agreement(p, "pearson"), p, [0.0, 0.01, 0.1])
+    return x.groupBy("noise").agg(F.round(F.avg("r"), 6).alias("mean_r"))
 
 
 @register("noisy_recovery")

@@ -114,3 +114,41 @@ def test_variants_and_completeness(spark):
         V.assert_complete(df, "stage", 2)
     assert V.assert_complete(df, "stage", 1) is df
     assert O.histogram_entropy(df.withColumn("score", F.lit(1.0)), ["stage"], "score").count() == 0
+
+
+def test_feature_noise_has_its_limits_and_no_partitions(spark, tiny):
+    from prismal.operators import kernels as K, simulation as M
+    from prismal.plans.kernels import features
+
+    f = features(spark, tiny).where("image_id < 60")
+    clean = {tuple(r)[:3]: r["r"] for r in K.agreement(K.distance_profile(f), "pearson").select("grp", "model_a", "model_b", "r").collect()}
+    none = M.feature_noise_agreement(f, 0.0, 2).collect()
+    assert all(r["r"] == pytest.approx(clean[r["grp"], r["model_a"], r["model_b"]], abs=1e-9) for r in none if clean[r["grp"], r["model_a"], r["model_b"]] is not None)
+    a = M.feature_noise_agreement(f, 0.2, 2, seed=4).orderBy("grp", "draw", "model_a", "model_b").collect()
+    b = M.feature_noise_agreement(f.repartition(5), 0.2, 2, seed=4).orderBy("grp", "draw", "model_a", "model_b").collect()
+    assert [r["r"] for r in a] == pytest.approx([r["r"] for r in b], nan_ok=True) and len({r["r"] for r in a}) > 6
+    z = M.normals(1, 2, np.arange(20_000, dtype=np.uint64), 3)
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and abs(np.corrcoef(z.T)[0, 1]) < 0.03
+    with pytest.raises(ValueError):
+        M.expected_agreement(f, "analytic", 0.1, method="spearman")
+    one, many = (M.expected_agreement(f, k, 0.01, 30).orderBy("grp").collect() for k in ("analytic", "profile"))
+    assert np.nanmean([abs(x["r"] - y["r"]) for x, y in zip(one, many) if x["r"] is not None]) < 0.1
+
+
+def test_kind_comparisons_adjust_their_parts(spark, tiny):
+    got = catalog.queries()["kind_comparisons"](spark, tiny).toPandas()
+    for _, part in got.groupby("kind"):
+        part = part.sort_values(["p_wilcoxon", "model"])
+        m = len(part)
+        holm = np.minimum(1, np.maximum.accumulate(part["p_wilcoxon"].to_numpy() * (m - np.arange(m))))
+        assert np.allclose(part["p_holm"], holm, atol=2e-5) and (part["q"] <= part["p_holm"] + 2e-5).all()
+
+
+def test_index_lists_check_their_bounds(spark):
+    from prismal.functions import scalar as S
+
+    df = spark.createDataFrame([("1,3-5",), ("4-2",), ("7",)], "x string")
+    assert [r[0] for r in df.select(S.index_list(F.col("x"))).collect()] == [[1, 3, 4, 5], [], [7]]
+    with pytest.raises(Exception, match="index out of bounds"):
+        df.select(S.index_list(F.col("x"), 7)).collect()
+    assert S.stable_seed("a", 1) != S.stable_seed("a", 1, separator="\0") and 0 <= S.stable_seed("a", base=5) < 2**31 - 1
