@@ -136,3 +136,15 @@ def semantic_clusters(spark, d):
     from ..operators.clusters import clustered
 
     return clustered(_vectors(spark, d).select("image_id", "v"), components=8, clusters=10, seed=5)
+
+
+@register("teacher_student")
+def teacher_student(spark, d):
+    """Which student gives back each teacher's distances, by group and draw (hashed noise; tested for its limits)."""
+    from ..operators import recovery as V
+
+    cube = R.teacher_student(features(spark, d), 0.01, 2, 1.0, "image_id % 2 = 0", seed=6)
+    k = F.substring("teacher", 2, 9).cast("long"), F.substring("student", 2, 9).cast("long")
+    cube = cube.select((F.col("grp") * 2 + F.col("draw")).alias("sim"), k[0].alias("model_i"), k[1].alias("model_j"), "r")
+    own = spark.range(4).select(F.col("id").alias("model"), F.col("id").alias("class"))
+    return _rounded(V.recovered(cube, own), "sim", "model_i")

@@ -133,3 +133,21 @@ def test_registered_readouts_cover_their_groups(spark, tiny, name):
         assert len(got) == n == got["image_id"].nunique() and not got.isna().any().any()
     else:
         assert got["grp"].nunique() == 10 and got["r"].between(-1, 1).all()
+
+
+def test_a_teacher_is_recovered_by_its_own_features(spark):
+    rng = np.random.default_rng(7)
+    data = [(g, m, i, (rng.normal(size=4) * s).tolist()) for g in (0, 1) for m, s in (("a", 1.0), ("b", 1.0), ("c", 2.0)) for i in range(40)]
+    f = spark.createDataFrame(data, "grp long, model string, image_id long, v array<double>")
+    clean = R.teacher_student(f, 0.0, 1, 1e-9, "image_id % 2 = 0", "euclidean").toPandas()
+    assert len(clean) == 2 * 3 * 3
+    own = clean[clean["teacher"] == clean["student"]]
+    assert np.allclose(own["r"], 1.0, atol=1e-6) and clean[clean["teacher"] != clean["student"]]["r"].abs().max() < 0.9
+    noisy = R.teacher_student(f.repartition(5), 0.5, 3, 1.0, "image_id % 2 = 0", "euclidean", 1).toPandas()
+    assert set(noisy["draw"]) == {0, 1, 2} and noisy[noisy["teacher"] == noisy["student"]]["r"].mean() < 0.99
+
+
+def test_registered_recovery_names_a_winner_for_every_teacher(spark, tiny):
+    got = catalog.queries()["teacher_student"](spark, tiny).toPandas()
+    assert len(got) == 20 * 4 and got["winner"].between(0, 3).all()
+    assert got["correct"].mean() > 0.5
