@@ -34,7 +34,7 @@ VOCAB, RARE_BITS, ROW_BITS = 8192, 16, 10
 SIDE, DIM, HIDDEN = 3, 16, 24
 WARM, WARM_TOKENS, WARM_EPOCHS = 1500, 128, 3
 SHARD_TOKENS, SHARDS, ROUNDS = 4_000_000, 8, 2
-BATCH, WARM_BATCH, RATE = 4096, 512, 0.1
+BATCH, WARM_BATCH, RATE, SCORED = 16384, 512, 0.1, 16384
 OUTPUTS = ("n_tokens", "pll", "pll_mean")
 _PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 
@@ -91,9 +91,10 @@ class Model:
         """The rows of each class of words among the targets: (rows, first word, end of words)."""
         of = np.minimum(y // self.size, self.classes) if self.n else np.zeros(len(y), np.int64)
         of[y >= self.n] = self.classes
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(self.classes + 1))
-        parts = [(order[a:b], k * self.size, min(self.n, (k + 1) * self.size)) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+        small = of.astype(np.uint16)  # short keys are sorted by radix
+        order = np.argsort(small, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=self.classes + 1))])
+        parts = [(order[a:b], k * self.size, min(self.n, (k + 1) * self.size)) for k, (a, b) in enumerate(zip(cuts[:-2].tolist(), cuts[1:-1].tolist())) if b > a]
         return of, parts
 
     def _move(self, name: str, at, grad: np.ndarray, rate: float) -> None:
@@ -106,24 +107,30 @@ class Model:
         x = p["emb"][ctx].reshape(n, -1)
         h = np.tanh(x @ p["w"] + p["b"])
         of, parts = self.by_class(y)
-        e = _softmax(h @ p["u"] + p["c"])
+        z = h @ p["u"]
+        z += p["c"]
+        e = _softmax(z, _bounded(p["u"], p["c"]))
         loss = -np.log(e[np.arange(n), of] + 1e-30).sum()
         e[np.arange(n), of] -= 1
         dh = e @ p["u"].T
         moves = [("u", ..., h.T @ e), ("c", ..., e.sum(axis=0))]
+        tame = _bounded(p["v"].T, p["d"])
         for rows, a, b in parts:
             own = h[rows]
-            s = _softmax(own @ p["v"][a:b].T + p["d"][a:b])
+            s = own @ p["v"][a:b].T
+            s += p["d"][a:b]
+            s = _softmax(s, tame)
             mine = y[rows] - a
             loss -= np.log(s[np.arange(len(rows)), mine] + 1e-30).sum()
             s[np.arange(len(rows)), mine] -= 1
             dh[rows] += s @ p["v"][a:b]
             moves += [("v", slice(a, b), s.T @ own), ("d", slice(a, b), s.sum(axis=0))]
         dh *= 1 - h * h
-        flat, dx = ctx.ravel(), (dh @ p["w"].T).reshape(-1, DIM)
-        order = np.argsort(flat, kind="stable")
-        rows, first = np.unique(flat[order], return_index=True)
-        moves += [("w", ..., x.T @ dh), ("b", ..., dh.sum(axis=0)), ("emb", rows, np.add.reduceat(dx[order], first, axis=0))]
+        # gradients of the embeddings, one dimension at a time over all places: no sorting of the contexts
+        flat, dx = ctx.T.ravel(), (p["w"] @ dh.T).reshape(2 * SIDE, DIM, n)
+        rows = np.flatnonzero(np.bincount(flat, minlength=len(p["emb"])))
+        each = [np.bincount(flat, weights=dx[:, k].ravel(), minlength=len(p["emb"]))[rows] for k in range(DIM)]
+        moves += [("w", ..., x.T @ dh), ("b", ..., dh.sum(axis=0)), ("emb", rows, np.stack(each, axis=1).astype(p["emb"].dtype))]
         for name, at, grad in moves:
             self._move(name, at, grad, rate)
         return float(loss / n)
@@ -137,9 +144,10 @@ class Model:
         """The conditional log-probability of every token of a block."""
         p = self.p
         parts = [p["emb"] @ p["w"][k * DIM : (k + 1) * DIM] for k in range(2 * SIDE)]
+        tame = _bounded(p["u"], p["c"]), _bounded(p["v"].T, p["d"])
         out = np.empty(len(tokens))
-        for lo in range(0, len(tokens), 16384):
-            at = np.arange(lo, min(len(tokens), lo + 16384))
+        for lo in range(0, len(tokens), SCORED):
+            at = np.arange(lo, min(len(tokens), lo + SCORED))
             ctx = self.contexts(tokens, bound, at)
             h = parts[0][ctx[:, 0]] + p["b"]
             for k in range(1, 2 * SIDE):
@@ -149,26 +157,43 @@ class Model:
             h = 2 / (1 + h) - 1
             y = tokens[at]
             of, classes = self.by_class(y)
-            score = _log_softmax_at(h @ p["u"] + p["c"], of).astype(np.float64)
+            z = h @ p["u"]
+            z += p["c"]
+            score = _log_softmax_at(z, of, tame[0]).astype(np.float64)
             for rows, a, b in classes:
-                score[rows] += _log_softmax_at(h[rows] @ p["v"][a:b].T + p["d"][a:b], y[rows] - a)
+                z = h[rows] @ p["v"][a:b].T
+                z += p["d"][a:b]
+                score[rows] += _log_softmax_at(z, y[rows] - a, tame[1])
             rare = np.flatnonzero(of == self.classes)
             score[rare] += self.log_share[y[rare] - self.n]
             out[at] = score
         return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether logits of hidden values in (-1, 1) cannot overflow an exponential: then no maximum need be taken from them."""
+    return bool(len(bias)) and float((np.abs(weights).sum(axis=0) + np.abs(bias)).max()) < 60
+
+
+def _exponentials(z: np.ndarray, bounded: bool) -> np.ndarray:
+    """exp(z) in place, from each row's maximum unless bounded; the sums of the rows."""
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _softmax(z: np.ndarray, bounded: bool = False) -> np.ndarray:
+    total = _exponentials(z, bounded)
+    z *= (1 / total)[:, None]
     return z
 
 
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, bounded: bool = False) -> np.ndarray:
     own = z[np.arange(len(z)), at].copy()
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    if not bounded:
+        own -= z.max(axis=1)
+    return own - np.log(_exponentials(z, bounded))
 
 
 def _words(batch, text_col: str):
@@ -216,9 +241,9 @@ def _changes(batches, start: Model, text_col: str):
         nonlocal ctx, y
         if sum(map(len, y)) >= least:
             c, t = np.concatenate(ctx), np.concatenate(y)
-            whole = len(t) if least == 1 else len(t) // (8 * BATCH) * 8 * BATCH
-            for lo in range(0, whole, 8 * BATCH):
-                model.steps(c[lo : min(whole, lo + 8 * BATCH)], t[lo : min(whole, lo + 8 * BATCH)], BATCH, RATE / 2)
+            whole = len(t) if least == 1 else len(t) // (2 * BATCH) * 2 * BATCH
+            for lo in range(0, whole, 2 * BATCH):
+                model.steps(c[lo : min(whole, lo + 2 * BATCH)], t[lo : min(whole, lo + 2 * BATCH)], BATCH, RATE / 2)
             ctx, y = [c[whole:]], [t[whole:]]
 
     def done():
@@ -240,11 +265,11 @@ def _changes(batches, start: Model, text_col: str):
                 shard, model, n, ctx, y = of[a], start.copy(), 0, [], []
             for _, words in _words(batch.slice(a, b - a), text_col):
                 tokens = model.tokens(words.hash)
-                for lo in range(0, len(tokens), 8 * BATCH):
-                    at = np.arange(lo, min(len(tokens), lo + 8 * BATCH))
+                for lo in range(0, len(tokens), 2 * BATCH):
+                    at = np.arange(lo, min(len(tokens), lo + 2 * BATCH))
                     ctx.append(model.contexts(tokens, words.bound, at))
                     y.append(tokens[at])
-                    learn(8 * BATCH)
+                    learn(2 * BATCH)
                 n += len(tokens)
     if shard is not None:
         yield from done()
