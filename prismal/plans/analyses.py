@@ -378,9 +378,9 @@ def recovered_rows(spark, d):
     return _recovered(spark, d).withColumn("margin", F.round(S.finite_or_null(F.col("margin")), 6))
 
 
-@register("recovery_summary", f"WITH {_RECOVERED}, n AS (SELECT CASE WHEN sim % 3 = 0 THEN NULL ELSE sim % 3 END AS level, model_i, correct, exact, CASE WHEN isinf(margin) OR isnan(margin) THEN NULL ELSE margin END AS margin FROM rec), f AS (SELECT level, model_i, avg(CASE WHEN correct THEN 1.0 ELSE 0 END) AS c, avg(CASE WHEN exact THEN 1.0 ELSE 0 END) AS e, avg(margin) AS m FROM n GROUP BY 1, 2) SELECT level, count(*) AS n, round(avg(c), 6) AS accuracy, round(stddev_samp(c) / sqrt(count(c)), 6) AS accuracy_sem, round(avg(e), 6) AS exact_accuracy, round(avg(m), 6) AS margin FROM f GROUP BY 1")
+@register("recovery_summary", f"WITH {_RECOVERED}, n AS (SELECT CASE WHEN sim % 3 = 0 THEN NULL ELSE CAST(sim % 3 AS VARCHAR) END AS level, model_i, correct, exact, CASE WHEN isinf(margin) OR isnan(margin) THEN NULL ELSE margin END AS margin FROM rec), f AS (SELECT level, model_i, avg(CASE WHEN correct THEN 1.0 ELSE 0 END) AS c, avg(CASE WHEN exact THEN 1.0 ELSE 0 END) AS e, avg(margin) AS m FROM n GROUP BY 1, 2) SELECT level, count(*) AS n, round(avg(c), 6) AS accuracy, round(stddev_samp(c) / sqrt(count(c)), 6) AS accuracy_sem, round(avg(e), 6) AS exact_accuracy, round(avg(m), 6) AS margin FROM f GROUP BY 1")
 def recovery_summary(spark, d):
-    x = _recovered(spark, d).withColumn("margin", S.finite_or_null(F.col("margin"))).withColumn("level", F.when(F.col("sim") % 3 != 0, F.col("sim") % 3))
+    x = _recovered(spark, d).withColumn("margin", S.finite_or_null(F.col("margin"))).withColumn("level", F.when(F.col("sim") % 3 != 0, (F.col("sim") % 3).cast("string")))
     return _rounded(V.recovery_summary(x, ["level", "model_i"], ["level"]), "level")
 
 
