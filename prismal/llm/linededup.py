@@ -108,15 +108,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = repeated_runs(docs, id_col, text_col, min_words).groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
     lines_of = F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["lo"], s["hi"])))))
     gone = spans.select("_id", "_tk", lines_of.alias("removed"))
-    others = [c for c in keep if c != text_col]
-    split = docs.select(*others, F.xxhash64(text_col).alias("_text_key"), F.split(text_col, "\n", -1).alias("_lines"))
     # where a document has more than one row, each gets the same lines
-    joined = split.join(gone, (F.col("_text_key") == F.col("_tk")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    joined = docs.select(*keep, F.xxhash64(text_col).alias("_text_key")).join(gone, (F.col("_text_key") == F.col("_tk")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    joined = joined.withColumn("_lines", F.split(text_col, "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")
     stay = F.transform(left, lambda i: F.element_at("_lines", i + 1))
-    text = F.when(F.col("removed").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(stay, "\n"))
+    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
     return joined.select(
-        *[F.array_join("_lines", "\n").alias(c) if c == text_col else F.col(c) for c in keep],
+        *keep,
         F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
         F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
