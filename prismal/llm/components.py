@@ -16,8 +16,14 @@ def _tasks(links: int) -> int:
     return max(1, -(-links // TASK_LINKS))
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """edges plus m, the least v of u: taken by node and salt first, so that a node of very many links is dealt over SALTS tasks."""
+def _with_least(edges: DataFrame, links: int) -> DataFrame:
+    """edges plus m, the least v of u.
+
+    Where there are more links than a task takes, so that one node may have too many, minima are taken by node and
+    salt first, and the links of a node are dealt over SALTS tasks.
+    """
+    if links <= TASK_LINKS:
+        return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
     salted = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy("u", "_salt").agg(F.min("v").alias("_p"))
     least = parts.groupBy("u").agg(F.min("_p").alias("m"))
@@ -25,15 +31,15 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return salted.join(known, ["u", "_salt"]).drop("_salt")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     """Each node's larger neighbours move to the least of its neighbourhood."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return _with_least(both, 2 * links).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them; links may repeat."""
-    known = _with_least(edges)
+    known = _with_least(edges, links)
     moved = known.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(known.select("u", F.col("m").alias("v")))
 
@@ -46,8 +52,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of a link; the component is its least node.
 
     Links may repeat, run either way or link a node with itself; nulls are dropped. Every step takes
-    minima by node and joins them back to the links, by node and a salt of the other end, so the links of
-    one node lie in up to SALTS tasks; the number of rounds grows with the logarithm of the longest path.
+    minima by node and joins them back to the links; where there are more of them than TASK_LINKS, by node and a
+    salt of the other end, so the links of one node lie in up to SALTS tasks. The number of rounds grows with the
+    logarithm of the longest path.
     """
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     alone = pairs.where("a = b").select(F.col("a").alias("node"))
@@ -55,8 +62,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     before = _state(edges)
     while before[0]:
         n = _tasks(before[0])
-        large = _large_star(edges.coalesce(n)).coalesce(n).distinct().coalesce(n)
-        edges = checkpointed(_small_star(large).coalesce(n).distinct().coalesce(n))
+        large = _large_star(edges.coalesce(n), before[0]).coalesce(n).distinct().coalesce(n)
+        edges = checkpointed(_small_star(large, before[0]).coalesce(n).distinct().coalesce(n))
         after = _state(edges)
         if after == before:
             break

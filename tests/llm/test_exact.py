@@ -155,7 +155,10 @@ def test_near_dedup_keeps_one_of_each_group(docs):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components_of_paths_loops_and_nulls(spark):
+@pytest.mark.parametrize("most", [None, 3])
+def test_components_of_paths_loops_and_nulls(spark, monkeypatch, most):
+    if most:  # as with more links than a task takes
+        monkeypatch.setattr(components, "TASK_LINKS", most)
     links = [(k, k + 1) for k in range(20)] + [(30, 30), (41, 40), (None, 5), (7, None), (40, 41)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {**{k: 0 for k in range(21)}, 30: 30, 40: 40, 41: 40}
