@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontaminate, langid, licenses, linededup, lmscore, neardup, secrets, toxicity
+from . import ann, bpe, chat, decontaminate, fim, langid, licenses, linededup, lmscore, neardup, periodic, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_lm_score": lmscore.op8_lm_score,
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_chat_format": chat.op13_chat_format,
 }
 
 SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
     "op6_near_duplicates": neardup.OP6_SQL,
+    "op12_fill_in_middle": fim.OP12_SQL,
+    "op13_chat_format": chat.OP13_SQL,
 }
