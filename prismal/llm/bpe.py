@@ -8,9 +8,11 @@ joined to the positions; the text is decoded through a table of the vocabulary's
 shuffled are a block's distinct words and its compressed positions, not a row for each word, so
 a word that makes up a third of the corpus costs one row a block.
 
-The tokenizer file is a parameter; its place is not copied into the repository. The documents are
-read twice (for words and for positions) and must come in the same order both times, as from files
-or a checkpoint; a block's key holds a hash of its content, so a block read differently has no
+The tokenizer file is a parameter; its place is not copied into the repository. Its splitting rules are
+read from it, and a file with other kinds of rules than a byte-level BPE without decoder is refused.
+The documents are read twice (for words and for positions) and must come in the same order both times, as
+from files or a checkpoint. A block ends by the number and the size of its rows (with all their columns),
+wherever Arrow batches end; its key holds a hash of its content, so a block read differently has no
 partner and the job fails instead of returning wrong rows.
 
 Defined cases: null text counts as empty; an empty text has no tokens and decodes to ""; literal
@@ -23,22 +25,27 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import _text
 
-#: Bytes of text in a block (a longer document is a block of its own).
-BLOCK_BYTES = 32 << 20
+#: Bytes of text and other columns in a block (a longer row is a block of its own), and its rows at most.
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 1 << 17
 #: Rows that one task encodes before it passes their ids on.
 ENCODE_ROWS = 300_000
 _ZSTD = pa.Codec("zstd", 6)
 OUTPUTS = ("ids", "n_tokens", "decoded", "ids_sha256", "decoded_sha256")
+WEIGHT = "_bytes"
 
+#: The splitting rule and the normalisation for which texts of low code points have a short cut.
+_LATIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN_NORMAL = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
 _LATIN = 0x17F
 _SPACES = "\t\n\v\f\r \x85\xa0"
 
@@ -61,6 +68,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    """The steps of a normaliser or pre-tokenizer as the file states them."""
+    return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+
 class Splitter:
     """Texts to words, as the tokenizer's normaliser and pre-tokenizer do."""
 
@@ -68,20 +80,30 @@ class Splitter:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = {a.content: i for i, a in self.tok.get_added_tokens_decoder().items()}
+        rules = json.loads(self.tok.to_str())
+        cuts, normal = _steps(rules["pre_tokenizer"], "pretokenizers"), _steps(rules["normalizer"], "normalizers")
+        added = rules["added_tokens"]
+        if rules["model"]["type"] != "BPE" or rules["model"]["dropout"] or rules["decoder"] is not None or any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: not a BPE without decoder and with plain added tokens")
+        if not cuts or cuts[-1]["type"] != "ByteLevel" or cuts[-1]["add_prefix_space"]:
+            raise ValueError(f"{path}: words are not written by byte letters without a prefix")
+        split = [(c.get("pattern"), c.get("behavior"), c.get("invert")) for c in cuts[:-1]]
+        known = split == [({"Regex": _LATIN_SPLIT}, "Removed", True)] and not cuts[-1]["use_regex"]
+        self.latin = _latin_pattern() if known and [(n["type"], n.get("pattern"), n.get("content")) for n in normal] == _LATIN_NORMAL else None
+        self.special = {a["content"]: a["id"] for a in added}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.latin = _latin_pattern()
+        self.special_start = os.path.commonprefix(list(self.special))
         self.byte_of = {c: b for b, c in byte_letters().items()}
 
     def _part(self, text: str, plain: bool) -> list[str]:
-        if plain:
+        if plain and self.latin is not None:
             return self.latin.findall(text.lower())
-        text = self.tok.normalizer.normalize_str(text)
+        text = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
         return [bytes(self.byte_of[c] for c in w).decode() for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
     def words(self, text: str, plain: bool) -> list[str]:
         """plain: the text has no character over U+017F."""
-        if self.special_split is None or "<|" not in text:
+        if self.special_split is None or self.special_start not in text:
             return self._part(text, plain)
         out = []
         for part in self.special_split.split(text):
@@ -116,30 +138,52 @@ def _plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(batches, path: str, text_col: str):
-    """Blocks of whole documents that follow one another: (rows, positions by document, distinct words, key)."""
-    cut = splitter(path)
-    rows, docs, vocab, seal, size = [], [], {}, hashlib.blake2b(digest_size=8), 0
+class _Open:
+    """A block that rows are still added to."""
+
+    def __init__(self):
+        self.rows, self.docs, self.vocab, self.size = [], [], {}, 0
+        self.data, self.lengths = hashlib.blake2b(digest_size=8), hashlib.blake2b(digest_size=8)
+
+    def add(self, part, data, offsets, weights, text_col: str, cut: Splitter) -> None:
+        put, vocab = self.vocab.setdefault, self.vocab
+        for text, p in zip(part.column(text_col).to_pylist(), _plain(data, offsets).tolist()):
+            self.docs.append(np.array([put(w, len(vocab)) for w in cut.words(text or "", p)], dtype=np.int32))
+        self.rows.append(part)
+        self.data.update(data)
+        self.lengths.update(np.diff(offsets))
+        self.size += int(weights.sum())
+
+    def done(self):
+        return self.rows, self.docs, list(self.vocab), int.from_bytes(self.data.digest(), "little") ^ int.from_bytes(self.lengths.digest(), "big")
 
-    def done():
-        words = list(vocab)
-        return rows, docs, words, int.from_bytes(seal.digest(), "little", signed=True)
 
+def _blocks(batches, path: str, text_col: str, limits: tuple[int, int]):
+    """Blocks of whole documents that follow one another: (rows, positions by document, distinct words, key).
+
+    Where a block ends depends on the rows from its first one on, not on the batches they come in.
+    """
+    cut, now = splitter(path), _Open()
+    most, most_rows = limits
     for batch in batches:
         for part, data, offsets in _text.blocks(batch, text_col):
-            if size and size + len(data) > BLOCK_BYTES:
-                yield done()
-                rows, docs, vocab, seal, size = [], [], {}, hashlib.blake2b(digest_size=8), 0
-            plain = _plain(data, offsets)
-            put = vocab.setdefault
-            for text, p in zip(part.column(text_col).to_pylist(), plain.tolist()):
-                docs.append(np.array([put(w, len(vocab)) for w in cut.words(text or "", p)], dtype=np.int32))
-            rows.append(part)
-            seal.update(data)
-            seal.update(offsets)
-            size += len(data)
-    if rows:
-        yield done()
+            weights = part.column(WEIGHT).to_numpy().astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(weights)])
+            at = 0
+            while at < len(part):
+                room = int(np.searchsorted(total, total[at] + most - now.size, "right")) - 1
+                to = min(len(part), room, at + most_rows - len(now.docs))
+                if to <= at and not now.docs:
+                    to = at + 1
+                if to > at:
+                    own = offsets[at : to + 1]
+                    now.add(part.slice(at, to - at), data[own[0] : own[-1]], own - own[0], weights[at:to], text_col, cut)
+                    at = to
+                if at < len(part):
+                    yield now.done()
+                    now = _Open()
+    if now.docs:
+        yield now.done()
 
 
 def _key(seal: int, partition: int, k: int) -> int:
@@ -170,9 +214,9 @@ def _ranks(words: list[str]) -> np.ndarray:
     return rank
 
 
-def _block_words(batches, path, text_col):
+def _block_words(batches, path, text_col, limits):
     """The distinct words of each block with their places in sorted order."""
-    for k, (_, _, words, seal) in enumerate(_blocks(batches, path, text_col)):
+    for k, (_, _, words, seal) in enumerate(_blocks(batches, path, text_col, limits)):
         words.sort()
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
@@ -182,12 +226,12 @@ def _block_words(batches, path, text_col):
             )
 
 
-def _block_positions(batches, path, text_col, keep):
+def _block_positions(batches, path, text_col, keep, limits):
     """One row a block: its other columns as an Arrow stream and its words' positions, both compressed.
 
     A position is a word's place by falling frequency; `places` leads from there to the sorted order.
     """
-    for k, (rows, docs, words, seal) in enumerate(_blocks(batches, path, text_col)):
+    for k, (rows, docs, words, seal) in enumerate(_blocks(batches, path, text_col, limits)):
         table = pa.Table.from_batches([r.select(keep) for r in rows])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -293,19 +337,29 @@ def _outputs(digests: bool) -> list[str]:
     return ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "n_tokens", "decoded"]
 
 
-def tokenize(docs: DataFrame, path: str, text_col: str = "text", digests: bool = False, keep_text: bool = True) -> DataFrame:
+def _weight(docs: DataFrame, columns: list[str]) -> Column:
+    """About how many bytes a row of these columns takes; the same whatever other columns are read with it."""
+    fixed = (T.NumericType, T.BooleanType, T.DatetimeType)
+    sized = [F.coalesce(F.octet_length(F.col(c) if isinstance(docs.schema[c].dataType, (T.StringType, T.BinaryType)) else F.col(c).cast("string")), F.lit(0)).cast("long") for c in columns if not isinstance(docs.schema[c].dataType, fixed)]
+    return functools.reduce(lambda a, b: a + b, sized, F.lit(8 * len(columns)).cast("long"))
+
+
+def tokenize(
+    docs: DataFrame, path: str, text_col: str = "text", digests: bool = False, keep_text: bool = True, limits: tuple[int, int] = (BLOCK_BYTES, BLOCK_ROWS)
+) -> DataFrame:
     """docs with ids, n_tokens and decoded, or with SHA-256 digests of both instead of the arrays and texts.
 
     The digests are of the ids in decimal, joined by one space, and of the decoded text in UTF-8.
     keep_text=False leaves the text column out, which then need not travel with the positions.
     """
-    keep = [c for c in docs.columns if c not in OUTPUTS and (keep_text or c != text_col)]
+    keep = [c for c in docs.columns if c not in (*OUTPUTS, WEIGHT) and (keep_text or c != text_col)]
     kinds = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType()}
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, kinds.get(n, T.StringType())) for n in _outputs(digests)])
     pieces = docs.sparkSession.sparkContext.broadcast(pieces_of(path))  # as large as the vocabulary
-    words = docs.select(text_col).mapInArrow(lambda b: _block_words(b, path, text_col), "word string, block long, at int")
-    positions = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(
-        lambda b: _block_positions(b, path, text_col, keep), "block long, sizes array<long>, rows binary, lengths binary, places binary, positions binary"
+    weighed = docs.withColumn(WEIGHT, _weight(docs, list(dict.fromkeys([*keep, text_col]))))
+    words = weighed.select(text_col, WEIGHT).mapInArrow(lambda b: _block_words(b, path, text_col, limits), "word string, block long, at int")
+    positions = weighed.select(*dict.fromkeys([*keep, text_col, WEIGHT])).mapInArrow(
+        lambda b: _block_positions(b, path, text_col, keep, limits), "block long, sizes array<long>, rows binary, lengths binary, places binary, positions binary"
     )
     encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(lambda b: _encode(b, path), "block long, counts array<long>, steps binary, lens binary, ids binary")
 

@@ -292,11 +292,52 @@ def test_bpe_equals_the_library_and_decodes_back(docs):
     assert bpe.tokenize(df.limit(0), bpe.default_path()).count() == 0
 
 
-def test_bpe_over_many_blocks(docs, monkeypatch, spark):
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 200)
-    texts = [f"word{k % 7} common {'x' * (k % 50)}" for k in range(200)]
-    small = bpe.tokenize(docs(texts), bpe.default_path(), digests=True).orderBy("doc_id").collect()
-    monkeypatch.undo()
-    whole = bpe.tokenize(docs(texts).coalesce(1), bpe.default_path(), digests=True).orderBy("doc_id").collect()
-    assert [tuple(r) for r in small] == [tuple(r) for r in whole]
-    assert small[0]["ids_sha256"] == hashlib.sha256(" ".join(map(str, bpe.tokenize(docs(texts[:1]), bpe.default_path()).first()["ids"])).encode()).hexdigest()
+def test_bpe_over_many_blocks(docs):
+    texts = [f"Line {k} of many, it's {k * 7} words <|endoftext|> é {'x' * (k % 5)}" for k in range(300)] + ODD
+    want = bpe.tokenize(docs(texts).coalesce(1), bpe.default_path(), digests=True).orderBy("doc_id").collect()
+    for limits in ((200, 1000), (1 << 20, 7), (1, 1)):
+        assert bpe.tokenize(docs(texts).coalesce(2), bpe.default_path(), digests=True, limits=limits).orderBy("doc_id").collect() == want
+    assert want[0]["ids_sha256"] == hashlib.sha256(" ".join(map(str, bpe.tokenize(docs(texts[:1]), bpe.default_path()).first()["ids"])).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("rows, text_bytes, wide", [(14_000, 10_000, 0), (6_000, 1_700, 60_000)])
+@pytest.mark.parametrize("batch_bytes", [None, 1 << 20])
+def test_bpe_blocks_do_not_follow_arrow_batches(spark, rows, text_bytes, wide, batch_bytes):
+    from tokenizers import Tokenizer
+
+    tok, key = Tokenizer.from_file(bpe.default_path()), "spark.sql.execution.arrow.maxBytesPerBatch"
+    line = lambda k: f"row {k % 50} says word{k % 7} "
+    number = F.col("id") % 350
+    text = F.concat(F.lit("row "), number % 50, F.lit(" says word"), number % 7, F.lit(" "))
+    df = spark.range(rows).select(F.col("id").alias("doc_id"), F.repeat(text, text_bytes // 18).alias("text"), F.repeat(F.lit("w"), wide).alias("wide"))
+    default = spark.conf.get(key)
+    try:
+        if batch_bytes:
+            spark.conf.set(key, str(batch_bytes))
+        got = bpe.tokenize(df.coalesce(1), bpe.default_path(), digests=True, keep_text=False)
+        found = got.groupBy((F.col("doc_id") % 350).alias("k"), "n_tokens", "ids_sha256", F.length("wide").alias("wide")).count().collect()
+    finally:
+        spark.conf.set(key, default)
+    assert sum(r["count"] for r in found) == rows and len(found) == 350 and {r["wide"] for r in found} == {wide}
+    for r in found[:20]:
+        ids = tok.encode(line(r["k"]) * (text_bytes // 18), add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_bpe_refuses_files_with_other_rules(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    rules = json.loads(open(bpe.default_path()).read())
+    for change in ({"decoder": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(rules | change))
+        with pytest.raises(ValueError):
+            bpe.Splitter(str(path))
+    with pytest.raises(ValueError):
+        bpe.Splitter(public_tokenizers.path("byte_bpe_50k.json"))
+    rules["normalizer"] = None  # other rules of a kind that is known: no short cut, still the library's words
+    path.write_text(json.dumps(rules))
+    other = bpe.Splitter(str(path))
+    assert other.latin is None and [i for w in other.words("It's 12 Go", True) for i in other.encode(w)] == other.tok.encode("It's 12 Go", add_special_tokens=False).ids
