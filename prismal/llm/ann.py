@@ -1,11 +1,14 @@
 """Approximate nearest neighbours: score-aware anisotropic quantisation, four-bit table scans, exact reranking.
 
-The least Euclidean distance is the largest q.x - |x|^2 / 2, with both centred on a sample's mean. The
+The least Euclidean distance is the largest q.x - |x|^2 / 2, with both centred on a sample's medians and scaled by
+a power of two to about unit length, so that neither large nor small vectors leave the range of the tables. The
 norm is kept exactly; x is quantised in subspaces of two dimensions with 16 centroids each (four bits).
 Codebooks and codes minimise a loss that weighs the residual parallel to x by `eta` times its
 orthogonal part, since that part changes the inner products of near queries most: codes by coordinate
 descent over the subspaces, centroids by the normal equations of the weighted loss. They are fitted on
-a bounded sample (`SAMPLE` vectors, drawn by a hash); every row is encoded and scanned.
+a bounded sample (`SAMPLE` vectors, drawn by a hash, long ones shortened); every row is encoded and scanned. Rows
+too far out for the tables (`FAR`) are bounded by the product of the lengths instead, and queries too far out
+(`WILD`) are compared with every row.
 
 A scan reads a block's 4-bit codes through tables of a query's partial scores. The length of each row's
 residual is kept beside its code: it bounds what the code may be off by, `SPREAD` standard deviations of
@@ -13,8 +16,8 @@ a product with a residual of that length. Candidates are reranked by exact dista
 the order of score plus that bound, until it falls below the k-th nearest so far; so the depth follows from
 the data, and where very many vectors lie close together the reranking goes on through them.
 
-The queries go to every task while they number `BROADCAST_ROWS` at most; beyond that, blocks of queries
-meet blocks of candidates in a shuffle, in as many groups as the candidates' number asks for. The k
+The queries go to every task while their vectors take `BROADCAST_BYTES` at most; beyond that, groups of queries
+meet groups of candidates in a cogrouped shuffle, and one task holds one group of either (`GROUP_BYTES`, an eighth for queries). The k
 of each block go through a partial top-k in every task and a last one by query.
 
 Equal vectors lie at equal distance, so only the k + 1 smallest ids of each distinct vector are
@@ -37,15 +40,31 @@ K, EVERY, STEP = 10, 100, 128
 SPREAD = 3.0
 SAMPLE, ROUNDS, THRESHOLD = 4096, 6, 0.2
 BLOCK, QUERIES = 8192, 256
-#: Queries that are sent to every task, and candidates of one group where they are more.
-BROADCAST_ROWS, GROUP_ROWS = 32_768, 1 << 18
+#: Bytes of query vectors that are sent to every task, and of the vectors in one group where they are more.
+BROADCAST_BYTES, GROUP_BYTES = 16 << 20, 64 << 20
+#: Scaled lengths from which a row is not coded and a query is compared with every row; lengths in a sample that longer ones are cut to.
+FAR, WILD, LONGEST = 2.0**20, 2.0**40, 8.0
+#: The bound of a row whose square is out of range; rows ruled out have minus infinity.
+_LAST = -1e300
+
+
+def lengths_of(x: np.ndarray) -> np.ndarray:
+    """The length of each row, whatever its range: as the plain formula where that stays in range."""
+    with np.errstate(invalid="ignore"):
+        e = np.frexp(np.abs(x).max(axis=1, initial=0.0))[1]
+        own = np.ldexp(x, -e[:, None])
+        return np.ldexp(np.sqrt((own**2).sum(axis=1)), e)
 
 
 class Codebooks:
-    """Centroids of all subspaces, (subspaces, 16, 2), the weight of the parallel residual and the mean that vectors are centred on."""
+    """Centroids of all subspaces, (subspaces, 16, 2), the weight of the parallel residual, and where vectors are placed: centre and scale."""
+
+    def __init__(self, dim: int, centroids: np.ndarray, eta: float, centre: np.ndarray | float = 0.0, exponent: int = 0):
+        self.dim, self.centroids, self.eta, self.centre, self.exponent = dim, centroids, eta, centre, exponent
 
-    def __init__(self, dim: int, centroids: np.ndarray, eta: float, mean: np.ndarray | float = 0.0):
-        self.dim, self.centroids, self.eta, self.mean = dim, centroids, eta, mean
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.ldexp(x - self.centre, -self.exponent)
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, x.shape[1] % 2))) if x.shape[1] % 2 else x
@@ -111,12 +130,16 @@ def parallel_weight(dim: int, threshold: float) -> float:
 
 
 def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = ROUNDS, seed: int = 3) -> Codebooks:
-    """Codebooks of a sample of vectors, centred on its mean."""
-    mean = x.mean(axis=0)
-    x = x - mean
-    rng = np.random.default_rng(seed)
+    """Codebooks of a sample of vectors, centred on its medians and scaled by its median length."""
     dim = x.shape[1]
-    books = Codebooks(dim, np.zeros((0, 16, 2), np.float32), parallel_weight(dim, threshold), mean)
+    books = Codebooks(dim, np.zeros((0, 16, 2), np.float32), parallel_weight(dim, threshold), np.median(x, axis=0))
+    length = lengths_of(books.placed(x))
+    some = length[(length > 0) & np.isfinite(length)]
+    books.exponent = int(np.frexp(np.median(some))[1]) if len(some) else 0
+    x = books.placed(x)[np.isfinite(length)]
+    x = x if len(x) else np.zeros((1, dim))
+    x = x * np.minimum(1.0, LONGEST / np.maximum(lengths_of(x), 1e-30))[:, None]
+    rng = np.random.default_rng(seed)
     x = books.padded(x.astype(np.float32))
     m = x.shape[1] // 2
     part = x.reshape(len(x), m, 2)
@@ -157,27 +180,50 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class Block:
-    """Candidates: ids, vectors, half squared norms and residual lengths of the centred vectors, packed codes."""
+    """Candidates: ids, vectors, and of the placed vectors lengths, half squares, residual lengths and packed codes."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, books: Codebooks):
         self.ids, self.x, self.books = ids, x, books
-        own = x - books.mean
+        own = books.placed(x)
+        self.norms = lengths_of(own)
+        self.far = np.flatnonzero(~(self.norms < FAR))
+        own[self.far] = 0
         codes = np.concatenate([books.codes(own[at : at + 1024]) for at in range(0, len(own), 1024)])
-        self.norms = ((own * own).sum(axis=1) / 2).astype(np.float32)
-        self.lengths = books.lengths(own, codes)
+        self.halves = (own * own).sum(axis=1) / 2
+        self.lengths = books.lengths(own, codes).astype(np.float64)
         self.codes = pack(codes)
 
+    def distances(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Exact distances of rows to v, in the scale of the placed vectors."""
+        with np.errstate(over="ignore"):
+            return lengths_of(np.ldexp(self.x[at] - v, -self.books.exponent))
+
+    def bounds(self, own: np.ndarray, wide: float, table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The largest q.x - |x|^2 / 2 that each row may have."""
+        score = np.zeros(len(self.ids), np.float32)
+        for part, code in zip(table, codes):
+            score += part[code]
+        most = score + wide * self.lengths - self.halves
+        if len(self.far):
+            with np.errstate(over="ignore", invalid="ignore"):
+                n = self.norms[self.far]
+                out = np.linalg.norm(own) * n - n * n / 2
+            most[self.far] = np.where(np.isfinite(out), out, _LAST)
+        return most
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(query ids, row ids, distances) of the k nearest found for each query, ties to smaller ids, and the number of distances computed."""
-        centred = queries - self.books.mean
-        spread = (SPREAD / np.sqrt(self.x.shape[1]) * np.linalg.norm(centred, axis=1)).astype(np.float32)
+        placed = self.books.placed(queries)
+        wild = ~(lengths_of(placed) < WILD)
+        placed[wild] = 0
+        spread = SPREAD / np.sqrt(self.x.shape[1]) * np.linalg.norm(placed, axis=1)
         codes, out, read = self.codes.astype(np.int64), [], 0
-        for q, v, own, wide, table in zip(query_ids.tolist(), queries, centred, spread, self.books.tables(centred)):
-            most = wide * self.lengths - self.norms
-            for part, code in zip(table, codes):
-                most += part[code]
+        for q, v, own, all_, wide, table in zip(query_ids.tolist(), queries, placed, wild.tolist(), spread.tolist(), self.books.tables(placed)):
+            most = np.zeros(len(self.ids)) if all_ else self.bounds(own, wide, table, codes)
             most[self.ids == q] = -np.inf
-            best, near, n = rerank(most, float(own @ own), lambda at: np.sqrt(((self.x[at] - v) ** 2).sum(axis=1)), self.ids, k, step)
+            best, near, n = rerank(most, None if all_ else float(own @ own), lambda at: self.distances(at, v), self.ids, k, step)
+            with np.errstate(over="ignore"):
+                near = np.ldexp(near, self.books.exponent)
             out.append((np.full(len(best), q), self.ids[best], near))
             read += n
         return *map(np.concatenate, zip(*out)), read
@@ -199,11 +245,11 @@ def _stacked(batches, size: int):
         yield np.concatenate(ids), np.concatenate(rows)
 
 
-def rerank(most: np.ndarray, square: float, distances, ids: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, int]:
+def rerank(most: np.ndarray, square: float | None, distances, ids: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, int]:
     """The k nearest (rows, distances), ties to smaller ids, and how many distances were computed.
 
     most is the largest q.x - |x|^2 / 2 that each row may have; rows are read in its falling order, until
-    it falls below that of the k-th nearest so far. square is |q|^2.
+    it falls below that of the k-th nearest so far. square is |q|^2; without it all rows are read.
     """
     best, near, at, n = np.zeros(0, np.int64), np.zeros(0), 0, len(most)
     order = np.zeros(0, np.int64)
@@ -214,7 +260,7 @@ def rerank(most: np.ndarray, square: float, distances, ids: np.ndarray, k: int,
             order = order[np.argsort(-most[order], kind="stable")]
         part = order[at : min(at + step, len(order))]
         part = part[most[part] > -np.inf]
-        if len(best) == k:
+        if len(best) == k and square is not None:
             reach = (square - near[-1] ** 2) / 2
             part = part[most[part] >= reach - 1e-5 * (abs(reach) + square)]
         if not len(part):
@@ -225,8 +271,11 @@ def rerank(most: np.ndarray, square: float, distances, ids: np.ndarray, k: int,
     return best, near, at
 
 
-def _found(query_ids, row_ids, distances):
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (query_ids, row_ids, distances)], ["query_id", "vec_id", "score"])
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _found(query_ids, row_ids, distances) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((query_ids, row_ids, distances), _FOUND)], schema=_FOUND)
 
 
 def _scan_all(batches, books: Codebooks, queries: list[tuple[np.ndarray, np.ndarray]], k: int):
@@ -247,19 +296,29 @@ def _unpacked(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(vectors, np.float64).reshape(len(ids), -1)
 
 
-def _scan_pairs(batches, books: Codebooks, k: int):
-    """Pairs of blocks: those of one block of candidates follow one another, so that it is encoded once."""
-    last, block = None, None
-    for batch in batches:
-        for i in range(len(batch)):
-            raw = batch.column("ids")[i].as_py()
-            if raw != last:
-                last, block = raw, Block(*_unpacked(raw, batch.column("vectors")[i].as_py()), books)
-            query_ids, queries = _unpacked(batch.column("query_ids")[i].as_py(), batch.column("queries")[i].as_py())
-            yield _found(*block.search(query_ids, queries, k)[:3])
+def _rows(blocks: pa.Table):
+    for i in range(blocks.num_rows):
+        yield _unpacked(blocks.column("ids")[i].as_py(), blocks.column("vectors")[i].as_py())
 
 
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _scan_group(candidates: pa.Table, queries: pa.Table, books: Codebooks, k: int) -> pa.Table:
+    """One group of candidates against one group of queries, block by block; the k best of each query leave."""
+    found = [_found([], [], [])]
+    for ids, x in _rows(candidates):
+        block = Block(ids, x, books)
+        found += [_found(*block.search(query_ids, vectors, k)[:3]) for query_ids, vectors in _rows(queries)]
+    q, v, d = (np.concatenate([b.column(i).to_numpy() for b in found]) for i in range(3))
+    order = np.lexsort((v, d, q))
+    q, v, d = q[order], v[order], d[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return pa.Table.from_batches([_found(q[place < k], v[place < k], d[place < k])])
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding",
+    broadcast_bytes: int = BROADCAST_BYTES, group_bytes: int = GROUP_BYTES,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, by default the rows whose id is divisible by EVERY.
 
     queries has the columns of vectors; a row with the query's id is not a candidate for it.
@@ -268,23 +327,31 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id
     rows = usable(vectors, id_col, vec_col)
     asked = rows.where(F.col("vec_id") % EVERY == 0) if queries is None else usable(queries, id_col, vec_col)
     n = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 30)) < min(1.0, SAMPLE / max(n, 1)) * float(1 << 30)).limit(2 * SAMPLE).select("v").collect()
-    sample = sample or rows.limit(16).select("v").collect()
+    draw = F.xxhash64("vec_id", "v", F.lit("ann"))
+    drawn = rows.where(F.pmod(draw, F.lit(1 << 30)) < min(1.0, 2 * SAMPLE / max(n, 1)) * float(1 << 30))
+    sample = drawn.orderBy(draw, "vec_id").limit(SAMPLE).select("v").collect() or rows.orderBy(draw, "vec_id").limit(16).select("v").collect()
     books = context.broadcast(fit(np.array([r["v"] for r in sample])) if sample else None)
+    wide = 8 * len(sample[0]["v"]) if sample else 8  # bytes of a vector
 
     copies = Window.partitionBy(F.xxhash64("v"), F.hash("v")).orderBy("vec_id")
     few = rows.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k + 1).select("vec_id", "v")
     found_kind = "query_id long, vec_id long, score double"
     packed = asked.mapInArrow(lambda b: _packed(b, QUERIES), "ids binary, vectors binary")
-    if asked.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    n_asked = asked.count()
+    if n_asked * wide <= broadcast_bytes:
         sent = context.broadcast([_unpacked(bytes(r["ids"]), bytes(r["vectors"])) for r in packed.collect()])
         found = few.mapInArrow(lambda b: _scan_all(b, books.value, sent.value, k), found_kind)
     else:
-        groups = -(-n // GROUP_ROWS)
-        blocks = few.mapInArrow(lambda b: _packed(b, BLOCK), "ids binary, vectors binary").withColumn("g", F.pmod(F.xxhash64(F.substring("ids", 1, 64)), F.lit(groups)))
-        asks = packed.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("g"))
-        pairs = blocks.join(asks, "g").drop("g").sortWithinPartitions(F.xxhash64("ids"))
-        found = pairs.mapInArrow(lambda b: _scan_pairs(b, books.value, k), found_kind)
+        blocks = few.mapInArrow(lambda b: _packed(b, BLOCK), "ids binary, vectors binary")
+        groups = {"g": -(-n * wide // group_bytes), "h": -(-8 * n_asked * wide // group_bytes)}
+
+        def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+            """Each block in one group of its own side, and once for each group of the other."""
+            each = F.explode(F.sequence(F.lit(0).cast("int"), F.lit(groups[other] - 1).cast("int")))
+            return df.select("ids", "vectors", F.pmod(F.hash("ids"), F.lit(groups[own])).alias(own), each.alias(other))
+
+        sides = [dealt(blocks, "g", "h").groupBy("g", "h"), dealt(packed, "h", "g").groupBy("g", "h")]
+        found = sides[0].cogroup(sides[1]).applyInArrow(lambda a, b: _scan_group(a, b, books.value, k), found_kind)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -138,7 +139,7 @@ def test_nearest_recall_against_brute_force(spark, copies):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2100, [0.0] * 9), (2200, [float("nan")] * 9), (2300, [1.0, None] + [0.0] * 7), (2400, [1.0]), (None, x[0].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).repartition(6)
     got = ann.nearest(df).orderBy("query_id", "rank").toPandas()
-    assert got.equals(ann.nearest(df, broadcast_rows=0).orderBy("query_id", "rank").toPandas())
+    assert got.equals(ann.nearest(df, broadcast_bytes=0, group_bytes=1 << 16).orderBy("query_id", "rank").toPandas())
     hit = total = 0
     for q in range(0, 1500, 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
@@ -153,6 +154,28 @@ def test_nearest_recall_against_brute_force(spark, copies):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale, outliers", [(1.0, []), (1e-20, []), (1e20, []), (1e-300, []), (1e200, []), (1.0, [1e20]), (1.0, [1e20, 1e160, 1e300, -1e300, 1e7]), (1e-3, [1e30] * 30)])
+@pytest.mark.parametrize("sent", [ann.BROADCAST_BYTES, 0])
+def test_all_finite_vectors_find_their_nearest(spark, scale, outliers, sent):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 12)) * scale
+    for k, size in enumerate(outliers):  # queries among them
+        x[100 * k // 2] *= size
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, broadcast_bytes=sent, group_bytes=1 << 16).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 1500, 100))
+    hit = 0
+    for q, found in got.items():
+        d = np.array([math.dist(v, x[q]) for v in x])
+        d[q] = np.inf
+        want = np.lexsort((np.arange(len(d)), d))[:10]
+        hit += sum(s <= d[want[-1]] * (1 + 1e-12) for _, s in found)
+        assert len(found) == 10 and all(s == pytest.approx(d[i], rel=1e-12) for i, s in found)
+    assert hit >= 0.95 * 10 * len(got)
+
+
 @pytest.mark.parametrize("kind", ["plain", "unit", "offset", "heavy", "clusters"])
 def test_recall_and_reranked_share_of_one_large_block(kind):
     """20,000 rows in one block, of which the codes let few be reranked: recall of 0.9 at least on any shape of data."""
