@@ -7,9 +7,8 @@ logit. A document's score is the calibrated logistic of its largest window logit
 every `STRIDE` words and cover the whole text.
 
 The network is trained in numpy on a bounded sample of labelled documents (`PER_CLASS` toxic
-and twice as many others, spread over all by a hash; `DRAWN` windows drawn over the whole of
-each). A label holds for a document, so each training step follows only the window with the
-largest logit. A fifth of the sample is held back to fit the calibration.
+and twice as many others, spread over all by a hash; all windows of each). A label holds for a
+document, so each training step follows only one window: that with the largest logit of `LOOK` drawn ones. A fifth of the sample is held back to fit the calibration.
 
 Defined cases: null, empty and wordless texts score the sample's calibrated score of an empty
 window; without labels of both classes all score the share of toxic labels (0 without any);
@@ -28,7 +27,7 @@ from .langid import held_out
 
 WINDOW, STRIDE = 64, 48
 HIDDEN, ATTENTION, DIM, BITS = 16, 8, 12, 15
-PER_CLASS, DRAWN = 1000, 8
+PER_CLASS, LOOK = 1000, 4
 EPOCHS, BATCH, RATE = 5, 48, 0.01
 CUT = 0.7
 OUTPUTS = ("score", "predicted", "n_windows")
@@ -259,7 +258,7 @@ def train(rows: list[tuple[int, list[str]]], seed: int = 11) -> Network:
     for epoch in range(EPOCHS):
         for _ in range(max(60, -(-len(used) // BATCH))):
             pick = np.concatenate([rng.choice(toxic, BATCH // 2), rng.choice(clean, BATCH // 2)])
-            windows = np.array([first[i] + rng.integers(0, first[i + 1] - first[i], 4) for i in pick])
+            windows = np.array([first[i] + rng.integers(0, first[i + 1] - first[i], LOOK) for i in pick])
             if epoch:  # the label need hold in one window only
                 shown = idx[windows.ravel()]
                 use, inverse = np.unique(shown, return_inverse=True)
@@ -293,18 +292,15 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return scale, shift
 
 
-def _draw(batches):
-    """Up to DRAWN windows drawn over each whole text."""
+def _windows(batches):
+    """All windows of each whole text."""
     for batch in batches:
         for rows, data, offsets in _text.blocks(batch, "text"):
             words = _text.Words(data, offsets, _text.ALNUM)
             lower, out = _text.LOWER[data], []
             for a, b in zip(words.bound[:-1].tolist(), words.bound[1:].tolist()):
-                starts = window_starts(b - a)
-                if len(starts) > DRAWN:
-                    rng = np.random.default_rng([b - a, int(words.hash[a] & np.uint64(0xFFFFFFFF))])
-                    starts = [starts[k] for k in sorted(rng.choice(len(starts), DRAWN, replace=False))]
-                out.append([" ".join(lower[words.start[i] : words.end[i]].tobytes().decode() for i in range(a + s, min(b, a + s + WINDOW))) for s in starts])
+                own = [lower[x:y].tobytes().decode() for x, y in zip(words.start[a:b].tolist(), words.end[a:b].tolist())]
+                out.append([" ".join(own[s : s + WINDOW]) for s in window_starts(b - a)])
             yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(out, pa.list_(pa.string()))], ["label", "windows"])
 
 
@@ -316,9 +312,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / counts.get(1, 1)))).otherwise(F.lit(min(1.0, 2 * per_class / counts.get(0, 1))))
-    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) < share * float(1 << 30)).limit(6 * per_class)
+    draw = F.xxhash64("id", F.lit("toxicity"))
+    chosen = rows.where(F.pmod(draw, F.lit(1 << 30)) < share * float(1 << 30)).orderBy(draw, "id", "label").limit(6 * per_class)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id")
-    sample = texts.select("text", "label").mapInArrow(_draw, "label int, windows array<string>").limit(6 * per_class).collect()
+    sample = texts.select("text", "label").mapInArrow(_windows, "label int, windows array<string>").collect()
     net = train(sorted((r["label"], list(r["windows"])) for r in sample))
     if net.prior is not None:
         net.prior = counts.get(1, 0) / max(1, sum(counts.values()))
