@@ -119,3 +119,8 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power("up", n), dtype=np.uint64)])
     h = (total[width:] - total[:-width]) * _power("down", n)[: n - width + 1]
     return mix(h + np.uint64(width * 0xA0761D6478BD642F % (1 << 64)))
+
+
+def hashable(df) -> list[str]:
+    """The columns of a DataFrame that Spark's hashes take: those without a map or a variant in them."""
+    return [f.name for f in df.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]

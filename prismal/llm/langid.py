@@ -3,9 +3,9 @@
 A text is the average of the embeddings of its byte 3- and 4-grams (within words, with the space
 at a word's border, letters lower-cased), hashed to 2**BITS rows; a linear layer and a softmax
 over the languages follow. Both are trained by mini-batch stochastic gradient descent in numpy on a
-bounded sample of labelled documents (`PER_LANGUAGE` for each of the `LANGUAGES` commonest labels, spread
-over all documents by a hash of their columns; each text whole). A fifth of the sample is held back to
-calibrate:
+bounded sample of labelled documents (`PER_LANGUAGE` different texts for each label, or fewer where there are so many
+labels that `MOST` would be exceeded, but at least `FEWEST`; drawn by a hash of the text alone, each text whole).
+A fifth of the sample is held back to calibrate:
 
 * a temperature, fitted to smoothed targets (as many right and one wrong), so that it stays finite;
 * the probability below which a text is rejected: `REJECT_SHARE` of the held-back documents do not reach it;
@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import _text
 
 BITS, DIM = 18, 16
-#: Bounds of the training sample: documents a language, and languages (the commonest labels).
-PER_LANGUAGE, LANGUAGES = 500, 256
+#: Bounds of the training sample: texts a language, texts of all languages together, and texts a language whatever their number.
+PER_LANGUAGE, MOST, FEWEST = 500, 100_000, 8
 #: N-grams at the usual share that a text's own are added to, before its share is compared.
 PRIOR = 12
 EPOCHS, BATCH, RATE = 4, 32, 0.5
@@ -196,13 +196,15 @@ def _sample(batches, text_col: str):
             yield pa.RecordBatch.from_arrays([rows.column("lang"), pa.array([len(x[0]) for x in out], pa.int32()), *cells], ["lang", "n", "grams", "counts"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """A model from a sample of at most about `per_language` labelled documents for each of the commonest `LANGUAGES` labels."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(*labelled.columns).alias("_draw"))
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("_share"), F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES)
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod("_draw", F.lit(1 << 30)) < F.col("_share") * float(1 << 30)).select("lang", "text")
-    sample = chosen.mapInArrow(lambda b: _sample(b, "text"), "lang string, n int, grams binary, counts binary").limit(2 * per_language * LANGUAGES).collect()
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most: int = MOST) -> Model:
+    """A model from a sample of about `per_language` different labelled texts for each label, `most` in all."""
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("_draw")).where("text IS NOT NULL AND lang IS NOT NULL")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_draw").alias("_n")).toArrow()  # a row a label
+    each = max(FEWEST, min(per_language, most // max(1, len(counts))))
+    shares = counts.select(["lang"]).append_column("_below", pa.array([int(min(1.0, each / max(n, 1)) * (1 << 30)) for n in counts.column("_n").to_pylist()], pa.int64()))
+    chosen = rows.join(F.broadcast(rows.sparkSession.createDataFrame(shares, "lang string, _below long")), "lang").where(F.pmod("_draw", F.lit(1 << 30)) < F.col("_below"))
+    chosen = chosen.dropDuplicates(["lang", "_draw"]).select("lang", "text")
+    sample = chosen.mapInArrow(lambda b: _sample(b, "text"), "lang string, n int, grams binary, counts binary").collect()
     if not sample:
         return Model([], np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
 

@@ -278,7 +278,7 @@ def _changes(batches, start: Model, text_col: str):
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Vocabulary and network from all documents."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(*docs.columns).alias("draw")).where("text IS NOT NULL")
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(*_text.hashable(docs)).alias("draw")).where("text IS NOT NULL")
     found = texts.select("text").mapInArrow(lambda b: _counts(b, "text"), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "word").limit(VOCAB).collect()
     hashes = np.array([r["word"] for r in top], np.int64)

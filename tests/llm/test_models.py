@@ -393,3 +393,20 @@ def test_lm_learns_from_both_sides(docs):
     model = lmscore.fit(docs(texts))
     out = lmscore.lm_scores(docs([(0, "left red stop " * 10), (1, "left red go " * 10)]), model).orderBy("doc_id").collect()
     assert out[0]["pll"] > out[1]["pll"]
+
+
+def test_models_take_any_column_and_draw_by_text_only(docs):
+    df = docs([(k, f"the cat number {k} sat there" if k % 2 else f"der hund nummer {k} stand da", "en" if k % 2 else "de") for k in range(40)])
+    odd = df.withColumn("m", F.create_map(F.lit("k"), F.lit(1))).withColumn("s", F.struct(F.array(F.create_map(F.lit(1), F.lit(2))).alias("a")))
+    plain = langid.fit(df, per_language=12)
+    for other in (odd, df.withColumn("doc_id", F.col("doc_id") + 7).repartition(5), df.union(df)):
+        model = langid.fit(other, per_language=12)
+        assert model.langs == plain.langs and np.array_equal(model.per_lang, plain.per_lang)
+    assert langid.identify(odd, plain).count() == 40
+    assert lmscore.lm_scores(odd, lmscore.fit(odd)).where("pll < 0").count() == 40
+
+
+def test_language_id_keeps_every_label(docs):
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    rows = [(k, f"{w}ul {w}em {w}ox {w}ip {w}an", w) for k, w in enumerate(words)]
+    assert langid.fit(docs(rows), most=1000).langs == sorted(words)
