@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -18,3 +20,18 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder that the session names in spark.checkpoint.dir; a temporary one only where it is unset and Spark is local."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoint-")
+            spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(named)
+    return df.checkpoint()
