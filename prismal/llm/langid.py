@@ -41,6 +41,8 @@ REJECT_MOST = 0.5
 OUTPUTS = ("lang_pred", "score", "rejected")
 
 _CODEC = pa.Codec("zstd", 3)
+#: Bytes of text that are scored at once; the arrays over them take about fifty times as much.
+_PREDICT_BLOCK = 1 << 18
 _SPACE = _text.byte_table(lambda b: not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128))
 
 
@@ -223,7 +225,7 @@ def _predict(batches, model: Model, text_col: str, keep: list[str]):
     ascii_letter = np.zeros(256, dtype=bool)
     ascii_letter[65:91] = ascii_letter[97:123] = True
     for batch in batches:
-        for rows, data, offsets in _text.blocks(batch, text_col):
+        for rows, data, offsets in _text.blocks(batch, text_col, _PREDICT_BLOCK):
             n = len(rows)
             best, score = np.full(n, len(model.langs)), np.zeros(n)
             rejected = np.ones(n, dtype=bool)

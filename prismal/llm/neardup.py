@@ -42,7 +42,9 @@ BLOCK = 2048
 BITMAP = 2048
 #: Tasks that the copies of one set are dealt over.
 SALTS = 64
-_TEXT_BLOCK = 1 << 19
+_TEXT_BLOCK = 1 << 18
+#: Pairs whose full sets are unpacked at once.
+_PAIRS = 256
 _SEED = np.random.default_rng(20)
 _A = _SEED.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _SEED.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
@@ -141,11 +143,13 @@ def _confirm(batches, percent: int):
     """Pairs whose full sets are similar enough."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y)
-            common = both - len(np.union1d(x, y)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-            keep.append(100 * common >= percent * (both - common))
+        for at in range(0, len(batch), _PAIRS):
+            part = batch.slice(at, _PAIRS)
+            for x, y in zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(x) + len(y)
+                common = both - len(np.union1d(x, y)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                keep.append(100 * common >= percent * (both - common))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
