@@ -44,12 +44,16 @@ def parts(table: pa.Table | pa.RecordBatch, key: str = "grp") -> Iterator[tuple[
         yield v, table.take(pa.array(order[cuts[k] : cuts[k + 1]]))
 
 
-def cogrouped(left: DataFrame, right: DataFrame, keys: list[str], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """run(left rows, right rows) for each key; groups that lack either side give nothing. The sides may share their origin."""
+def arrow_schema(kinds: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(kinds))
+
+
+def cogrouped(left: DataFrame, right: DataFrame, keys: list[str], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run(left rows, right rows) for each key; groups that lack either side give nothing. The sides may share their origin."""
+    kinds = arrow_schema(schema)
     apart = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
 
     def both(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -60,14 +64,18 @@ def cogrouped(left: DataFrame, right: DataFrame, keys: list[str], run: Callable[
     return left.groupBy(*keys).cogroup(apart.groupBy(*[f"_r_{k}" for k in keys])).applyInArrow(both, schema)
 
 
-def meet(rows: DataFrame, packed: DataFrame, run: Callable[[int, pa.Table, dict], Iterator[pa.Table]], schema: str, object_bytes: int, key: str = "image_id", limit: int | None = None) -> DataFrame:
+def number(rows: DataFrame) -> int:
+    """Groups of a table; ask for it where the table is cheap to read."""
+    return rows.select("grp").distinct().count()
+
+
+def meet(rows: DataFrame, packed: DataFrame, run: Callable[[int, pa.Table, dict], Iterator[pa.Table]], schema: str, total_bytes: int, key: str = "image_id", limit: int | None = None) -> DataFrame:
     """run(grp, rows, object) over all rows of groups that have an object, in bounded pieces.
 
-    object_bytes: about the size of one object; with the number of groups it tells whether all are sent or cogrouped.
+    total_bytes: about the size of all objects together, which tells whether they are sent or cogrouped.
     """
     limit = BROADCAST_BYTES if limit is None else limit
-    n_groups = rows.select("grp").distinct().count()
-    if n_groups * object_bytes <= limit:
+    if total_bytes <= limit:
         sent = rows.sparkSession.sparkContext.broadcast({r["grp"]: bytes(r["data"]) for r in packed.collect()})
 
         def each(batches):

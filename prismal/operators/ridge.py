@@ -96,7 +96,7 @@ def ridge_loo(rows: DataFrame, alphas: tuple[float, ...] = (0.1, 1.0, 10.0)) ->
 
     fitted = _products(centred).mapInPandas(solve, "grp long, n long, sd array<double>, inverse array<double>, w array<double>")
     names = ["n", "sa", "sb", "saa", "sbb", "sab"]
-    parts = centred.join(F.broadcast(fitted), "grp").mapInPandas(predict, "grp long, target int, k int, " + ", ".join(f"{c} double" for c in names))
+    parts = centred.join(fitted, "grp").mapInPandas(predict, "grp long, target int, k int, " + ", ".join(f"{c} double" for c in names))
     n, sa, sb, saa, sbb, sab = map(F.col, names)
     a, b = n * saa - sa * sa, n * sbb - sb * sb
     r = F.when((a > 1e-18) & (b > 1e-18) & ~F.isnan(a * b), (n * sab - sa * sb) / F.sqrt(a * b)).otherwise(0.0)
