@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import analyses, choices, duals, kernels, readouts, relational, statistics  # noqa: F401  (registration on import)
+    from . import analyses, choices, duals, evaluations, kernels, readouts, relational, statistics  # noqa: F401  (registration on import)
 
     return dict(_QUERIES)
 
