@@ -246,6 +246,30 @@ def test_guess_cost_is_the_minimum_over_segmentations():
     assert secrets.guesses_log10("a" * 100_000) < 8 and secrets.guesses_log10("Kq7!" * 5_000) < secrets.MIN_GUESSES_LOG10
 
 
+def test_long_values_of_wide_blocks_and_late_ends_are_segmented_exactly():
+    block = "".join(chr(33 + (k * k * 7 + k * 31) % 90) for k in range(100))
+    assert [(a, b, kind) for a, b, kind, _ in secrets.segments(block + block)] == [(0, 200, "repeat")]  # wider than BLOCK_MAX
+    value = "a" * 50 + "aab" * 30  # the run of a may give two of its letters to the blocks
+    assert [(a, b, kind) for a, b, kind, _ in secrets.segments(value)] == [(0, 50, "repeat"), (50, 140, "repeat")]
+    assert max(len(value), len(block) * 2) <= secrets.WHOLE
+
+
+def test_guess_spans_of_planted_values_have_recall_and_precision(docs):
+    rng = random.Random(3)
+    letters = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    words = [w for w in secrets.COMMON if w.isalpha()]
+    strong = ["".join(rng.choice(letters) for _ in range(rng.randint(10, 40))) for _ in range(60)] + ["".join(rng.choice(letters[:25]) for _ in range(rng.randint(16, 30))) for _ in range(60)]
+    weak = [rng.choice(words) + rng.choice(["2019", "123456", "qwerty", "19990412", "aaaaaa"]) for _ in range(60)] + [rng.choice(words) * 3 for _ in range(60)]
+    before = ["pwd: ", "passphrase = ", "Authorization: Bearer ", "the credentials: "]
+    texts = [f"x {before[k % 4]}{v} y" for k, v in enumerate([*strong, *weak])]
+    prose = [f"the {a} {b} of it" for a in ("secret", "token", "credential") for b in ("government", "organization", "relationship", "correspondent", "administrator")]
+    rows = secrets.secret_spans(docs([*texts, *prose, "password is correcthorsebatterystaple"]), words=[]).orderBy("doc_id").collect()
+    found = [r["n_guess"] > 0 for r in rows]
+    right = sum(found[: len(strong)])
+    assert right / len(strong) == 1 and sum(found[len(strong) : -1]) == 0
+    assert [tuple(s) for s in rows[-1]["spans"]] == [("guess", 12, 37)]
+
+
 def test_secrets_query_equals_the_contract_patterns(spark):
     """Base columns of every document against plain regular expressions; all values have a cost."""
     import re
