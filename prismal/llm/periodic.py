@@ -258,7 +258,7 @@ def _planted(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     own = docs.withColumn("_h", h).withColumn("_w", F.when(h % 10 == 0, words))
-    n, g = F.size("_w"), F.floor(F.col("_h") / 10)
+    n, g = F.nullif(F.size("_w"), F.lit(0)), F.floor(F.col("_h") / 10)  # null without words: a remainder by zero is an error
     own = own.withColumn("_a", g % n).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + g % 8)))
     source = lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.element_at("_w", (F.col("_a") + (i - F.col("_a")) % F.col("_p") + 1).cast("int")))
     text = F.when(n > 0, F.array_join(F.transform("_w", source), " ")).otherwise(F.col("text"))
