@@ -36,6 +36,15 @@ def test_profiles_equal_numpy(spark, metric):
     assert np.allclose(got["d"], want, atol=1e-6)
 
 
+@pytest.mark.parametrize("block", [1, 4, 7, 512])
+def test_images_in_several_blocks_meet_once(spark, monkeypatch, block):
+    monkeypatch.setattr(K, "BLOCK", block)
+    x = np.random.default_rng(11).normal(size=(2, 13, 5))
+    got = K.distance_profile(_features(spark, x), "euclidean").orderBy("model", "i", "j").toPandas()
+    assert [tuple(p) for p in got[["i", "j"]].to_numpy()] == 2 * list(zip(*np.triu_indices(13, 1)))
+    assert np.allclose(got["d"], np.concatenate([_numpy_profile(x[m], "euclidean") for m in range(2)]))
+
+
 def test_unknown_options_raise(spark):
     f = _features(spark, np.ones((1, 2, 2)))
     for call in (lambda: K.distance_profile(f, "x"), lambda: K.ranked(f, "x"), lambda: D.fold(F.col("r"), "x"), lambda: D.normalised(F.col("r"), "x", "grp")):
