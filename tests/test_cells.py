@@ -73,3 +73,10 @@ def test_lower_median_equals_percentile_disc(features, sizes, monkeypatch, bins,
 def test_two_vectors_of_one_model_and_image_are_refused(features):
     with pytest.raises(Exception, match="several vectors"):
         C.moments(features.unionAll(features), "euclidean").collect()
+
+
+def test_rows_of_pairs_equal_the_grouped_profile(features, monkeypatch):
+    monkeypatch.setattr(C, "ROWS", 7)
+    got = C.rows(features, "euclidean").select("grp", "i", "j", "models", "d").collect()
+    want = K.pair_rows(K.distance_profile(features, "euclidean")).select("grp", "i", "j", "models", "d").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 400
