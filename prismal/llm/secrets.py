@@ -7,14 +7,15 @@ spans too: their costs are part of the result. A segment is
 
 * a known word, in any case and with the usual digits for letters;
 * a date: a year, year and month, year, month and day, day and month with or without a year;
-* a repeat: three or more equal characters, or a block of 2 characters or more (`BLOCK_MAX` in long values) twice or more;
+* a repeat: three or more equal characters, or a block of 2 characters or more twice or more;
 * a keyboard or alphabet walk of four characters or more;
 * or, else, brute force over its characters' classes.
 
-In values of up to `WHOLE` characters blocks may be of any width, and repeats and walks end anywhere. In longer ones
-they end anywhere up to `SHORT` characters, and where they end by themselves, however long. The programme keeps two
+Blocks may be of any width, and repeats and walks begin and end anywhere, however long the value. The programme keeps two
 costs for each position (after brute force and after another segment), so its result is the least over all
-segmentations into these pieces; values are costed whole, in memory linear in their length. A value whose
+segmentations into these pieces. Beyond `WHOLE` characters it takes the repeats from the maximal repetitions of the value (blocks that are
+no repeats themselves; others cost more) and keeps of their starts those that may still be the best, as costs grow with the logarithm of the length: time
+and memory are n log n. Values are costed whole. A value whose
 cheapest segmentation needs 10**`min_guesses_log10` guesses or more is reported as kind "guess", unless a base span
 already covers it. Without ":" or "=" before it, a value of letters in the case of prose (lower, or one capital at the
 start) may be a word of prose that the list lacks, and needs 10**`PROSE_GUESSES_LOG10` guesses, save after "bearer".
@@ -30,6 +31,7 @@ are replaced).
 
 from __future__ import annotations
 
+import collections
 import functools
 import math
 import re
@@ -43,8 +45,8 @@ KINDS = ("assign", "access", "hex", "guess")
 MIN_GUESSES_LOG10 = 10.0
 #: The same for what may be a word of prose: more than 14 letters by brute force.
 PROSE_GUESSES_LOG10 = 20.0
-#: Length of values without the bounds that follow: widest block of a repeat, and length up to which repeats and walks may end anywhere.
-WHOLE, BLOCK_MAX, SHORT = 256, 64, 32
+#: Length of values whose repeats and walks are tried one by one, and pairs of places that are compared at once in longer ones.
+WHOLE, PAIRS = 256, 1 << 20
 #: Bound of the broadcast word list, and its letters a word and texts a word.
 WORDS, WORD_LETTERS, MIN_TEXTS = 100_000, (3, 32), 5
 
@@ -114,18 +116,11 @@ class Words:
 _COMMON = Words()
 
 
-def _ends(start: int, least: int, whole: int, short: int, step: int = 1) -> list[int]:
-    """Ends of a run of `whole` characters: anywhere up to `short`, and its own."""
-    ends = list(range(start + least, start + min(whole, short) + 1, step))
-    last = start + whole - whole % step
-    return ends if whole < least or (ends and ends[-1] == last) else [*ends, last]
-
-
 def _runs(value: str) -> dict[int, list[int]]:
     """By width: for each place, how many characters from it on equal those `width` further on; widths with a repeat only."""
     x = np.array([ord(c) for c in value], np.int64)
     n, out = len(x), {}
-    for width in range(1, min(n if n <= WHOLE else BLOCK_MAX, n // 2 if n > 3 else 1) + 1):
+    for width in range(1, (n // 2 if n > 3 else 1) + 1):
         differ = np.append(np.flatnonzero(x[:-width] != x[width:]), n - width) if n > width else np.zeros(1, np.int64)
         at = np.arange(max(n - width, 0))
         run = differ[np.searchsorted(differ, at)] - at
@@ -134,6 +129,108 @@ def _runs(value: str) -> dict[int, list[int]]:
     return out
 
 
+def _repetitions(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, period) of each stretch of at least twice its least period that no neighbour extends, by start."""
+    x = np.array([ord(c) for c in value], np.int64)
+    n = len(x)
+    classes = [np.unique(x, return_inverse=True)[1]]  # of the stretches of 2**k characters, until all differ
+    while 2 << (len(classes) - 1) <= n and classes[-1].max() + 1 < len(classes[-1]):
+        c, half = classes[-1], 1 << (len(classes) - 1)
+        classes.append(np.unique(c[:-half] * np.int64(n + 1) + c[half:], return_inverse=True)[1])
+
+    def equal(a, b, way):
+        """How many characters from a and b on (way 1), or before them (-1), are equal."""
+        got = np.zeros(len(a), np.int64)
+        for k in range(len(classes) - 1, -1, -1):
+            c, step = classes[k], 1 << k
+            i, j = (a + got, b + got) if way > 0 else (a - got - step, b - got - step)
+            inside = (i >= 0) & (j < len(c))
+            got += np.where(inside & (c[np.where(inside, i, 0)] == c[np.where(inside, j, 0)]), step, 0)
+        return got
+
+    # a repetition holds two neighbouring multiples of its period; nothing longer than 2**len(classes) - 1 occurs twice
+    periods = np.arange(1, min(n // 2, 2 << len(classes)) + 1)
+    count = (n - 1) // periods
+    upto, found = np.cumsum(count), []
+    for part in np.split(np.arange(len(periods)), np.flatnonzero(np.diff(upto // PAIRS)) + 1):
+        p = np.repeat(periods[part], count[part])
+        a = p * (np.arange(len(p)) - np.repeat(np.cumsum(count[part]) - count[part], count[part]))
+        after, before = equal(a, a + p, 1), equal(a, a + p, -1)
+        good = after + before >= p
+        found.append(np.unique(np.stack([a - before, a + p + after, p])[:, good], axis=1))
+    found = np.concatenate(found, axis=1)
+    found = found[:, np.lexsort((found[2], found[1], found[0]))]
+    first = np.append(True, (np.diff(found[:2], axis=1) != 0).any(axis=0))[: found.shape[1]]  # the least period of a stretch
+    return [tuple(r) for r in found[:, first].T.tolist()]
+
+
+class _Starts:
+    """The best start for each end, where a piece from start i to end j costs what i costs plus log10(j - i).
+
+    Ends are asked for one after the other. An older start gains on a newer one with every step, so a stack of those that may still be
+    the best, the newest on top, with the end from which on the one below is better, is all that is kept.
+    """
+
+    def __init__(self, least: int):
+        self.least, self.waiting, self.stack = least, collections.deque(), []
+
+    def add(self, i: int, cost: float) -> None:
+        """A start whose pieces end at i + least or later."""
+        self.waiting.append((i, cost))
+
+    def best(self, j: int) -> tuple[float, int] | None:
+        """(cost, start) of the cheapest piece that ends at j."""
+        stack = self.stack
+        while stack and stack[-1][2] <= j:
+            stack.pop()
+        if self.waiting and self.waiting[0][0] + self.least <= j:
+            i, cost = self.waiting.popleft()
+            if not stack or cost + math.log10(j - i) < stack[-1][1] + math.log10(j - stack[-1][0]):
+                while stack and (until := self._until(i, cost, *stack[-1][:2])) >= stack[-1][2]:
+                    stack.pop()
+                stack.append((i, cost, until if stack else math.inf))
+        return (stack[-1][1] + math.log10(j - stack[-1][0]), stack[-1][0]) if stack else None
+
+    @staticmethod
+    def _until(i: int, cost: float, older: int, its: float) -> float:
+        """The end from which on the older start is better than i."""
+        gap = 10 ** (cost - its)
+        return (gap * i - older) / (gap - 1) if gap > 1 else math.inf
+
+
+class _Open:
+    """The repeats and walks of a long value that are under way at a position."""
+
+    def __init__(self, value: str, walk: list[int], total: list[float]):
+        self.total, self.runs = total, collections.defaultdict(list)
+        for start, end, width in _repetitions(value):
+            if end - start >= (3 if width == 1 else 2 * width):
+                self.runs[start].append((start, end, width, "repeat", 3 if width == 1 else 2, {}))
+        at = 0
+        while at < len(value):
+            if walk[at] >= 4:
+                self.runs[at].append((at, at + walk[at], 1, "walk", 4, {}))
+            at += walk[at]
+        self.now = []
+
+    def ended(self, j: int):
+        """(start, kind, cost from the value's start on) of the best piece of each run that ends at j."""
+        self.now = [r for r in self.now if r[1] >= j]
+        for start, _, width, kind, _, places in self.now:
+            at, rest = divmod(j - start, width)
+            if rest in places and (best := places[rest].best(at)):
+                yield start + rest + width * best[1], kind, best[0]
+
+    def begin(self, i: int, before: float) -> None:
+        """Pieces may begin at i; all before costs `before`."""
+        self.now += self.runs.get(i, ())
+        for start, end, width, kind, least, places in self.now:
+            if i + least * width <= end:
+                at, rest = divmod(i - start, width)
+                cost = math.log10(40) if kind == "walk" else self.total[i + width] - self.total[i]
+                places.setdefault(rest, _Starts(least)).add(at, before + cost)
+
+
 def segments(value: str, words: Words | None = None) -> list[tuple[int, int, str, float]]:
     """The segmentation of least log10 guesses: (start, end, kind, cost).
 
@@ -142,9 +239,8 @@ def segments(value: str, words: Words | None = None) -> list[tuple[int, int, str
     """
     words = words or _COMMON
     n, low = len(value), value.lower()
-    short = n if n <= WHOLE else SHORT
     low = low if len(low) == n else value
-    plain, runs, single = low.translate(_LEET), _runs(value), [_brute(c) for c in value]
+    plain, runs, single = low.translate(_LEET), _runs(value) if n <= WHOLE else {}, [_brute(c) for c in value]
     total = np.concatenate([[0.0], np.cumsum(single)]).tolist()
     walk = [1] * (n + 1)
     for i in range(n - 2, -1, -1):
@@ -153,8 +249,17 @@ def segments(value: str, words: Words | None = None) -> list[tuple[int, int, str
     other, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     back: list[tuple[int, str, float]] = [(0, "", 0.0)] * (n + 1)
     begun = [0] * (n + 1)  # where the brute force that ends here begins
-    for i in range(n):
+    under_way = _Open(value, walk, total) if n > WHOLE else None
+    for i in range(n + 1):
+        if under_way:
+            for start, kind, cost in under_way.ended(i):
+                if cost < other[i]:
+                    other[i], back[i] = cost, (start, kind, cost - min(other[start], brute[start]))
+        if i == n:
+            break
         more, here = (math.log10(2) if i else 0.0), min(other[i], brute[i])
+        if under_way:
+            under_way.begin(i, here + more)
         if other[i] + more <= brute[i]:
             brute[i + 1], begun[i + 1] = other[i] + more + single[i], i
         else:
@@ -165,11 +270,11 @@ def segments(value: str, words: Words | None = None) -> list[tuple[int, int, str
         for width, run in runs.items():
             same = run[i] if i < len(run) else 0
             if width == 1 and same >= 2:
-                options += [(j, "repeat", single[i] + math.log10(j - i)) for j in _ends(i, 3, same + 1, short)]
+                options += [(j, "repeat", single[i] + math.log10(j - i)) for j in range(i + 3, i + same + 2)]
             elif width > 1 and same >= width:
-                options += [(j, "repeat", total[i + width] - total[i] + math.log10((j - i) // width)) for j in _ends(i, 2 * width, same + width, short, width)]
-        if walk[i] >= 4:
-            options += [(j, "walk", math.log10(40 * (j - i))) for j in _ends(i, 4, walk[i], short)]
+                options += [(j, "repeat", total[i + width] - total[i] + math.log10((j - i) // width)) for j in range(i + 2 * width, i + same + width + 1, width)]
+        if walk[i] >= 4 and not under_way:
+            options += [(j, "walk", math.log10(40 * (j - i))) for j in range(i + 4, i + walk[i] + 1)]
         for j, kind, cost in options:
             if here + more + cost < other[j]:
                 other[j], back[j] = here + more + cost, (i, kind, more + cost)

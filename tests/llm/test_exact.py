@@ -254,6 +254,30 @@ def test_long_values_of_wide_blocks_and_late_ends_are_segmented_exactly():
     assert max(len(value), len(block) * 2) <= secrets.WHOLE
 
 
+def test_long_values_need_no_bounds(monkeypatch):
+    rng = random.Random(9)
+    words = secrets.Words(["abc", "cab", "zebra", "abcabc"])
+    parts = ["password", "abc", "aaaa", "qwerty", "2024-01-15", "ab", "!", "x9", "cabcab", "aab" * 7, "a" * 40, "abcdefgh" * 3, "wqwqwqwqwe" * 5]
+    wide = "".join(chr(33 + (k * k * 7 + k * 31) % 90) for k in range(100))
+    short = ["".join(rng.choice("ab1!c") for _ in range(rng.randrange(1, 15))) for _ in range(300)]
+    long = ["".join(rng.choice("ab") for _ in range(400)), wide * 4 + wide[:50], "a" * 300 + "aab" * 30, "qw" * 40 + "werty" * 20 + "abcdefghijkl" * 20, "0" * 400, wide + "é" * 200]
+    long += ["".join(rng.choice(parts) for _ in range(60)) for _ in range(30)]
+    # beyond the former bounds: a block wider than 64, and a run of more than 32 letters that gives some to the next piece
+    assert [(a, b, kind) for a, b, kind, _ in secrets.segments(wide * 4)] == [(0, 400, "repeat")]
+    assert [(a, b, kind) for a, b, kind, _ in secrets.segments("a" * 300 + "aab" * 30)] == [(0, 300, "repeat"), (300, 390, "repeat")]
+    monkeypatch.setattr(secrets, "WHOLE", 10**9)
+    plain = {v: secrets.guesses_log10(v, words) for v in long}
+    for pairs in (secrets.PAIRS, 100):
+        monkeypatch.setattr(secrets, "WHOLE", 0)
+        monkeypatch.setattr(secrets, "PAIRS", pairs)
+        for value in short:
+            assert secrets.guesses_log10(value, words) == pytest.approx(_least_guesses(value, words.rank), abs=1e-9), value
+        for value in long:
+            got = secrets.segments(value, words)
+            assert sum(c for *_, c in got) == pytest.approx(plain[value], abs=1e-9), value
+            assert [a for a, *_ in got[1:]] == [b for _, b, *_ in got[:-1]] and "".join(value[a:b] for a, b, *_ in got) == value
+
+
 def test_guess_spans_of_planted_values_have_recall_and_precision(docs):
     rng = random.Random(3)
     letters = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
