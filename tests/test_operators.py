@@ -222,3 +222,29 @@ def test_readouts_of_a_group_spread_over_tasks_and_equal_numpy(spark):
             return 1 - ((b - a @ np.linalg.solve(a.T @ a + 100 * np.eye(len(c)), a.T @ b)) ** 2).sum() / (b**2).sum()
 
         assert part[g, "a"] == pytest.approx(r2([0, 1, 2, 3]) - r2([1, 2, 3])) and part[g, "b"] == pytest.approx(r2([0, 1, 2, 3]) - r2([0, 3]))
+
+
+def test_matches_of_a_large_group_take_no_matrix_of_all_pairs():
+    import tracemalloc
+
+    import pandas as pd
+
+    from prismal.operators import tables as O
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": 0, "k": np.arange(6000), "a": rng.normal(size=6000), "b": rng.normal(size=6000), "_t": np.arange(6000) % 3 == 0})
+    tracemalloc.start()
+    got = O.matched(pdf, ["g"], "k", ["a", "b"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6  # the matrix would take 64 MB
+    z = pdf[["a", "b"]].to_numpy()
+    z = (z - z.mean(axis=0)) / z.std(axis=0)
+    own, other = np.flatnonzero(pdf["_t"]), np.flatnonzero(~pdf["_t"])
+    d = np.sqrt(((z[own, None] - z[other]) ** 2).sum(axis=2))
+    want, used = [], np.zeros(len(other), bool)
+    for i in np.argsort(d.min(axis=1), kind="stable"):
+        j = int(np.where(used, np.inf, d[i]).argmin())
+        used[j] = True
+        want.append((own[i], other[j]))
+    assert list(zip(got["k"], got["match"])) == want
