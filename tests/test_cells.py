@@ -80,3 +80,23 @@ def test_rows_of_pairs_equal_the_grouped_profile(features, monkeypatch):
     got = C.rows(features, "euclidean").select("grp", "i", "j", "models", "d").collect()
     want = K.pair_rows(K.distance_profile(features, "euclidean")).select("grp", "i", "j", "models", "d").collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 400
+
+
+def test_chunked_cosine_equals_its_pairs(spark, features, sizes, same_rows):
+    pairs = K.chunked_cosine(features, "model").groupBy("grp").agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
+    same_rows(C.chunked_cosine(features).toPandas(), pairs.toPandas())
+    assert C.chunked_cosine(features.where("image_id = 100")).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine_floor", "euclidean"])
+def test_candidate_summary_equals_its_pairs(spark, features, sizes, same_rows, metric):
+    f = features.where("grp = 0")
+    chosen = f.where("image_id % 2 = 0")
+    pairs = K.candidate_distances(f, chosen, metric).groupBy("model", "image").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.avg("d").alias("mean"))
+    same_rows(C.candidate_summary(f, chosen, metric).toPandas(), pairs.toPandas())
+    assert C.candidate_summary(f, chosen.where("false"), metric).count() == 0
+
+
+def test_pairs_of_whole_groups_are_not_shuffled(spark, features):
+    for x in (C.chunked_cosine(features), C.candidate_summary(features, features.where("image_id % 2 = 0"))):
+        assert "Join" not in x._jdf.queryExecution().executedPlan().toString()
