@@ -91,3 +91,9 @@ def test_registered_recovery(spark, tiny):
     assert len(rows) == len({(r["level"], r["teacher"]) for r in rows}) == 3 * 4
     own = {level: np.mean([r["accuracy"] for r in rows if r["level"] == level]) for level in range(3)}
     assert own[0] >= own[2] and own[0] > 0.9
+
+
+def test_recovery_needs_no_row_for_each_pair(spark):
+    features, *_ = _features(spark, 16)
+    x = T.teacher_recovery(features, F.expr(PART), [0.0], 1, ALPHAS, ("e",), "euclidean")
+    assert "Join" not in x._jdf.queryExecution().executedPlan().toString()
