@@ -6,7 +6,7 @@ words runs through a gated recurrent layer in both directions; attention pools t
 logit. A document's score is the calibrated logistic of its largest window logit; windows start
 every `STRIDE` words and cover the whole text.
 
-The network is trained in numpy on a bounded sample of labelled documents (`PER_CLASS` toxic
+The network is trained in numpy, in a task of its own, on a bounded sample of labelled documents (`PER_CLASS` toxic
 and twice as many others, spread over all by a hash; all windows of each). A label holds for a
 document, so each training step follows only one window: that with the largest logit of `LOOK` drawn ones. A fifth of the sample is held back to fit the calibration.
 
@@ -18,6 +18,8 @@ repeated rows are scored one by one; null labels are not learnt from; other colu
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -304,6 +306,12 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(out, pa.list_(pa.string()))], ["label", "windows"])
 
 
+def _trained(batches):
+    """The network of all rows, whatever their order."""
+    rows = sorted(r for b in batches for r in zip(b.column("label").to_pylist(), b.column("windows").to_pylist()))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], ["net"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Network:
     """A network from a sample of about `per_class` toxic documents and twice as many others.
 
@@ -315,8 +323,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.xxhash64("id", F.lit("toxicity"))
     chosen = rows.where(F.pmod(draw, F.lit(1 << 30)) < share * float(1 << 30)).orderBy(draw, "id", "label").limit(6 * per_class)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id")
-    sample = texts.select("text", "label").mapInArrow(_windows, "label int, windows array<string>").collect()
-    net = train(sorted((r["label"], list(r["windows"])) for r in sample))
+    sample = texts.select("text", "label").mapInArrow(_windows, "label int, windows array<string>")
+    made = sample.repartition(1).mapInArrow(_trained, "net binary").collect()  # the sample is bounded; the driver gets parameters only
+    net = pickle.loads(made[0]["net"]) if made else train([])
     if net.prior is not None:
         net.prior = counts.get(1, 0) / max(1, sum(counts.values()))
     return net

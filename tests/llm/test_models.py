@@ -410,3 +410,13 @@ def test_language_id_keeps_every_label(docs):
     words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
     rows = [(k, f"{w}ul {w}em {w}ox {w}ip {w}an", w) for k, w in enumerate(words)]
     assert langid.fit(docs(rows), most=1000).langs == sorted(words)
+
+
+def test_toxicity_is_trained_in_a_task_not_in_the_driver(spark, monkeypatch):
+    def here(rows, seed=11):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(toxicity, "train", here)
+    docs = spark.createDataFrame([(k, f"{'vile' if k % 2 else 'kind'} word {k}") for k in range(40)], "doc_id long, text string")
+    net = toxicity.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
+    assert net.prior is None and net.p["word"].shape == (1 << toxicity.BITS, toxicity.DIM)
