@@ -388,6 +388,26 @@ def test_lm_gradients_equal_differences(monkeypatch):
         assert kept[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-5 * many, rel=1e-3, abs=1e-6), name
 
 
+def test_lm_takes_logits_in_pieces(monkeypatch):
+    """No more rows of logits than PIECE at once, and the same steps and scores for pieces of any size."""
+    rng = np.random.default_rng(4)
+    ctx, y = rng.integers(0, 40, (300, 6)), rng.integers(0, 44, 300)
+    taken, out = [], []
+    exponentials = lmscore._exponentials
+    monkeypatch.setattr(lmscore, "_exponentials", lambda z, bounded: (taken.append(len(z)), exponentials(z, bounded))[1])
+    for piece in (7, 1000):
+        monkeypatch.setattr(lmscore, "PIECE", piece)
+        model = lmscore.Model(np.arange(1, 41), np.ones(1 << lmscore.RARE_BITS, np.int64))
+        taken.clear()
+        loss = model.step(ctx, y, 0.1)
+        scores = model.log_probabilities(y, np.array([0, 120, 300]))
+        assert max(taken) <= piece
+        out.append((loss, scores, model.p))
+    (a, x, p), (b, z, q) = out
+    assert a == pytest.approx(b, rel=1e-5) and x == pytest.approx(z, rel=1e-4)
+    assert all(p[k] == pytest.approx(q[k], abs=1e-4) for k in p)
+
+
 def test_lm_learns_from_both_sides(docs):
     texts = [" ".join(["left", w, {"red": "stop", "green": "go"}[w]] * 10) for w in ("red", "green") for _ in range(100)]
     model = lmscore.fit(docs(texts))
