@@ -31,6 +31,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import _text
@@ -39,6 +40,8 @@ from . import _text
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 1 << 17
 #: Rows that one task encodes before it passes their ids on.
 ENCODE_ROWS = 300_000
+#: Words whose ids and pieces are joined at once (a longer text is taken alone).
+JOIN_WORDS = 1 << 18
 _ZSTD = pa.Codec("zstd", 6)
 OUTPUTS = ("ids", "n_tokens", "decoded", "ids_sha256", "decoded_sha256")
 WEIGHT = "_bytes"
@@ -308,29 +311,31 @@ def _join_back(positions: pa.Table, encoded: pa.Table, pieces: list[str], keep:
     start = np.cumsum(size) - size
     order = np.argsort(rank)[_unpack(positions.column("places")[0].as_py(), n_words)]  # by falling frequency
     start, size = start[order], size[order]
-    words_ids = [flat[a : a + n].tolist() for a, n in zip(start.tolist(), size.tolist())]
-    id_text = [" ".join(map(str, w)) for w in words_ids]
-    decoded = [" ".join([pieces[i] for i in w]) for w in words_ids]
     with pa.ipc.open_stream(positions.column("rows")[0].as_buffer()) as stream:
-        rows = stream.read_all()
+        rows = stream.read_all().combine_chunks()
     at = _unpack(positions.column("positions")[0].as_py(), n_flat)
-    out = {n: [] for n in OUTPUTS}
-    left = 0
-    for n in _unpack(positions.column("lengths")[0].as_py(), n_docs).tolist():
-        own = at[left : left + n]
-        mine = own.tolist()
-        left += n
-        text = " ".join([decoded[k] for k in mine])
-        out["n_tokens"].append(int(size[own].sum()))
-        if digests:
-            out["ids_sha256"].append(hashlib.sha256(" ".join([id_text[k] for k in mine]).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-        else:
-            out["ids"].append([i for k in mine for i in words_ids[k]])
-            out["decoded"].append(text)
-    names = _outputs(digests)
-    kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-    return pa.Table.from_arrays([rows.column(c) for c in keep] + [pa.array(out[n], kinds.get(n, pa.string())) for n in names], [*keep, *names])
+    first = np.concatenate([[0], np.cumsum(_unpack(positions.column("lengths")[0].as_py(), n_docs))])  # words before each document
+    letters, tables, lo = pa.array(pieces, pa.string()), [], 0
+    while lo < n_docs:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + JOIN_WORDS, "right")) - 1)
+        own = at[first[lo] : first[hi]]
+        before = np.concatenate([[0], np.cumsum(size[own])])[first[lo : hi + 1] - first[lo]]  # tokens before each document
+        ids = pa.array(_gather(flat, start[own], size[own]).astype(np.int32))
+        tables.append(_joined(rows.slice(lo, hi - lo), ids, pa.array(before.astype(np.int32)), letters, keep, digests))
+        lo = hi
+    return pa.concat_tables(tables)
+
+
+def _joined(rows: pa.Table, ids: pa.Array, before: pa.Array, letters: pa.Array, keep: list[str], digests: bool) -> pa.Table:
+    """Documents with their ids, numbered from `before`, and pieces or the digests of both."""
+    text = pc.binary_join(pa.ListArray.from_arrays(before, letters.take(ids)), " ")
+    count = pa.array(np.diff(before.to_numpy()).astype(np.int64))
+    if digests:
+        numbers = pc.binary_join(pa.ListArray.from_arrays(before, ids.cast(pa.string())), " ")
+        out = [count, *(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in c.to_pylist()], pa.string()) for c in (numbers, text))]
+    else:
+        out = [pa.ListArray.from_arrays(before, ids), count, text]
+    return pa.Table.from_arrays([*(rows.column(c) for c in keep), *out], [*keep, *_outputs(digests)])
 
 
 def _outputs(digests: bool) -> list[str]:

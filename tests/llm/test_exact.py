@@ -348,6 +348,27 @@ def test_bpe_over_many_blocks(docs):
     assert want[0]["ids_sha256"] == hashlib.sha256(" ".join(map(str, bpe.tokenize(docs(texts[:1]), bpe.default_path()).first()["ids"])).encode()).hexdigest()
 
 
+def test_bpe_joins_a_block_in_bounded_pieces(monkeypatch):
+    """A block's ids and pieces come in tables of some words each, and are the same however many."""
+    import pyarrow as pa
+
+    path, limits = bpe.default_path(), (bpe.BLOCK_BYTES, bpe.BLOCK_ROWS)
+    monkeypatch.setattr(bpe, "_partition", lambda: 0)
+    texts = ["", "one two three", "it's <|endoftext|> naïve", "word " * 50, None, "x"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, bpe.WEIGHT: [8 + len(t or "") for t in texts]})
+    words = sorted((r for b in bpe._block_words(iter([batch]), path, "text", limits) for r in b.to_pylist()), key=lambda r: r["word"])
+    encoded = pa.Table.from_batches(bpe._encode(iter([pa.RecordBatch.from_pylist(words)]), path))
+    positions = pa.Table.from_batches(bpe._block_positions(iter([batch]), path, "text", ["doc_id"], limits))
+    for digests in (False, True):
+        whole = bpe._join_back(positions, encoded, bpe.pieces_of(path), ["doc_id"], digests)
+        monkeypatch.setattr(bpe, "JOIN_WORDS", 8)
+        cut = bpe._join_back(positions, encoded, bpe.pieces_of(path), ["doc_id"], digests)
+        monkeypatch.undo()
+        monkeypatch.setattr(bpe, "_partition", lambda: 0)
+        assert [len(b) for b in cut.to_batches()] == [3, 1, 2] and len(whole.to_batches()) == 1
+        assert cut.to_pylist() == whole.to_pylist() and [r["doc_id"] for r in cut.to_pylist()] == list(range(6))
+
+
 @pytest.mark.parametrize("rows, text_bytes, wide", [(14_000, 10_000, 0), (6_000, 1_700, 60_000)])
 @pytest.mark.parametrize("batch_bytes", [None, 1 << 20])
 def test_bpe_blocks_do_not_follow_arrow_batches(spark, rows, text_bytes, wide, batch_bytes):
