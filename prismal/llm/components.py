@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._store import checkpointed
 
@@ -19,11 +19,12 @@ def _tasks(links: int) -> int:
 def _with_least(edges: DataFrame, links: int) -> DataFrame:
     """edges plus m, the least v of u.
 
-    Where there are more links than a task takes, so that one node may have too many, minima are taken by node and
-    salt first, and the links of a node are dealt over SALTS tasks.
+    As many links as a task takes are one partition, whose minima need neither a shuffle nor a join. Where there are more,
+    so that one node may have too many, minima are taken by node and salt first, and the links of a node are dealt over
+    SALTS tasks.
     """
     if links <= TASK_LINKS:
-        return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
     salted = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy("u", "_salt").agg(F.min("v").alias("_p"))
     least = parts.groupBy("u").agg(F.min("_p").alias("m"))
@@ -31,17 +32,22 @@ def _with_least(edges: DataFrame, links: int) -> DataFrame:
     return salted.join(known, ["u", "_salt"]).drop("_salt")
 
 
+def _listed(edges: DataFrame, *links: Column) -> DataFrame:
+    """(u, v) of these structs of every row; edges is read once, where a union reads it for each."""
+    return edges.select(F.explode(F.array(*links)).alias("_e")).select("_e.u", "_e.v")
+
+
 def _large_star(edges: DataFrame, links: int) -> DataFrame:
     """Each node's larger neighbours move to the least of its neighbourhood."""
-    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _listed(edges, F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     return _with_least(both, 2 * links).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame, links: int) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them; links may repeat."""
     known = _with_least(edges, links)
-    moved = known.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(known.select("u", F.col("m").alias("v")))
+    moved = F.when(F.col("v") != F.col("m"), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return _listed(known, moved, F.struct("u", F.col("m").alias("v"))).where("u IS NOT NULL")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -2,7 +2,7 @@
 
 A text is the average of the embeddings of its byte 3- and 4-grams (within words, with the space
 at a word's border, letters lower-cased), hashed to 2**BITS rows; a linear layer and a softmax
-over the languages follow. Both are trained by mini-batch stochastic gradient descent in numpy on a
+over the languages follow. Both are trained by mini-batch stochastic gradient descent in numpy, in a task of its own, on a
 bounded sample of labelled documents (`PER_LANGUAGE` different texts for each label, or fewer where there are so many
 labels that `MOST` would be exceeded, but at least `FEWEST`; drawn by a hash of the text alone, each text whole).
 A fifth of the sample is held back to calibrate:
@@ -23,6 +23,8 @@ an output name clashes with are replaced).
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -92,10 +94,27 @@ class Model:
 
     def __init__(self, langs: list[str], table: np.ndarray, weights: np.ndarray, bias: np.ndarray):
         self.langs, self.bias, self.temperature, self.threshold = langs, bias, 1.0, 0.0
+        self.factors = (table @ weights, np.eye(len(langs), dtype=np.float32)) if len(langs) <= DIM else (table, weights)
         self.per_lang = np.ascontiguousarray((table @ weights).T) if langs else table[:0]
         self.known = np.zeros((len(langs), 1 << BITS), dtype=bool)
         self.usual, self.least_known = 1.0, 0.0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "factors"}
+
+    def packed(self) -> bytes:
+        """The model in few bytes: at most DIM numbers and a bit for each language a bucket."""
+        rest = {k: v for k, v in self.__dict__.items() if k not in ("factors", "per_lang", "known")}
+        return pickle.dumps((self.factors, np.packbits(self.known, axis=1), rest))
+
+    @staticmethod
+    def unpacked(data: bytes) -> Model:
+        factors, known, rest = pickle.loads(data)
+        model = Model(rest["langs"], *factors, rest["bias"])
+        model.known = np.unpackbits(known, axis=1).astype(bool)
+        model.__dict__.update(rest)
+        return model
+
     def logits(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Logits and numbers of n-grams of each document of a block."""
         count = sum(np.diff(b) for _, b in parts)
@@ -198,6 +217,20 @@ def _sample(batches, text_col: str):
             yield pa.RecordBatch.from_arrays([rows.column("lang"), pa.array([len(x[0]) for x in out], pa.int32()), *cells], ["lang", "n", "grams", "counts"])
 
 
+def _trained(batches):
+    """The model of all rows, whatever their order."""
+    rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lang", "grams", "counts", "n"))))
+
+    bound = np.cumsum([0] + [n for *_, n in rows])
+    flat = np.empty((2, bound[-1]), np.int32)  # one array, which goes back to the system as a whole
+    for (_, *cells, n), at in zip(rows, bound):
+        for k, cell in enumerate(cells):
+            flat[k, at : at + n] = np.frombuffer(_CODEC.decompress(cell, decompressed_size=4 * n, asbytes=True), np.int32)
+    if rows:
+        model = train([(r[0], *flat[:, at : at + r[3]]) for r, at in zip(rows, bound)])
+        yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], ["model"])
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most: int = MOST) -> Model:
     """A model from a sample of about `per_language` different labelled texts for each label, `most` in all."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("_draw")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -206,14 +239,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     shares = counts.select(["lang"]).append_column("_below", pa.array([int(min(1.0, each / max(n, 1)) * (1 << 30)) for n in counts.column("_n").to_pylist()], pa.int64()))
     chosen = rows.join(F.broadcast(rows.sparkSession.createDataFrame(shares, "lang string, _below long")), "lang").where(F.pmod("_draw", F.lit(1 << 30)) < F.col("_below"))
     chosen = chosen.dropDuplicates(["lang", "_draw"]).select("lang", "text")
-    sample = chosen.mapInArrow(lambda b: _sample(b, "text"), "lang string, n int, grams binary, counts binary").collect()
-    if not sample:
-        return Model([], np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
-
-    def unpacked(cell, n):
-        return np.frombuffer(_CODEC.decompress(bytes(cell), decompressed_size=4 * n, asbytes=True), np.int32)
-
-    return train([(r["lang"], unpacked(r["grams"], r["n"]), unpacked(r["counts"], r["n"])) for r in sorted(sample, key=lambda r: (r["lang"], bytes(r["grams"]), bytes(r["counts"])))])
+    sample = chosen.mapInArrow(lambda b: _sample(b, "text"), "lang string, n int, grams binary, counts binary")
+    made = sample.repartition(1).mapInArrow(_trained, "model binary").collect()  # the sample is bounded; the driver gets the model only
+    return Model.unpacked(made[0]["model"]) if made else Model([], np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
 
 
 def _has_letter(text: str | None) -> bool:

@@ -165,6 +165,15 @@ def test_components_of_paths_loops_and_nulls(spark, monkeypatch, most):
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_a_star_step_of_few_links_has_neither_shuffle_nor_join(spark):
+    edges = spark.range(1, 40).selectExpr("id AS u", "id DIV 2 AS v")
+    large = components._large_star(edges.coalesce(1), 39).coalesce(1).distinct().coalesce(1)
+    step = components._small_star(large, 39).coalesce(1).distinct()
+    assert {(r["u"], r["v"]) for r in step.collect()} >= {(1, 0), (2, 0), (3, 0)}
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 # secrets
 
 

@@ -440,3 +440,21 @@ def test_toxicity_is_trained_in_a_task_not_in_the_driver(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"{'vile' if k % 2 else 'kind'} word {k}") for k in range(40)], "doc_id long, text string")
     net = toxicity.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
     assert net.prior is None and net.p["word"].shape == (1 << toxicity.BITS, toxicity.DIM)
+
+
+def test_language_model_is_trained_in_a_task_and_sent_in_few_bytes(docs, monkeypatch):
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)]
+    rows = docs([(k, f"{w}ul {w}em {w}ox {w}ip {w}an", w) for k, w in enumerate(words)])
+    one = [(lang, *(np.frombuffer(langid._CODEC.decompress(x[c].as_py(), decompressed_size=4 * x["n"].as_py(), asbytes=True), np.int32) for c in ("grams", "counts"))) for b in langid._sample(rows.select("lang", "text").toArrow().to_batches(), "text") for x in [dict(zip(b.schema.names, r)) for r in zip(*b.columns)] for lang in [x["lang"].as_py()]]
+    whole = langid.train(sorted(one, key=lambda r: r[0]))
+
+    def here(rows, seed=7):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(langid, "train", here)
+    model = langid.fit(rows, most=1000)
+    assert model.langs == whole.langs and np.array_equal(model.known, whole.known)
+    assert np.allclose(model.per_lang, whole.per_lang, atol=1e-5)
+    assert (model.temperature, model.threshold, model.usual, model.least_known) == pytest.approx((whole.temperature, whole.threshold, whole.usual, whole.least_known))
+    assert len(whole.packed()) < (4 * langid.DIM + len(words) / 4) * (1 << langid.BITS)
+    assert langid.fit(rows.limit(0)).langs == []
