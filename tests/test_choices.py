@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from prismal.operators import calibration, kernels, matching, resampling, tracks
+from prismal.operators import calibration, kernels, matching, rankboot, resampling, tracks
 from prismal.operators.simulation import normals
 
 N = 24
@@ -166,3 +166,37 @@ def test_distribution_match_equals_the_plain_loop(spark, monkeypatch):
     monkeypatch.setattr(matching, "MOST_TARGETS", 3)
     with pytest.raises(ValueError):
         matching.distribution_match(df, spark.createDataFrame(wanted, "grp long, value double"))
+
+
+@pytest.mark.parametrize("block", [None, 8])
+def test_rank_scores_by_cell_equal_those_of_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(rankboot, "STEP", 4)  # several ranges of values
+    monkeypatch.setattr(rankboot, "STEPS", 2)
+    monkeypatch.setattr(rankboot, "BATCH", 2)
+    rng = np.random.default_rng(4)
+    v = {m: rng.integers(-2, 3, size=(26, 3)).astype(float) for m in "rab"}  # equal vectors and distances
+    rows = [(g, m, i, [None, 1.0, 1.0] if (g, m, i) == (0, "a", 3) else v[m][i].tolist()) for g in (0, 1) for m in "rab" for i in range(26 - 9 * g) if (m, i) != ("b", 5)]
+    x = spark.createDataFrame([*rows, (2, "r", 0, [1.0]), (2, "a", 0, [1.0])], "grp long, model string, image_id long, v array<double>")
+    key = lambda t: {(r["grp"], r["draw"], r["model"]): r["r"] for r in t.collect()}
+    for metric in ("euclidean", "cosine"):
+        got, want = key(rankboot.rank_scores(x, "r", 3, metric, 5, block)), key(resampling.stimulus_scores(kernels.distance_profile(x, metric), "r", 3, "spearman", 5))
+        assert len(want) == 12 and got.keys() == want.keys()
+        assert {k: (got[k], want[k]) for k in want if got[k] != pytest.approx(want[k], abs=1e-9)} == {}
+        if metric == "euclidean":  # an image without distances, as a materialised resample has it
+            full = {m: np.linalg.norm(v[m][:, None] - v[m][None], axis=2) for m in "ra"}
+            full["a"][3] = full["a"][:, 3] = np.nan
+            full["a"][3, 3] = 0.0
+            for k in range(3):
+                idx = [int(hashlib.md5(f"5:{k}:{p}".encode()).hexdigest()[:8], 16) % 26 for p in range(26)]
+                a, r = (pd.Series(full[m][np.ix_(idx, idx)][np.triu_indices(26, 1)]).rank() for m in "ar")
+                assert got[0, k, "a"] == pytest.approx(a.corr(r), abs=1e-9)
+
+
+def test_rank_bootstrap_query_makes_no_rows_of_pairs(spark, tiny, monkeypatch):
+    from prismal.plans import choices
+
+    def rows(*_):
+        raise AssertionError("rows of pairs")
+
+    monkeypatch.setattr(choices.K, "distance_profile", rows)
+    assert choices.stimulus_rank_bootstrap(spark, tiny).count() > 0
