@@ -200,3 +200,27 @@ def test_rank_bootstrap_query_makes_no_rows_of_pairs(spark, tiny, monkeypatch):
 
     monkeypatch.setattr(choices.K, "distance_profile", rows)
     assert choices.stimulus_rank_bootstrap(spark, tiny).count() > 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_pearson_scores_by_cell_equal_those_of_pairs(spark, monkeypatch, metric):
+    monkeypatch.setattr(rankboot.cells, "BLOCK", 8)  # several cells and pieces
+    monkeypatch.setattr(rankboot.cells, "PIECE", 40)
+    rng = np.random.default_rng(6)
+    rows = [(g, m, i, [None, 1.0, 1.0] if (g, m, i) == (0, "a", 3) else rng.normal(size=3).tolist()) for g in (0, 1) for m in "rab" for i in range(26 - 9 * g) if (m, i) != ("b", 5)]
+    rows += [(3, m, i, [float("nan"), 1.0] if (m, i) == ("a", 2) else rng.normal(size=2).tolist()) for m in "ra" for i in range(9)]
+    x = spark.createDataFrame([*rows, (2, "r", 0, [1.0]), (2, "a", 0, [1.0])], "grp long, model string, image_id long, v array<double>")
+    key = lambda t: {(r["grp"], r["draw"], r["model"]): r["r"] for r in t.collect()}
+    got, want = key(rankboot.pearson_scores(x, "r", 3, metric, 5)), key(resampling.stimulus_scores(kernels.distance_profile(x, metric), "r", 3, "pearson", 5))
+    assert len(want) == 15 and got.keys() == want.keys()
+    assert {k: (got[k], want[k]) for k in want if got[k] != pytest.approx(want[k], abs=1e-9, nan_ok=True)} == {}
+
+
+def test_bootstrap_query_makes_no_rows_of_pairs(spark, tiny, monkeypatch):
+    from prismal.plans import choices
+
+    def rows(*_):
+        raise AssertionError("rows of pairs")
+
+    monkeypatch.setattr(choices.K, "distance_profile", rows)
+    assert choices.stimulus_bootstrap(spark, tiny).count() > 0
