@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismal.operators import cells as C, disagreement as D, kernels as K
+from prismal.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +101,24 @@ def test_candidate_summary_equals_its_pairs(spark, features, sizes, same_rows, m
 def test_pairs_of_whole_groups_are_not_shuffled(spark, features):
     for x in (C.chunked_cosine(features), C.candidate_summary(features, features.where("image_id % 2 = 0"))):
         assert "Join" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def no_rows(monkeypatch):
+    def rows(*_):
+        raise AssertionError("rows of pairs")
+
+    for name in ("distance_profile", "image_pairs", "profile_pairs"):
+        monkeypatch.setattr(K, name, rows)
+
+
+def test_total_agreement_equals_that_of_rows_of_pairs(features, sizes):
+    x = features.where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL) AND NOT (model = 'm1' AND size(v) < 4)")
+    x = x.unionByName(x.where("model = 'm3'").withColumn("model", F.lit("m4")))  # two constant models
+    want = K.total_agreement(K.distance_profile(x, "euclidean"))
+    _near(C.total_agreement(C.moments(x, "euclidean")), want, ["grp", "model_a", "model_b"])
+    assert {r["r"] for r in want.where("model_a = 'm3' OR model_b = 'm3'").collect()} == {0.0, 1.0}
+
+
+def test_total_agreement_query_makes_no_rows_of_pairs(spark, tiny, no_rows):
+    assert catalog.queries()["total_agreement"](spark, tiny).count() > 0
