@@ -37,7 +37,7 @@ def test_unknown_rank_method_raises(spark):
         ranks.moments(spark.createDataFrame([(0, "a", 0, [1.0])], "grp long, model string, image_id long, v array<double>").withColumn("grp", F.col("grp")), "cosine", "x")
 
 
-@pytest.mark.parametrize("name", ["rsa_scores"])
+@pytest.mark.parametrize("name", ["rsa_scores", "rsa_ordinal"])
 def test_rank_queries_make_no_rows_of_pairs(spark, tiny, monkeypatch, name):
     def rows(*_):
         raise AssertionError("rows of pairs")
